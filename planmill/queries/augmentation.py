@@ -280,20 +280,18 @@ def transformed(df, cfg=a.SFT):
 
 
 @query("expand_variants", s.with_ctes(
-    """SELECT plan_id, v::INTEGER AS variant, (42 * 1000 + sample_no * 100 + v)::BIGINT AS aug_seed,
-              len(list_filter([1], lambda q: true))::INTEGER AS one, n AS n_rooms
+    """SELECT plan_id, v::INTEGER AS variant, (42 * 1000 + sample_no * 100 + v)::BIGINT AS aug_seed, n AS n_rooms
        FROM (SELECT plan_id, n, ok AS sample_no, unnest([1, 2, 3]) AS v FROM outl)"""))
 def expand_variants(spark, sf):
     numbered = plans(spark, sf).withColumn("sample_no", F.col("plan_id").cast("long"))
     return a.expand_variants(numbered, 3).select(
-        "plan_id", "variant", "aug_seed", F.lit(1).alias("one"), (F.size("rooms") - 1).alias("n_rooms")
+        "plan_id", "variant", "aug_seed", (F.size("rooms") - 1).alias("n_rooms")
     )
 
 
 # --- noise and drops -----------------------------------------------------------------------
 
 def noise_sql(suffix, p, sigma):
-    item = "concat(rid, ':', i)"
     z = (
         f"sqrt(-2::DOUBLE * ln(1 - {s.u('noise_r', 'rid::VARCHAR || chr(58) || (i - 1)::VARCHAR')}))"
         f" * cos(2::DOUBLE * pi() * {s.u('noise_a', 'rid::VARCHAR || chr(58) || (i - 1)::VARCHAR')})"
