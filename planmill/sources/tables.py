@@ -31,7 +31,10 @@ def room_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     reported by `oversized_plans` and never gathered.
     """
     kept, _ = split_by_group_size(_items(spark, sf_dir), "l_orderkey", MAX_RID)
-    grouped = kept.groupBy("l_orderkey").agg(
+    # The plan columns are an order of magnitude larger than the items they come from, so the
+    # number of partitions is fixed here instead of being coalesced by the size of the input.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = kept.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(
         F.array_sort(
             F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
         ).alias("items")
