@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planmill.constants import MAX_COORD
+from planmill.functions.arrays import let
 
 # Letters of the token classes.
 _LETTERS = {
@@ -19,7 +20,6 @@ _LETTERS = {
     "<ROOM_SUMMARY>": "S", "<END_ROOM_SUMMARY>": "z", "<INPUT>": "I", "<END_INPUT>": "J",
 }
 _ROOM = "R(?:t[^RrDdnEF]*|(?:[^tr][^r]*)?)r?"
-_DOOR_PARTS = "(x?)(y?)(s?)(x?)(y?)(d?)"
 
 PAIR = "struct<x:int,y:int>"
 DOOR = "struct<x:int,y:int,w:int,h:int>"
@@ -117,18 +117,16 @@ def parse_strict(df: DataFrame, tokens: str = "tokens") -> DataFrame:
         f"flatten(transform(filter(_rooms, r -> size(r.idx) < 4), r -> {_range('r.block_start', 'r.block_start + r.n - 1')}))"
     )
 
-    def part(k, s="b.s"):
-        return f"length(regexp_extract({s}, '^[FD]{_DOOR_PARTS}$', {k}))"
-
     def door_errors(s, st):
+        lead = f"case when substring({s}, 2, 2) = 'xy' then 2 when substring({s}, 2, 1) in ('x', 'y') then 1 else 0 end"
         return (
-            f"concat(if({part(3, s)} = 0, array({st} + 1 + {part(1, s)} + {part(2, s)}), cast(array() as array<int>)),"
+            f"concat(if(contains({s}, 's'), cast(array() as array<int>), array({st} + 1 + {lead})),"
             f" if(endswith({s}, 'd'), cast(array() as array<int>), array({st} + length({s}))))"
         )
 
     def door_value(s, st):
-        whole = f"{part(1, s)} = 1 and {part(2, s)} = 1 and {part(4, s)} = 1 and {part(5, s)} = 1"
-        gap = f"{part(3, s)}"
+        whole = f"rtrim('d', substring({s}, 2)) in ('xysxy', 'xyxy')"
+        gap = f"if(contains({s}, 's'), 1, 0)"
         at = lambda k: _int(f"{tokens}[{st} + {k}]")
         return (
             f"if({whole}, named_struct('x', {at('1')}, 'y', {at('2')}, 'w', {at('3 + ' + gap)}, 'h', {at('4 + ' + gap)}),"
@@ -172,12 +170,13 @@ def _last_word(tokens, letter, prefix, s="b.s", st="b.st"):
     """Text of the last token of a class in a block; null when there is none."""
     hits = f"filter({_range(st, f'{st} + length({s}) - 1')}, p -> _c[p] = '{letter}')"
     word = f"substring({tokens}[p], {prefix + 1}, length({tokens}[p]) - {prefix + 1})"
-    return f"get(transform({hits}, p -> {word}), size({hits}) - 1)"
+    return let(hits, "hs", let("get(hs, size(hs) - 1)", "p", f"if(p is null, cast(null as string), {word})"))
 
 
 def _door_of(values):
-    return (
-        f"if(size({values}) < 4, cast(null as {DOOR}), named_struct('x', {values}[0], 'y', {values}[1], 'w', {values}[2], 'h', {values}[3]))"
+    return let(
+        values, "vs",
+        f"if(size(vs) < 4, cast(null as {DOOR}), named_struct('x', vs[0], 'y', vs[1], 'w', vs[2], 'h', vs[3]))",
     )
 
 

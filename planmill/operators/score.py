@@ -228,7 +228,11 @@ def with_overlaps(df: DataFrame) -> DataFrame:
         f" 'x0', array_min(transform(r.points, v -> v.x)), 'x1', array_max(transform(r.points, v -> v.x)),"
         f" 'y0', array_min(transform(r.points, v -> v.y)), 'y1', array_max(transform(r.points, v -> v.y))))"
     )
-    polys = f"filter({poly}, r -> r.area > 0 and {simple_ring('r.p')})"
+    box = (
+        "size(r.p) = 4 and ((r.p[0].x = r.p[1].x and r.p[1].y = r.p[2].y and r.p[2].x = r.p[3].x and r.p[3].y = r.p[0].y)"
+        " or (r.p[0].y = r.p[1].y and r.p[1].x = r.p[2].x and r.p[2].y = r.p[3].y and r.p[3].x = r.p[0].x))"
+    )
+    polys = f"filter({poly}, r -> r.area > 0 and if({box}, true, {simple_ring('r.p')}))"
     near = "b.x0 < a.x1 and b.x1 > a.x0 and b.y0 < a.y1 and b.y1 > a.y0"
     pairs = (
         f"flatten(transform(_polys, (a, i) -> transform(filter(slice(_polys, i + 2, size(_polys)), b -> {near}),"
@@ -251,9 +255,6 @@ def no_overlap_score():
 
 def no_overlap_errors():
     """Tokens of the vertices nearest to the corners of each one-part common area, in both rooms."""
-    def edge(e):
-        return f"{e}.s"
-
     left, right = _x_at("v.l.s", "c.y"), _x_at("v.r.s", "c.y")
     inside = f"exists(h.v, v -> c.y between v.lo and v.hi and c.x between {left} - 1e-9D and {right} + 1e-9D)"
     den = "((s.x2 - s.x1) * (t.y2 - t.y1) - (s.y2 - s.y1) * (t.x2 - t.x1))"
@@ -338,20 +339,38 @@ def _out_of(rid):
     return f"get(filter(match, z -> z.rid = {rid}), 0).out"
 
 
-def connectivity_score():
-    pts = lambda v: f"{_OUT}[{v}].points"
-    close = lambda v: f"{g.point_ring_distance('d.door.x', 'd.door.y', v)} <= {DOOR_REACH}D"
-    between = let(
-        f"named_struct('a', {pts('ab.a')}, 'b', {pts('ab.b')})", "rr",
-        f"size(rr.a) > 0 and size(rr.b) > 0 and exists(parsed.doors, d -> d.door is not null and {close('rr.a')} and {close('rr.b')})",
+def with_door_reach(df: DataFrame) -> DataFrame:
+    """`_near`: for every valid answered door, the answered rooms whose boundary is within reach."""
+    side = (
+        "named_struct('ax', cast(v.x as double), 'ay', cast(v.y as double),"
+        " 'dx', cast(r.points[(i + 1) % size(r.points)].x - v.x as double),"
+        " 'dy', cast(r.points[(i + 1) % size(r.points)].y - v.y as double))"
+    )
+    rings = f"transform({_OUT}, r -> transform(r.points, (v, i) -> {side}))"
+    t = (
+        "greatest(0D, least(1D, coalesce(((d.door.x - s.ax) * s.dx + (d.door.y - s.ay) * s.dy)"
+        " / nullif(s.dx * s.dx + s.dy * s.dy, 0D), 0D)))"
+    )
+    square = f"pow(d.door.x - (s.ax + {t} * s.dx), 2) + pow(d.door.y - (s.ay + {t} * s.dy), 2)"
+    near = (
+        f"transform(filter(parsed.doors, d -> d.door is not null), d -> filter(transform(_rings, (q, o) ->"
+        f" if(sqrt(array_min(transform(q, s -> {square}))) <= {DOOR_REACH}D, o, -1)), o -> o >= 0))"
     )
-    ok = (
-        f"size(e.pair) >= 2 and {let('named_struct(' + chr(39) + 'a' + chr(39) + ', ' + _out_of('e.pair[0]') + ', ' + chr(39) + 'b' + chr(39) + ', ' + _out_of('e.pair[1]') + ')', 'ab', f'ab.a is not null and ab.b is not null and {between}')}"
+    return df.withColumn("_rings", F.expr(f"if(_gate, {rings}, null)")).withColumn(
+        "_near", F.expr(f"if(_gate, {near}, null)")
+    ).drop("_rings")
+
+
+def connectivity_score():
+    ok = let(
+        f"named_struct('a', {_out_of('e.pair[0]')}, 'b', {_out_of('e.pair[1]')})", "ab",
+        "ab.a is not null and ab.b is not null and"
+        " exists(_near, n -> array_contains(n, ab.a) and array_contains(n, ab.b))",
     )
     doored = "filter(meta.edges, e -> size(e.door) > 0)"
     return (
         f"case when size(meta.edges) = 0 then 1D when size(match) = 0 then 0D when size({doored}) = 0 then 1D"
-        f" else size(filter({doored}, e -> {ok})) / cast(size({doored}) as double) end"
+        f" else size(filter({doored}, e -> size(e.pair) >= 2 and {ok})) / cast(size({doored}) as double) end"
     )
 
 
@@ -392,13 +411,15 @@ def score(df: DataFrame, cfg: RewardConfig = RewardConfig()) -> DataFrame:
         out = with_overlaps(out)
     if on & {"connectivity", "spatial"}:
         out = with_match(out)
+    if "connectivity" in on:
+        out = with_door_reach(out)
     columns = {f"r_{n}": F.expr(SCORES[n]() if n == "format" else f"if(_gate, {SCORES[n]()}, 0D)") for n in REWARDS if n in on}
     errors = {"format": format_errors, "orthogonality": orthogonality_errors, "no_overlap": no_overlap_errors}
     for n, e in errors.items():
         if n in on and cfg.rewards[n].credit:
             columns[f"e_{n}"] = F.expr(e() if n == "format" else f"if(_gate, {e()}, {NO_INTS})")
     out = out.withColumns(columns)
-    return out.drop("_gate", "_angles", "_polys", "_hits", "_ins", "_outs")
+    return out.drop("_gate", "_angles", "_polys", "_hits", "_ins", "_outs", "_near")
 
 
 def error_mask(length: str, indices: str) -> str:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from planmill.queries import augmentation, token_sequences  # noqa: F401
+from planmill.queries import augmentation, parsing, scoring, token_sequences  # noqa: F401
 from planmill.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
