@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planmill.constants import CODE_NAMES, MAX_COORD, MAX_RID, MERGED_NAMES, OUTLINE
+from planmill.operators.rows import keep_rows
 
 _DOUBLE_DOOR = "named_struct('x', cast(d.x as double), 'y', cast(d.y as double), 'w', cast(d.w as double), 'h', cast(d.h as double))"
 
@@ -44,7 +45,7 @@ def _doors(df):
         door = door.elementType
     if door.typeName() == "array":
         return "e.door"
-    return "arrays_zip(e.door.x as x, e.door.y as y, e.door.w as w, e.door.h as h)"
+    return "arrays_zip(e.door.x, e.door.y, e.door.w, e.door.h)"
 
 
 def columnar_view(df: DataFrame) -> DataFrame:
@@ -134,8 +135,7 @@ def split_unrepresentable(df: DataFrame):
         f"then 'door_out_of_range' end"
     )
     marked = df.withColumn("reason", reason)
-    good = marked.filter(F.col("reason").isNull()).drop("reason")
-    return good, marked.filter(F.col("reason").isNotNull())
+    return keep_rows(marked, "reason is null").drop("reason"), keep_rows(marked, "reason is not null")
 
 
 def _no_token(d):

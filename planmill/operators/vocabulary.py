@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from planmill.constants import (
     DIRECTIONS, MAX_COORD, MAX_RID, OUTLINE, PAD_TOKEN, ROOM_TYPES, STRUCTURE_TOKENS,
 )
+from planmill.operators.rows import keep_rows
 
 VOCAB_LIMIT = 10_000
 
@@ -103,8 +104,8 @@ class Codec:
 
 def split_unknown(df: DataFrame, ids: str):
     """(good, quarantine): sequences with a token that has no id get a reason code."""
-    unknown = F.exists(ids, lambda i: i.isNull())
-    return df.filter(~unknown), df.filter(unknown).withColumn("reason", F.lit("unknown_token"))
+    unknown = f"exists({ids}, i -> i is null)"
+    return keep_rows(df, f"not {unknown}"), keep_rows(df, unknown).withColumn("reason", F.lit("unknown_token"))
 
 
 def lookup_ids(df: DataFrame, tokens: str, vocab: DataFrame) -> DataFrame:

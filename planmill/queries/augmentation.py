@@ -47,7 +47,7 @@ def dump(df, rooms=True, edges=True, front=False, spatial=True):
             "transform(spatial, (s, i) -> named_struct('kind', 'rel', 'pos', i, 'val',"
             " concat(cast(s.rid_a as string), '-', cast(s.rid_b as string), ':', s.direction)))"
         )
-    return df.select("plan_id", "variant", F.expr(f"inline(concat({', '.join(parts)}))"))
+    return df.select("plan_id", "variant", F.expr(f"inline_outer(concat({', '.join(parts)}))")).filter("kind is not null")
 
 
 _DM = "round_even({} * 1000, 0)::BIGINT::VARCHAR"
@@ -307,7 +307,7 @@ def coord_noise(spark, sf):
     df = a.coord_noise(a.keep_everything(one(spark, sf)))
     return df.select(
         "plan_id", "variant",
-        F.expr("inline(zip_with(rooms, room_fate, (r, f) -> named_struct('rid', r.rid, 'noisy', f.noisy)))"),
+        F.expr("inline_outer(zip_with(rooms, room_fate, (r, f) -> named_struct('rid', r.rid, 'noisy', f.noisy)))"),
     ).filter("noisy is not null").withColumn("noisy", F.expr("array_join(transform(noisy, v -> cast(v as string)), ',')"))
 
 
@@ -352,7 +352,7 @@ def dropped(spark, sf):
 def drop_rooms(spark, sf):
     return dropped(spark, sf).select(
         "plan_id", "variant",
-        F.expr("inline(zip_with(rooms, room_fate, (r, f) -> named_struct('rid', r.rid, 'gone', f.gone,"
+        F.expr("inline_outer(zip_with(rooms, room_fate, (r, f) -> named_struct('rid', r.rid, 'gone', f.gone,"
                " 'no_type', f.no_type, 'no_coords', f.no_coords)))"),
     )
 
@@ -364,26 +364,26 @@ def orphan_cascade(spark, sf):
     never = a.replace(a.CODE_DEFAULT, p_edge=0.0, p_pair=0.0, p_door=0.0, p_spatial=0.0)
     df = a.drop_state(one(spark, sf), never)
     return df.select("plan_id", "variant", F.expr(
-        "inline(concat(filter(transform(edges, (e, i) -> named_struct('kind', if(edge_fate[i].gone, 'edge', ''), 'pos', i,"
+        "inline_outer(concat(filter(transform(edges, (e, i) -> named_struct('kind', if(edge_fate[i].gone, 'edge', ''), 'pos', i,"
         " 'a', e.pair[0], 'b', e.pair[1])), z -> z.kind <> ''),"
         " filter(transform(spatial, (s, i) -> named_struct('kind', if(rel_gone[i], 'rel', ''), 'pos', i,"
-        " 'a', s.rid_a, 'b', s.rid_b)), z -> z.kind <> '')))"))
+        " 'a', s.rid_a, 'b', s.rid_b)), z -> z.kind <> '')))")).filter("kind is not null")
 
 
 @query("drop_edges", s.with_ctes("SELECT plan_id, variant, pos, gone, pair_mode, kept, door_mode FROM efate", _F0))
 def drop_edges(spark, sf):
     return dropped(spark, sf).select(
         "plan_id", "variant",
-        F.expr("inline(transform(edge_fate, (f, i) -> named_struct('pos', i, 'gone', f.gone, 'pair_mode', f.pair_mode,"
+        F.expr("inline_outer(transform(edge_fate, (f, i) -> named_struct('pos', i, 'gone', f.gone, 'pair_mode', f.pair_mode,"
                " 'kept', f.kept, 'door_mode', f.door_mode)))"),
-    )
+    ).filter("pos is not null")
 
 
 @query("drop_spatial", s.with_ctes("SELECT plan_id, variant, pos, orphan OR rolled AS gone FROM sfate", _F0))
 def drop_spatial(spark, sf):
     return dropped(spark, sf).select(
-        "plan_id", "variant", F.expr("inline(transform(rel_gone, (f, i) -> named_struct('pos', i, 'gone', f)))")
-    )
+        "plan_id", "variant", F.expr("inline_outer(transform(rel_gone, (f, i) -> named_struct('pos', i, 'gone', f)))")
+    ).filter("pos is not null")
 
 
 @query("drop_front_door", s.with_ctes("SELECT plan_id, variant, front_gone, front_bare FROM pfate", _F0))

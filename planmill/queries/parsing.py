@@ -100,11 +100,11 @@ def parse_strict(spark, sf):
        FROM cvx v JOIN ctok y ON y.plan_id = v.plan_id AND y.variant = v.variant AND y.i = v.i + 1""", STRICT_SQL))
 def parse_strict_vertices(spark, sf):
     df = parse.parse_strict(comps(spark, sf))
-    rooms = df.select("plan_id", "gen_idx", F.posexplode("parsed.rooms").alias("room", "r")).filter("size(r.points) > 0")
-    return rooms.select(
-        "plan_id", "gen_idx", F.expr("cast(row_number() over (partition by plan_id, gen_idx order by room) - 1 as int)").alias("room"),
-        F.expr("arrays_zip(r.points as p, r.idx as i)").alias("z"),
-    ).select("plan_id", "gen_idx", "room", F.expr("inline(transform(z, q -> named_struct('token_index', q.i, 'x', q.p.x, 'y', q.p.y)))"))
+    flat = (
+        "flatten(transform(filter(parsed.rooms, r -> size(r.points) > 0), (r, k) -> zip_with(r.points, r.idx,"
+        " (p, i) -> named_struct('room', k, 'token_index', i, 'x', p.x, 'y', p.y))))"
+    )
+    return df.select("plan_id", "gen_idx", F.expr(f"inline_outer({flat})")).filter("room is not null")
 
 
 _VALS = "list_transform(regexp_extract_all(b, '<[XY]:([0-9]+)>', 1), lambda v: least(255, v::INTEGER))"
@@ -129,7 +129,7 @@ def parse_answer(spark, sf):
     text = lambda v: f"array_join(transform({v}, q -> cast(q as string)), ',')"
     door = lambda d: text(f"array({d}.x, {d}.y, {d}.w, {d}.h)")
     return df.select("plan_id", "gen_idx", F.expr(
-        "inline(if(plan is null, array(named_struct('kind', 'failed', 'pos', 0, 'val', '')), concat("
+        "inline_outer(if(plan is null, array(named_struct('kind', 'failed', 'pos', 0, 'val', '')), concat("
         f"transform(plan.rooms, r -> named_struct('kind', 'room', 'pos', r.rid, 'val', concat(r.type, ':', {text('r.coords')}))),"
         f"transform(plan.edges, (e, i) -> named_struct('kind', 'edge', 'pos', i, 'val', concat(cast(e.pair[0] as string), '-', cast(e.pair[1] as string), ':', {door('e.door[0]')}))),"
         f"if(plan.front_door is null, slice(array(named_struct('kind', 'front', 'pos', 0, 'val', '')), 1, 0), array(named_struct('kind', 'front', 'pos', 0, 'val', {door('plan.front_door')}))))))"))
@@ -159,18 +159,18 @@ def parse_condition(spark, sf):
     text = lambda v: f"array_join(transform({v}, q -> cast(q as string)), ',')"
     door = lambda d: text(f"array({d}.x, {d}.y, {d}.w, {d}.h)")
     return df.select("plan_id", F.expr(
-        f"inline(concat(transform(plan.rooms, (r, i) -> named_struct('kind', 'room', 'pos', i, 'val', concat(cast(r.rid as string), ':', r.type, ':', {text('r.coords')}))),"
+        f"inline_outer(concat(transform(plan.rooms, (r, i) -> named_struct('kind', 'room', 'pos', i, 'val', concat(cast(r.rid as string), ':', r.type, ':', {text('r.coords')}))),"
         f" transform(plan.edges, (e, i) -> named_struct('kind', 'edge', 'pos', i, 'val', concat(coalesce(cast(e.rid as string), '-'), ':', if(size(e.doors) = 0, '', {door('e.doors[0]')})))),"
         f" transform(plan.spatial, (r, i) -> named_struct('kind', 'rel', 'pos', i, 'val', concat(cast(r.rid_a as string), '-', cast(r.rid_b as string), ':', r.direction))),"
-        f" if(plan.front_door is null, slice(array(named_struct('kind', 'front', 'pos', 0, 'val', '')), 1, 0), array(named_struct('kind', 'front', 'pos', 0, 'val', {door('plan.front_door')})))))"))
+        f" if(plan.front_door is null, slice(array(named_struct('kind', 'front', 'pos', 0, 'val', '')), 1, 0), array(named_struct('kind', 'front', 'pos', 0, 'val', {door('plan.front_door')})))))")).filter("kind is not null")
 
 
 @query("doors_as_edges", s.with_ctes(
     """SELECT plan_id, variant AS gen_idx, 0 AS a, 0 AS b, v[1] AS x, v[2] AS y, v[3] AS w, v[4] AS h FROM db SEMI JOIN ok USING (plan_id, variant)""", _ANSWER_SQL))
 def doors_as_edges(spark, sf):
-    df = parse.parse_answer(comps(spark, sf)).filter("plan is not null")
+    df = parse.parse_answer(comps(spark, sf))
     return df.select("plan_id", "gen_idx", F.expr(
-        "inline(transform(plan.edges, e -> named_struct('a', e.pair[0], 'b', e.pair[1], 'x', e.door[0].x, 'y', e.door[0].y, 'w', e.door[0].w, 'h', e.door[0].h)))"))
+        "inline_outer(transform(plan.edges, e -> named_struct('a', e.pair[0], 'b', e.pair[1], 'x', e.door[0].x, 'y', e.door[0].y, 'w', e.door[0].w, 'h', e.door[0].h)))")).filter("a is not null")
 
 
 @query("token_values", s.with_ctes(
@@ -179,7 +179,7 @@ def doors_as_edges(spark, sf):
        FROM (SELECT unnest(string_split(t, ' ')) AS w FROM cond) GROUP BY ALL""", _DROP0))
 def token_values(spark, sf):
     df = tk.condition_tokens(a.coord_noise(a.drop_state(one(spark, sf))))
-    words = df.select(F.explode("condition").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words = df.select(F.explode_outer("condition").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return words.select(
         "token", "n", F.expr(t.number_value("token", "X")).alias("x"), F.expr(t.number_value("token", "Y")).alias("y"),
         F.expr(t.number_value("token", "RID")).alias("rid"), F.expr(t.word_value("token", "TYPE")).alias("type"),

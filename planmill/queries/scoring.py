@@ -50,10 +50,10 @@ GATE = {
         FROM gv c JOIN gv p ON p.plan_id = c.plan_id AND p.variant = c.variant AND p.rid = c.rid AND p.i = (c.i + c.n - 1) % c.n
         JOIN gv n ON n.plan_id = c.plan_id AND n.variant = c.variant AND n.rid = c.rid AND n.i = (c.i + 1) % c.n""",
     "s_orth": "SELECT plan_id, variant, coalesce(avg((abs(dot / (sqrt(l1) * sqrt(l2))) <= 0.001)::INTEGER) FILTER (l1 > 0 AND l2 > 0), 0)::DOUBLE AS v FROM gate LEFT JOIN ang USING (plan_id, variant) GROUP BY ALL",
-    "part": f"""SELECT plan_id, variant, out, coords[1] AS xa, coords[5] AS xb, CASE WHEN len(coords) = 12 THEN coords[8] ELSE coords[2] END AS ya, coords[4] AS yb FROM gout
+    "rpart": f"""SELECT plan_id, variant, out, coords[1] AS xa, coords[5] AS xb, CASE WHEN len(coords) = 12 THEN coords[8] ELSE coords[2] END AS ya, coords[4] AS yb FROM gout
         UNION ALL SELECT plan_id, variant, out, coords[1], coords[9], coords[2], coords[8] FROM gout WHERE len(coords) = 12""",
-    "com": "SELECT a.plan_id, a.variant, sum(greatest(0, least(a.xb, b.xb) - greatest(a.xa, b.xa)) * greatest(0, least(a.yb, b.yb) - greatest(a.ya, b.ya)))::DOUBLE AS c FROM part a JOIN part b ON a.plan_id = b.plan_id AND a.variant = b.variant AND a.out < b.out GROUP BY ALL",
-    "tot": "SELECT plan_id, variant, sum((xb - xa) * (yb - ya))::DOUBLE AS t, count(DISTINCT out) AS n FROM part GROUP BY ALL",
+    "com": "SELECT a.plan_id, a.variant, sum(greatest(0, least(a.xb, b.xb) - greatest(a.xa, b.xa)) * greatest(0, least(a.yb, b.yb) - greatest(a.ya, b.ya)))::DOUBLE AS c FROM rpart a JOIN rpart b ON a.plan_id = b.plan_id AND a.variant = b.variant AND a.out < b.out GROUP BY ALL",
+    "tot": "SELECT plan_id, variant, sum((xb - xa) * (yb - ya))::DOUBLE AS t, count(DISTINCT out) AS n FROM rpart GROUP BY ALL",
     "s_over": "SELECT plan_id, variant, CASE WHEN NOT ok THEN 0 WHEN n < 2 THEN 1 ELSE 1 - least(coalesce(c, 0) / t, 1) END::DOUBLE AS v FROM gate LEFT JOIN tot USING (plan_id, variant) LEFT JOIN com USING (plan_id, variant)",
     # cheapest assignment within a type, by enumeration
     "cin2": "SELECT w.plan_id, g.variant, w.type, w.rid, w.cx, w.cy, row_number() OVER (PARTITION BY w.plan_id, g.variant, w.type ORDER BY w.rid) - 1 AS i, e, a FROM want w JOIN wt USING (plan_id, type) JOIN ot g ON g.plan_id = w.plan_id AND g.type = w.type",
@@ -62,8 +62,8 @@ GATE = {
     "ways": """SELECT plan_id, variant, type, 0::BIGINT AS i, [out] AS p, d AS c FROM slot WHERE i = 0
         UNION ALL SELECT w.plan_id, w.variant, w.type, w.i + 1, list_append(w.p, s.out), w.c + s.d FROM ways w JOIN slot s
           ON s.plan_id = w.plan_id AND s.variant = w.variant AND s.type = w.type AND s.i = w.i + 1 WHERE s.out = -1 OR NOT list_contains(w.p, s.out)""",
-    "full": "SELECT w.plan_id, w.variant, w.type, p, c FROM ways w JOIN (SELECT DISTINCT plan_id, variant, type, e, a FROM cin2) USING (plan_id, variant, type) WHERE w.i = e - 1 AND len(list_filter(p, lambda q: q >= 0)) = least(e, a)",
-    "best": "SELECT DISTINCT ON (plan_id, variant, type) plan_id, variant, type, p, c FROM full ORDER BY plan_id, variant, type, round(c, 9), p",
+    "fulls": "SELECT w.plan_id, w.variant, w.type, p, c FROM ways w JOIN (SELECT DISTINCT plan_id, variant, type, e, a FROM cin2) USING (plan_id, variant, type) WHERE w.i = e - 1 AND len(list_filter(p, lambda q: q >= 0)) = least(e, a)",
+    "best": "SELECT DISTINCT ON (plan_id, variant, type) plan_id, variant, type, p, c FROM fulls ORDER BY plan_id, variant, type, round(c, 9), p",
     "mtch": "SELECT b.plan_id, b.variant, c.rid, b.p[c.i + 1] AS out FROM best b JOIN cin2 c USING (plan_id, variant, type) WHERE b.p[c.i + 1] >= 0",
     # connectivity and relations
     "gdoor": f"SELECT plan_id, variant, pos, {s.ri('x')} AS x, {s.ri('y')} AS y FROM edgeG JOIN gate USING (plan_id, variant) WHERE ok AND hd",
@@ -123,8 +123,8 @@ def overlap_marks(spark, sf):
 
 @query("room_matching", with_recursive("SELECT plan_id, variant AS gen_idx, rid, out FROM mtch"))
 def room_matching(spark, sf):
-    df = parsed(spark, sf).withColumn("_gate", F.expr(f"{score.format_score()} = 1D")).filter("_gate")
-    return score.with_match(df).select("plan_id", "gen_idx", F.expr("inline(match)"))
+    df = parsed(spark, sf).withColumn("_gate", F.expr(f"{score.format_score()} = 1D"))
+    return score.with_match(df).select("plan_id", "gen_idx", F.expr("inline_outer(match)")).filter("rid is not null")
 
 
 @query("door_room_distance", s.with_ctes(

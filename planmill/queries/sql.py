@@ -130,5 +130,7 @@ def with_ctes(body, extra=None):
             if name not in needed and re.search(rf"\b{name}\b", text):
                 needed.add(name)
                 queue.append(known[name])
+    if not needed:
+        return body
     parts = [f"{n} AS MATERIALIZED ({known[n]})" for n in known if n in needed]
     return "WITH " + ",\n".join(parts) + "\n" + body

@@ -116,9 +116,9 @@ _CANON = f"""SELECT plan_id, variant, rid, row_number() OVER (PARTITION BY plan_
 
 @query("canonical_room_order", s.with_ctes("SELECT plan_id, rid, k FROM canon", {"canon": _CANON.replace("@", "0")}))
 def canonical_room_order(spark, sf):
-    return tk.canonical_rooms(plans(spark, sf)).select("plan_id", F.posexplode("canon_rooms").alias("p", "r")).select(
+    return tk.canonical_rooms(plans(spark, sf)).select("plan_id", F.posexplode_outer("canon_rooms").alias("p", "r")).select(
         "plan_id", "r.rid", (F.col("p") + 1).alias("k")
-    )
+    ).filter("k is not null")
 
 
 _CEDGE = "SELECT *, row_number() OVER (PARTITION BY plan_id, variant ORDER BY least(a, b), greatest(a, b), pos)::INTEGER AS k FROM edge@"
@@ -130,9 +130,9 @@ def canonical_edge_order(spark, sf):
     df = one(spark, sf)
     for _, step in a.transform_steps(a.SFT)[:4]:
         df = df.transform(step)
-    return tk.canonical_edges(df).select("plan_id", F.posexplode("canon_edges").alias("p", "e")).select(
+    return tk.canonical_edges(df).select("plan_id", F.posexplode_outer("canon_edges").alias("p", "e")).select(
         "plan_id", F.expr("e.pair[0]").alias("a"), F.expr("e.pair[1]").alias("b"), (F.col("p") + 1).alias("k")
-    )
+    ).filter("k is not null")
 
 
 # --- sequences -----------------------------------------------------------------------------
@@ -265,11 +265,11 @@ def drop_applied_view(spark, sf):
 
     df = view(a.coord_noise(a.drop_state(one(spark, sf))))
     return df.select("plan_id", F.expr(
-        "inline(concat(transform(rooms, r -> named_struct('kind', 'room', 'k', cast(r.rid as string), 'val',"
+        "inline_outer(concat(transform(rooms, r -> named_struct('kind', 'room', 'k', cast(r.rid as string), 'val',"
         " concat(r.type, ':', array_join(transform(r.coords, v -> cast(v as string)), ',')))),"
         " transform(edges, e -> named_struct('kind', 'edge', 'k', concat(cast(e.pair[0] as string), '-', cast(e.pair[1] as string)), 'val', cast(size(e.door) as string))),"
         " transform(spatial, s -> named_struct('kind', 'rel', 'k', concat(cast(s.rid_a as string), '-', cast(s.rid_b as string)), 'val', s.direction)),"
-        " transform(front_door, d -> named_struct('kind', 'front', 'k', '0', 'val', cast(cast(d.x as int) as string)))))"))
+        " transform(front_door, d -> named_struct('kind', 'front', 'k', '0', 'val', cast(cast(d.x as int) as string)))))")).filter("kind is not null")
 
 
 @query("sequence_stats", s.with_ctes(
@@ -314,7 +314,7 @@ def vocabulary_table(spark, sf):
 
 
 @query("final_room_types", s.with_ctes(
-    f"""SELECT DISTINCT {s.names([MERGED_NAMES.get(n, n) for n in CODE_NAMES.values()])}[l_partkey % 13 + 1] AS type FROM lineitem"""))
+    f"""SELECT DISTINCT {s.names([MERGED_NAMES.get(n, n) for n in CODE_NAMES.values()])}[l_partkey % 13 + 1] AS type FROM lineitem""".strip()))
 def final_room_types(spark, sf):
     from planmill.operators.normalize import final_types, merge_types
 
