@@ -67,10 +67,10 @@ def drawn_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         if(size(q) = 12, array(named_struct('p', r.rid, 'g', {codes}[r.type], 'xa', q[0], 'xb', q[4] - 1, 'ya', q[7], 'yb', q[3] - 1)),
           slice(array(named_struct('p', r.rid, 'g', 0, 'xa', 0, 'xb', 0, 'ya', 0, 'yb', 0)), 1, 0))))[0])),
       transform(filter(edges, e -> size(e.door) > 0), e -> named_struct('p', 100, 'g', {CODE_INTERIOR_DOOR},
-        'xa', cast(e.door[0].x div 4 as int) - 1, 'xb', cast(e.door[0].x div 4 as int) + cast(e.door[0].w as int) % 4,
-        'ya', cast(e.door[0].y div 4 as int) - 1, 'yb', cast(e.door[0].y div 4 as int) + cast(e.door[0].h as int) % 3)),
-      transform(front_door, d -> named_struct('p', 200, 'g', {CODE_FRONT_DOOR}, 'xa', cast(d.x div 4 as int),
-        'xb', cast(d.x div 4 as int) + 2, 'ya', cast(d.y div 4 as int), 'yb', cast(d.y div 4 as int))))"""
+        'xa', cast(floor(e.door[0].x / 4) as int) - 1, 'xb', cast(floor(e.door[0].x / 4) as int) + cast(e.door[0].w as int) % 4,
+        'ya', cast(floor(e.door[0].y / 4) as int) - 1, 'yb', cast(floor(e.door[0].y / 4) as int) + cast(e.door[0].h as int) % 3)),
+      transform(front_door, d -> named_struct('p', 200, 'g', {CODE_FRONT_DOOR}, 'xa', cast(floor(d.x / 4) as int),
+        'xb', cast(floor(d.x / 4) as int) + 2, 'ya', cast(floor(d.y / 4) as int), 'yb', cast(floor(d.y / 4) as int))))"""
     cells = plans.select("plan_id", F.expr(f"inline_outer({rects})")).filter("p is not null")
     cells = cells.select("plan_id", "p", "g", "xa", "xb", F.expr("explode(sequence(ya, yb))").alias("y")).select(
         "plan_id", "p", "g", "y", F.expr("explode(sequence(xa, xb))").alias("x")
