@@ -8,7 +8,7 @@ from planmill.operators.parse import parse_condition
 
 def read_token_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """(plan_id = file stem, condition, plan); a file that cannot be parsed gives an empty plan."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     tokens = F.expr("regexp_extract_all(value, '<[^<>]+>|[^\\\\s<>]+', 0)")
     parsed = parse_condition(files.select(stem.alias("plan_id"), tokens.alias("condition")), "condition")
