@@ -103,7 +103,7 @@ def interior_doors(spark, sf):
 @query("room_polygons")
 def room_polygons(spark, sf):
     """Polygons of all room regions; checked on hand-made regions."""
-    found = regions.rooms(labelled(spark, sf).filter("g <= 12"))
+    found = regions.rooms(cut_lineage(labelled(spark, sf).filter("g <= 12")))
     return found.select("plan_id", "rid", "g", F.expr("array_join(transform(coords, v -> cast(v as string)), ',')").alias("coords"))
 
 
@@ -121,7 +121,7 @@ _BIG = {
 
 def numbered(spark, sf):
     """Runs of the rooms that are large enough, with raster-order numbers."""
-    found = labelled(spark, sf).filter("g <= 12")
+    found = cut_lineage(labelled(spark, sf).filter("g <= 12"))
     stats = regions.region_stats(found).filter("area >= 30")
     from pyspark.sql import Window as W
 
