@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planmill.constants import ADVANTAGE_EPS
-from planmill.operators.score import REWARDS, RewardConfig, error_mask
+from planmill.operators.score import REWARDS, RewardConfig
 
 
 def group_normalize(df: DataFrame, names=None, group="prompt_id", eps=ADVANTAGE_EPS) -> DataFrame:
@@ -37,17 +37,20 @@ def credit(advantage: str, mask: str, penalty: float) -> str:
 
 def token_advantages(df: DataFrame, length: str = "size(tokens)", cfg: RewardConfig = RewardConfig()) -> DataFrame:
     """`token_adv`: weighted sum over scores at token level; marks only where a score gives credit."""
-    total = f"transform(filter(sequence(0, {length}), i -> i < {length}), i -> 0D)"
-    for n in REWARDS:
-        r = cfg.rewards.get(n)
-        if r is None or not r.enabled or f"a_{n}" not in df.columns:
-            continue
-        if r.credit and f"e_{n}" in df.columns:
-            part = credit(f"a_{n}", error_mask(length, f"e_{n}"), r.penalty)
-            total = f"zip_with({total}, {part}, (s, v) -> s + {r.weight}D * v)"
-        else:
-            total = f"transform({total}, s -> s + {r.weight}D * a_{n})"
-    return df.withColumn("token_adv", F.expr(total))
+    used = [n for n in REWARDS if n in cfg.rewards and cfg.rewards[n].enabled and f"a_{n}" in df.columns]
+    base = " + ".join(f"{cfg.rewards[n].weight}D * a_{n}" for n in used) or "0D"
+    # A marked token gets -|A| * penalty in place of A: a correction to the sequence's own value.
+    marked = [n for n in used if cfg.rewards[n].credit and f"e_{n}" in df.columns]
+    changes = "".join(
+        f" + if(array_contains(e_{n}, i), {cfg.rewards[n].weight}D * (-abs(a_{n}) * {cfg.rewards[n].penalty}D - a_{n}), 0D)"
+        for n in marked
+    )
+    df = df.withColumn("_base", F.expr(base))
+    total = f"array_repeat(_base, {length})"
+    if marked:
+        none = " and ".join(f"size(e_{n}) = 0" for n in marked)
+        total = f"if({none} or {length} = 0, {total}, transform(sequence(0, {length} - 1), i -> _base{changes}))"
+    return df.withColumn("token_adv", F.expr(total)).drop("_base")
 
 
 def batch_normalize(df: DataFrame, batch="batch_id", eps=ADVANTAGE_EPS, pad=False) -> DataFrame:
