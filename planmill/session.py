@@ -1,6 +1,8 @@
 """Session helpers: defaults for local runs, and lineage cuts on shared storage."""
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,13 +24,29 @@ def local_session(cores="8", app="planmill") -> SparkSession:
     return spark
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir`.
+
+    Only a session in one process (master `local`) may go without it and gets a folder of the
+    machine; on a cluster its absence is an error, as executors would not see each other's files.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "planmill-checkpoints")
+    return folder.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; fall back to a temporary one only when none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="planmill-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
