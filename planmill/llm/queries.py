@@ -1,10 +1,32 @@
 """One query per operator, over its whole table, with production parameters."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from planmill.llm import line_dedup, sharding
+from planmill.llm import bpe, line_dedup, sharding, token_store
 from planmill.llm.registry import query
-from planmill.llm.rows import table
+from planmill.llm.rows import read_small_file, table
+from planmill.session import shared_folder
+
+
+@query("op1_token_store")
+def op1_token_store(spark, sf_dir):
+    vocabulary = read_small_file(public_tokenizers.path("byte_bpe_50k.json"))
+    path = shared_folder(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), path, vocabulary, end_id=0)
+    return token_store.read_records(spark, path)
+
+
+@query("op7_bpe_codec")
+def op7_bpe_codec(spark, sf_dir):
+    ranks = read_small_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks, public_tokenizers.PATTERN).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 @query("op10_jump_shards")

@@ -41,7 +41,7 @@ class SegmentCodes:
     forgotten segments are encoded again.
     """
 
-    def __init__(self, encode_many, limit: int = 400_000):
+    def __init__(self, encode_many, limit: int = 1_000_000):
         self.encode_many, self.limit = encode_many, limit
         self._clear()
 
