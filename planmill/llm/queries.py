@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from planmill.llm import bpe, line_dedup, sharding, token_store
+from planmill.llm import bpe, decontaminate, language, line_dedup, sharding, token_store
 from planmill.llm.registry import query
 from planmill.llm.rows import read_small_file, table
 from planmill.session import shared_folder
@@ -60,3 +60,42 @@ def op5_line_dedup(spark, sf_dir):
         "doc_id", "n_lines", "n_removed", "n_spans",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+_SQL_WORDS = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+LEAK_SQL = rf"""
+with d as (select doc_id, {_SQL_WORDS} as w from documents),
+b as (select item_id, {_SQL_WORDS} as w from benchmark),
+win as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[p + 1 : p + least(len(w), 10)], ' ') as k
+        from (select item_id, w, unnest(range(0, greatest(len(w) - 9, 1))) as p from b where len(w) > 0)),
+lens as (select distinct n from win),
+dw as (select doc_id, n, p, array_to_string(w[p + 1 : p + n], ' ') as k
+       from (select doc_id, n, w, unnest(range(0, len(w) - n + 1)) as p from d, lens where len(w) >= n)),
+occ as (select doc_id, item_id, p, n from dw join win using (n, k)),
+hit as (select doc_id, count(*) as n_hit
+        from (select distinct doc_id, p + o as at from (select doc_id, p, unnest(range(0, n)) as o from occ)) group by 1),
+its as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as items
+        from (select distinct doc_id, cast(item_id as varchar) as i from occ) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join its using (doc_id)
+"""
+
+
+@query("op6_decontaminate", LEAK_SQL)
+def op6_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
