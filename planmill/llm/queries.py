@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from planmill.llm import bpe, decontaminate, language, line_dedup, sharding, token_store
+from planmill.llm import bpe, decontaminate, language, line_dedup, near_dedup, sharding, token_store
 from planmill.llm.registry import query
 from planmill.llm.rows import read_small_file, table
 from planmill.session import shared_folder
@@ -99,3 +99,9 @@ def op6_decontaminate(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op9_minmax_dedup")
+def op9_minmax_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs).drop("content")
