@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from planmill.llm import bpe, decontaminate, language, line_dedup, near_dedup, sharding, token_store
+from planmill.llm import bpe, decontaminate, language, line_dedup, near_dedup, sharding, suffix_dedup, token_store
 from planmill.llm.registry import query
 from planmill.llm.rows import read_small_file, table
 from planmill.session import shared_folder
@@ -105,3 +105,9 @@ def op6_decontaminate(spark, sf_dir):
 def op9_minmax_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_duplicates(docs).drop("content")
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
