@@ -3,7 +3,18 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from planmill.llm import bpe, decontaminate, language, line_dedup, near_dedup, sharding, suffix_dedup, token_store
+from planmill.llm import (
+    bpe,
+    decontaminate,
+    html_text,
+    language,
+    line_dedup,
+    near_dedup,
+    sharding,
+    suffix_dedup,
+    token_store,
+    topk,
+)
 from planmill.llm.registry import query
 from planmill.llm.rows import read_small_file, table
 from planmill.session import shared_folder
@@ -111,3 +122,31 @@ def op9_minmax_dedup(spark, sf_dir):
 def op3_suffix_dedup(spark, sf_dir):
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+TOP_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e
+           from embeddings
+           where embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id,
+             cast(list_sum(list_transform(range(1, len(c.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score
+      from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
+@query("op2_exact_topk", TOP_SQL)
+def op2_exact_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op8_html_text")
+def op8_html_text(spark, sf_dir):
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return out.select(
+        "page_id", "text", F.length("text").alias("n_chars"),
+        F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"),
+    )
