@@ -19,8 +19,11 @@ from planmill.llm.rows import read_small_file, table
 from planmill.session import shared_folder
 
 
-def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
+def _guarded(docs: DataFrame, operator) -> DataFrame:
+    """operator(docs) with the columns of docs only, whatever extra columns are called."""
+    names = docs.columns
+    plain = [c if c in ("doc_id", "text", "lang") else f"_column{i}" for i, c in enumerate(names)]
+    return operator(docs.toDF(*plain)).select(*[F.col(p).alias(c) for p, c in zip(plain, names, strict=True)])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,28 +32,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from the documents of this stage that are not held out.
     """
     model = language.train(docs.filter(~language.held_out()))
-    found = language.predict(docs.select("doc_id", "text", "lang", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")), model)
-    return found.filter(F.col("lang_pred") != language.UNKNOWN).select(
-        *[
-            F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`").alias(c)
-            for c in docs.columns
-        ]
-    )
+
+    def accepted(rows: DataFrame) -> DataFrame:
+        found = language.predict(rows, model).filter(F.col("lang_pred") != language.UNKNOWN)
+        return found.withColumn("lang", F.coalesce("lang", "lang_pred"))
+
+    return _guarded(docs, accepted)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated three-line windows."""
-    return _columns(line_dedup.dedup_lines(docs), docs)
+    return _guarded(docs, line_dedup.dedup_lines)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return near_dedup.dedup(docs)
+    return _guarded(docs, near_dedup.dedup)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of benchmark windows."""
-    return _columns(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
+    items = table(spark, sf_dir, "benchmark")
+    return _guarded(docs, lambda rows: decontaminate.decontaminate(rows, items))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
