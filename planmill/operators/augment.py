@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from planmill.constants import MAX_COORD, MAX_RID, OUTLINE
 from planmill.functions import geometry as g
 from planmill.functions.draws import randint, u, uniform
+from planmill.operators.rows import keep_rows
 
 
 @dataclass(frozen=True)
@@ -71,8 +72,19 @@ def expand_variants(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return out
 
 
+def split_unnumberable(df: DataFrame):
+    """(plans whose rooms can have numbers of their own, the others with a reason)."""
+    many = f"size({_ROOMS}) > {MAX_RID}"
+    return keep_rows(df, f"not {many}"), keep_rows(df, many).withColumn("reason", F.lit("too_many_rooms"))
+
+
 def shuffle_rid(df: DataFrame, seed=42) -> DataFrame:
-    """Renumber rooms with a random subset of 1..15, consistently in edges and relations."""
+    """Renumber rooms with a random subset of 1..15, consistently in edges and relations.
+
+    Plans with more rooms than numbers have no such subset and are left out; `split_unnumberable`
+    gives them with a reason.
+    """
+    df, _ = split_unnumberable(df)
     d = u("rid", "k", seed)
     perm = f"transform(array_sort(transform(sequence(1, {MAX_RID}), k -> named_struct('d', {d}, 'k', k))), s -> s.k)"
     new = "coalesce(get(_perm, cast(array_position(_old, {r}) - 1 as int)), {r})"

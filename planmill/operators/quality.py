@@ -91,8 +91,8 @@ def violations(records: DataFrame) -> DataFrame:
         "raw.edges",
         [
             ("pair_arity", "q.pair is null or size(q.pair) <> 2"),
-            ("dangling_rid", f"size(q.pair) = 2 and not array_contains({rids}, q.pair[0])"),
-            ("dangling_rid", f"size(q.pair) = 2 and not array_contains({rids}, q.pair[1])"),
+            ("dangling_rid", f"size(q.pair) = 2 and not coalesce(array_contains({rids}, q.pair[0]), false)"),
+            ("dangling_rid", f"size(q.pair) = 2 and not coalesce(array_contains({rids}, q.pair[1]), false)"),
         ],
         "concat('edges[', cast(i as string), ']')",
     )
@@ -136,7 +136,7 @@ def file_report(records: DataFrame, details: int = 20) -> DataFrame:
     )
     # Two-step top-n: each input bucket keeps its own first rows, then the file's buckets meet.
     rows = found.select("file", "plan_id", F.expr("inline_outer(found)")).filter("rule is not null")
-    key = F.concat_ws("|", F.lpad(F.coalesce("plan_id", F.lit("")), 20, "0"), "rule", "path")
+    key = F.concat_ws("|", F.expr("lpad(coalesce(plan_id, ''), greatest(20, length(coalesce(plan_id, ''))), '0')"), "rule", "path")
     keyed = rows.select("file", key.alias("k"), F.concat_ws(" ", "plan_id", "rule", "path").alias("d"))
     bucket = F.pmod(F.xxhash64("k"), F.lit(64))
     near = keyed.withColumn("b", bucket).withColumn(

@@ -2,8 +2,10 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from planmill.constants import MAX_LENGTH, SYSTEM_PROMPT
+from planmill.operators.rows import keep_rows
 
 IGNORE = -100
 TEMPLATE = "<|im_start|>{role}\n{text}<|im_end|>\n"
@@ -33,23 +35,33 @@ def chat_rows(df: DataFrame, condition: str = "condition", answer: str = "answer
 
 
 def exchanges(turns: DataFrame, prompt=SYSTEM_PROMPT) -> DataFrame:
-    """User turn and the assistant turn that follows it, from (conv_id, turn, role, text).
+    """Every user turn with its dialogue so far and the assistant turn that follows it directly.
 
-    An equality join on (conv_id, turn + 1): a conversation of any length is spread over all
-    tasks and never gathered.
+    From (conv_id, turn, role, text). `prefix_chat` holds all earlier turns of the conversation, its own
+    system turn or else `prompt`; `status` is 'unanswered' where no assistant turn follows, and
+    `full_chat` is null there. The dialogue so far is part of the result, so a conversation is
+    gathered by its window; its turns are what one training row has to hold.
     """
-    user = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("asked"))
-    reply = turns.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answered")
+    w = W.partitionBy("conv_id").orderBy("turn")
+    before = w.rowsBetween(W.unboundedPreceding, 0)
+    spoken = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
+    seen = turns.select(
+        "conv_id", "turn", "role", F.col("text").alias("asked"),
+        F.lead("turn").over(w).alias("_next"), F.lead("role").over(w).alias("_role"), F.lead("text").over(w).alias("answered"),
+        F.array_join(F.collect_list(spoken).over(before), "").alias("_so_far"),
+        F.max(F.col("role") == "system").over(before).alias("_system"),
     )
-    both = user.join(reply, ["conv_id", "turn"])
-    head = [("system", F.lit(prompt)), ("user", F.col("asked"))]
-    return both.withColumns(
+    head = F.when(F.col("_system"), "").otherwise(render_chat([("system", F.lit(prompt))]))
+    follows = F.coalesce((F.col("_next") == F.col("turn") + 1) & (F.col("_role") == "assistant"), F.lit(False))
+    both = keep_rows(seen, "role = 'user'").withColumns(
         {
-            "full_chat": render_chat([*head, ("assistant", F.col("answered"))]),
-            "prefix_chat": render_chat(head, generation_prompt=True),
+            "status": F.when(follows, "answered").otherwise("unanswered"),
+            "prefix_chat": F.concat(head, "_so_far", F.lit("<|im_start|>assistant\n")),
+            "answered": F.when(follows, F.col("answered")),
         }
     )
+    full = F.when(F.col("status") == "answered", F.concat("prefix_chat", "answered", F.lit("<|im_end|>\n")))
+    return both.withColumn("full_chat", full).drop("_next", "_role", "_so_far", "_system", "role")
 
 
 def training_rows(df: DataFrame, full: str = "full_ids", prefix: str = "prefix_ids", max_length: int = MAX_LENGTH) -> DataFrame:

@@ -63,7 +63,9 @@ class Codec:
         self.ids = {r["token"]: int(r["id"]) for r in rows}
         self.numbers = {}
         if numbers is not None:
-            found = numbers.select("n", "ids").filter(F.col("n").between(0, MAX_COORD)).collect()
+            found = numbers.select("n", "ids").limit(VOCAB_LIMIT + 1).collect()
+            if len(found) > VOCAB_LIMIT:
+                raise ValueError(f"more than {VOCAB_LIMIT} number tokens")
             self.numbers = {int(r["n"]): [int(i) for i in r["ids"]] for r in found}
 
     def get(self, token: str) -> int:
@@ -93,12 +95,8 @@ class Codec:
         """Column of ids; a bare number becomes the base vocabulary's ids for it."""
         if not self.numbers:
             return F.expr(f"transform({tokens}, t -> {self.token_id('t')})")
-        top = max(self.numbers) + 1
-        numbers = ", ".join(
-            f"array({', '.join(map(str, self.numbers[n]))})" if n in self.numbers else "cast(null as array<int>)"
-            for n in range(top)
-        )
-        one = f"coalesce(get(array({numbers}), try_cast(t as int)), array({self.token_id('t')}))"
+        numbers = ", ".join(f"{n}, array({', '.join(map(str, ids))})" for n, ids in self.numbers.items())
+        one = f"coalesce(try_element_at(map({numbers}), try_cast(t as int)), array({self.token_id('t')}))"
         return F.expr(f"flatten(transform({tokens}, t -> {one}))")
 
 
@@ -108,24 +106,16 @@ def split_unknown(df: DataFrame, ids: str):
     return keep_rows(df, f"not {unknown}"), keep_rows(df, unknown).withColumn("reason", F.lit("unknown_token"))
 
 
-def lookup_ids(df: DataFrame, tokens: str, vocab: DataFrame) -> DataFrame:
-    """Exploded lookup (one row per position) for a vocabulary that is only known as a table."""
-    return (
-        df.select("*", F.posexplode(tokens).alias("pos", "token"))
-        .join(F.broadcast(vocab.select("token", "id").limit(VOCAB_LIMIT)), "token", "left")
-    )
-
-
 def lookup_tokens(df: DataFrame, ids: str, vocab: DataFrame, number_tokens: DataFrame | None = None) -> DataFrame:
     """ids -> `tokens` (array<string>), `<UNK:id>` where an id has no token.
 
     The id lookup is one array literal over the id range of the vocabulary.
     """
     rows = vocab.select("token", "id").limit(VOCAB_LIMIT + 1).collect()
-    if number_tokens is not None:
-        rows += number_tokens.select("token", "id").limit(VOCAB_LIMIT + 1).collect()
-    if len(rows) > VOCAB_LIMIT:
+    more = [] if number_tokens is None else number_tokens.select("token", "id").limit(VOCAB_LIMIT + 1).collect()
+    if max(len(rows), len(more)) > VOCAB_LIMIT:
         raise ValueError(f"vocabulary has more than {VOCAB_LIMIT} tokens")
+    rows += more
     by_id = {int(r["id"]): r["token"] for r in rows}
     low, high = min(by_id), max(by_id)
     dense = [i for i in range(low, high + 1) if i in by_id] if high - low <= 4 * len(by_id) else None

@@ -21,12 +21,18 @@ def lines(spark, sf):
     """JSON lines of all plans; some cut off, some without relations, spread over three files."""
     base = jsonl.to_lines(tables.plans(spark, sf)).withColumn("k", F.col("plan_id").cast("long"))
     return base.select(
-        F.expr("case when k % 97 = 0 then left(value, length(value) - 5) when k % 89 = 0 then regexp_replace(value, ',\"spatial\":.*$', '}') else value end").alias("value"),
+        F.expr(
+            "case when k % 97 = 0 then left(value, length(value) - 5) when k % 89 = 0 then regexp_replace(value, ',\"spatial\":.*$', '}')"
+            " when k % 83 = 0 then regexp_replace(value, '\"spatial\":.*$', '\"spatial\":[[\"a\",2,\"right\"]]}')"
+            " when k % 79 = 0 then regexp_replace(value, '\"edges\":.*,\"front_door\"', '\"edges\":[{\"pair\":[null,0],\"doors\":[]}],\"front_door\"')"
+            " when k % 73 = 0 then replace(value, '\"rid\":0,', '\"rid\":\"0\",')"
+            " when k % 71 = 0 then regexp_replace(value, '\"coords\":.([0-9]+),', '\"coords\":[$1.0,') else value end"
+        ).alias("value"),
         F.expr("case k % 3 when 0 then 'single_output.jsonl' when 1 then 'plans_0001.jsonl' else 'plans_0002.jsonl' end").alias("file"),
     )
 
 
-_GOOD = "(plan_id::BIGINT % 97 <> 0 AND plan_id::BIGINT % 89 <> 0)"
+_GOOD = "(" + " AND ".join(f"plan_id::BIGINT % {k} <> 0" for k in (97, 89, 83, 79)) + ")"
 
 
 def _good_dump():
@@ -40,7 +46,8 @@ def ingest_jsonl(spark, sf):
 
 
 @query("ingest_quarantine", s.with_ctes(
-    """SELECT CASE WHEN ok % 97 = 0 THEN 'not_json' ELSE 'missing_spatial' END AS reason, count(*) AS n FROM outl WHERE ok % 97 = 0 OR ok % 89 = 0 GROUP BY 1"""))
+    """SELECT CASE WHEN ok % 97 = 0 THEN 'not_json' WHEN ok % 89 = 0 THEN 'missing_spatial' WHEN ok % 83 = 0 THEN 'bad_relation' ELSE 'bad_pair' END AS reason,
+       count(*) AS n FROM outl WHERE ok % 97 = 0 OR ok % 89 = 0 OR ok % 83 = 0 OR ok % 79 = 0 GROUP BY 1"""))
 def ingest_quarantine(spark, sf):
     _, bad = jsonl.ingest(lines(spark, sf))
     return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
@@ -62,9 +69,9 @@ def first_plan_by_file(spark, sf):
     return jsonl.first_by_priority(both).select("plan_id", "file", F.lit(2).alias("n_copies"))
 
 
-@query("list_plan_ids", s.with_ctes("SELECT plan_id FROM outl"))
+@query("list_plan_ids", "SELECT o_orderkey::VARCHAR AS plan_id FROM orders")
 def list_plan_ids(spark, sf):
-    return tables.plans(spark, sf).select("plan_id")
+    return tables.plan_ids(spark, sf)
 
 
 @query("oversized_plans", "SELECT l_orderkey::VARCHAR AS plan_id, 'too_many_rooms' AS reason, count(*) AS n_rooms FROM lineitem GROUP BY l_orderkey HAVING count(*) > 15")
@@ -108,35 +115,34 @@ def merge_room_types(spark, sf):
     return n.merge_types(items).groupBy("k", "line", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("filter_plan_ids", s.with_ctes("SELECT plan_id, n AS n_rooms FROM outl WHERE ok IN (SELECT doc_id FROM documents)"))
+@query("filter_plan_ids", "SELECT l_orderkey::VARCHAR AS plan_id, count(*) AS n_rooms FROM lineitem WHERE l_orderkey IN (SELECT doc_id FROM documents) GROUP BY l_orderkey")
 def filter_plan_ids(spark, sf):
     wanted = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("plan_id"))
-    return n.keep_plans(plans(spark, sf), wanted).select("plan_id", (F.size("rooms") - 1).alias("n_rooms"))
+    return n.keep_plans(tables.plan_sizes(spark, sf), wanted).select("plan_id", "n_rooms")
 
 
-@query("first_n_plans", s.with_ctes("SELECT plan_id, n AS n_rooms FROM outl ORDER BY ok LIMIT 100"))
+@query("first_n_plans", "SELECT l_orderkey::VARCHAR AS plan_id, count(*) AS n_rooms FROM lineitem GROUP BY l_orderkey ORDER BY l_orderkey LIMIT 100")
 def first_n_plans(spark, sf):
-    return n.first_plans(plans(spark, sf), 100).select("plan_id", (F.size("rooms") - 1).alias("n_rooms"))
+    return n.first_plans(tables.plan_sizes(spark, sf), 100).select("plan_id", "n_rooms")
 
 
 _SPLITU = s.u("split", variant="0")
 
 
-@query("split_by_hash", s.with_ctes(f"SELECT plan_id, CASE WHEN d < 0.005 THEN 'test' WHEN d < 0.006 THEN 'validation' ELSE 'train' END AS split FROM (SELECT plan_id, {_SPLITU} AS d FROM outl)"))
+@query("split_by_hash", s.with_ctes(f"SELECT plan_id, CASE WHEN d < 0.005 THEN 'test' WHEN d < 0.006 THEN 'validation' ELSE 'train' END AS split FROM (SELECT plan_id, {_SPLITU} AS d FROM (SELECT o_orderkey::VARCHAR AS plan_id FROM orders))"))
 def split_by_hash(spark, sf):
-    return quality.split_by_hash(plans(spark, sf).select("plan_id"))
+    return quality.split_by_hash(tables.plan_ids(spark, sf))
 
 
 @query("split_exact", f"""SELECT plan_id, CASE WHEN r <= nt THEN 'test' WHEN r <= nt + ceil((n - nt) * (0.001 / (1 - 0.005)) - 1e-9) THEN 'validation' ELSE 'train' END AS split
     FROM (SELECT plan_id, row_number() OVER (ORDER BY {_SPLITU}, plan_id) AS r, count(*) OVER () AS n, ceil(count(*) OVER () * 0.005 - 1e-9) AS nt FROM (SELECT o_orderkey::VARCHAR AS plan_id FROM orders))""")
 def split_exact(spark, sf):
-    keys = tables.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("plan_id"))
-    return quality.split_exact(keys)
+    return quality.split_exact(tables.plan_ids(spark, sf))
 
 
 @query("sample_rows", f"SELECT o_orderkey::VARCHAR AS plan_id FROM orders ORDER BY {s.u('sample', variant='0', plan='o_orderkey')}, 1 LIMIT 20")
 def sample_rows(spark, sf):
-    return quality.sample_rows(tables.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("plan_id")), 20)
+    return quality.sample_rows(tables.plan_ids(spark, sf), 20)
 
 
 def broken(spark, sf):
@@ -187,7 +193,7 @@ def file_report(spark, sf):
 
 @query("roundtrip_audit", s.with_ctes(
     f"""SELECT plan_id, {_GOOD} AS found, {_GOOD} AS same_room_count, {_GOOD} AS same_types, {_GOOD} AS same_coords, {_GOOD} AS same_pairs, {_GOOD} AS same_spatial_count
-        FROM outl WHERE ok % 97 <> 0 AND ok % 89 <> 0"""))
+        FROM outl WHERE ok % 97 <> 0 AND ok % 89 <> 0 AND ok % 83 <> 0 AND ok % 79 <> 0"""))
 def roundtrip_audit(spark, sf):
     parsed = keep_rows(jsonl.parse_lines(lines(spark, sf)), "raw._corrupt is null and raw.spatial is not null")
     good, _ = jsonl.ingest(lines(spark, sf))
@@ -197,10 +203,19 @@ def roundtrip_audit(spark, sf):
 _CHAT = f"'<|im_start|>system' || chr(10) || '{SYSTEM_PROMPT}' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || @U || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"
 
 
-@query("chat_exchanges", f"""SELECT u.conv_id, u.turn, {_CHAT.replace('@U', 'u.text')} || r.text || '<|im_end|>' || chr(10) AS full_chat, {_CHAT.replace('@U', 'u.text')} AS prefix_chat
-    FROM conversations u JOIN conversations r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1 WHERE u.role = 'user' AND r.role = 'assistant'""")
+_TURN = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
+
+
+@query("chat_exchanges", f"""WITH t AS (SELECT *, lead(turn) OVER w AS next_turn, lead(role) OVER w AS next_role, lead(text) OVER w AS reply,
+       string_agg({_TURN}, '' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn) AS so_far,
+       bool_or(role = 'system') OVER (PARTITION BY conv_id ORDER BY turn) AS has_system
+       FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    p AS (SELECT *, role = 'user' AND coalesce(next_turn = turn + 1 AND next_role = 'assistant', false) AS answered,
+       CASE WHEN has_system THEN '' ELSE '<|im_start|>system' || chr(10) || '{SYSTEM_PROMPT}' || '<|im_end|>' || chr(10) END || so_far || '<|im_start|>assistant' || chr(10) AS prefix FROM t WHERE role = 'user')
+    SELECT conv_id, turn, CASE WHEN answered THEN 'answered' ELSE 'unanswered' END AS status,
+       CASE WHEN answered THEN prefix || reply || '<|im_end|>' || chr(10) END AS full_chat, prefix AS prefix_chat FROM p""")
 def chat_exchanges(spark, sf):
-    return tr.exchanges(tables.table(spark, sf, "conversations")).select("conv_id", "turn", "full_chat", "prefix_chat")
+    return tr.exchanges(tables.table(spark, sf, "conversations")).select("conv_id", "turn", "status", "full_chat", "prefix_chat")
 
 
 _PAIR = {**COND0, **ANSW0}
@@ -215,15 +230,15 @@ def chat_rendering(spark, sf):
 
 _WORDS = """SELECT u.conv_id, u.turn, list_transform(string_split(u.text, ' '), lambda w: len(w)::INTEGER) AS p, list_transform(string_split(r.text, ' '), lambda w: len(w)::INTEGER) AS q
     FROM conversations u JOIN conversations r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1 WHERE u.role = 'user' AND r.role = 'assistant'"""
-_ROWS = {"wrd": _WORDS, "trow": "SELECT conv_id, turn, (p || q)[1:256] AS ids, (list_transform(p, lambda v: -100) || q)[1:256] AS lab FROM wrd"}
+_ROWS = {"wrd": _WORDS, "trow": "SELECT conv_id, turn, (p || q)[1:4096] AS ids, (list_transform(p, lambda v: -100) || q)[1:4096] AS lab FROM wrd"}
 
 
 def word_rows(spark, sf):
     """Training rows whose ids are word lengths (the sub-word codec is an input of the operator)."""
     ids = lambda c: F.expr(f"transform(split({c}, ' ', -1), w -> length(w))")
-    df = tr.exchanges(tables.table(spark, sf, "conversations"))
+    df = keep_rows(tr.exchanges(tables.table(spark, sf, "conversations")), "status = 'answered'")
     df = df.withColumn("prefix_ids", ids("asked")).withColumn("full_ids", F.concat(ids("asked"), ids("answered")))
-    return tr.training_rows(df, max_length=256)
+    return tr.training_rows(df)
 
 
 def joined(c, alias):

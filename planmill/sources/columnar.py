@@ -13,7 +13,8 @@ def read_split(spark: SparkSession, folder: str, split: str | None = None) -> Da
     df = spark.read.parquet(folder)
     if split is None or "split" not in df.columns:
         return df
-    found = [r["split"] for r in df.select("split").distinct().orderBy("split").limit(100).collect()]
-    if split not in found:
+    part = df.filter(F.col("split") == split)
+    if part.isEmpty():
+        found = [r["split"] for r in df.select("split").distinct().orderBy("split").collect()]
         raise KeyError(f"no split {split!r}; available: {found}")
-    return df.filter(F.col("split") == split)
+    return part

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from planmill.constants import SHARD_RECORDS
 from planmill.operators.rows import keep_rows
 
-# Door-shaped fields stay raw text first, because they may be null, an object or a list.
-RAW_SCHEMA = (
-    "plan_id string, rooms array<struct<rid:int,type:string,coords:array<int>>>,"
-    " edges array<struct<pair:array<int>,doors:string,door:string>>, front_door string,"
+# Numbers are read as text first: they may be integers, floats or text. Door-shaped fields stay raw
+# text, because they may be null, an object or a list.
+TEXT_SCHEMA = (
+    "plan_id string, rooms array<struct<rid:string,type:string,coords:array<string>>>,"
+    " edges array<struct<pair:array<string>,doors:string,door:string>>, front_door string,"
     " spatial array<array<string>>, _corrupt string"
 )
 DOOR = "struct<x:float,y:float,w:float,h:float>"
@@ -29,9 +30,27 @@ def with_priority(lines: DataFrame) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Add the raw record `raw`; `raw._corrupt` holds text that is not JSON."""
+    """Add the raw record `raw`; `raw._corrupt` holds text that is not JSON.
+
+    Room numbers, coordinates and pairs are whole numbers afterwards (fractions cut off), null where
+    the text is no number.
+    """
     options = "map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_corrupt')"
-    return lines.withColumn("raw", F.expr(f"from_json(value, '{RAW_SCHEMA}', {options})"))
+    typed = (
+        "if(_text is null, null, named_struct('plan_id', _text.plan_id,"
+        f" 'rooms', transform(_text.rooms, r -> named_struct('rid', {whole('r.rid')}, 'type', r.type,"
+        f" 'coords', transform(r.coords, c -> {whole('c')}))),"
+        f" 'edges', transform(_text.edges, e -> named_struct('pair', transform(e.pair, p -> {whole('p')}),"
+        " 'doors', e.doors, 'door', e.door)),"
+        " 'front_door', _text.front_door, 'spatial', _text.spatial, '_corrupt', _text._corrupt))"
+    )
+    parsed = lines.withColumn("_text", F.expr(f"from_json(value, '{TEXT_SCHEMA}', {options})"))
+    return parsed.withColumn("raw", F.expr(typed)).drop("_text")
+
+
+def whole(text: str) -> str:
+    """SQL text: number text as an integer, its fraction cut off; null for other text."""
+    return f"coalesce(try_cast({text} as int), try_cast(try_cast({text} as double) as int))"
 
 
 def door_list(text: str) -> str:
@@ -58,9 +77,11 @@ def normalize(records: DataFrame) -> DataFrame:
         "case when raw is null or raw._corrupt is not null then 'not_json'"
         " when raw.plan_id is null then 'missing_plan_id' when raw.rooms is null then 'missing_rooms'"
         " when raw.edges is null then 'missing_edges' when raw.spatial is null then 'missing_spatial'"
-        " when exists(raw.rooms, r -> r.rid is null or r.type is null or r.coords is null) then 'room_field'"
+        " when exists(raw.rooms, r -> r.rid is null or r.type is null or r.coords is null or exists(r.coords, c -> c is null)) then 'room_field'"
         " when exists(raw.edges, e -> e.pair is null or size(e.pair) < 2) then 'short_pair'"
-        " when exists(raw.spatial, t -> size(t) < 3) then 'short_relation'"
+        " when exists(raw.edges, e -> e.pair[0] is null or e.pair[1] is null) then 'bad_pair'"
+        " when exists(raw.spatial, t -> t is null or size(t) < 3) then 'short_relation'"
+        f" when exists(raw.spatial, t -> {whole('t[0]')} is null or {whole('t[1]')} is null or t[2] is null) then 'bad_relation'"
         f" when exists(_front, d -> {hole}) or exists(_edges, e -> e.door is null or exists(e.door, d -> {hole})) then 'door_field' end"
     )
     kept = [c for c in ("value", "file", "priority") if c in records.columns]
@@ -71,7 +92,7 @@ def normalize(records: DataFrame) -> DataFrame:
         F.col("_edges").alias("edges"),
         F.col("_front").alias("front_door"),
         F.expr(
-            "transform(raw.spatial, t -> named_struct('rid_a', try_cast(t[0] as int), 'rid_b', try_cast(t[1] as int), 'direction', get(t, 2)))"
+            f"transform(raw.spatial, t -> named_struct('rid_a', {whole('get(t, 0)')}, 'rid_b', {whole('get(t, 1)')}, 'direction', get(t, 2)))"
         ).alias("spatial"),
         reason.alias("reason"),
     )

@@ -1,7 +1,7 @@
 """Floor plans derived from the order / line-item tables.
 
 Every order is a plan and every line item a room, so all plan operators can run over whole
-tables. The result has the canonical nested schema (`schema.PLAN_SCHEMA`).
+tables. The result has the canonical nested columns.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +58,18 @@ def room_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def plan_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id of every order, also of those without items or with too many."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("plan_id"))
+
+
+def plan_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan_id, n_rooms) of every order with items; a partial count, so no order is gathered."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_rooms")).select(
+        F.col("l_orderkey").cast("string").alias("plan_id"), "n_rooms"
+    )
+
+
 def oversized_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that cannot be numbered as plans, with a reason code."""
     _, oversized = split_by_group_size(_items(spark, sf_dir), "l_orderkey", MAX_RID)
