@@ -4,6 +4,8 @@ A region never leaves its raster, and a raster has a fixed number of rows and co
 runs of one (plan, code) are gathered and labelled in one pass; there is no iteration over jobs.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,10 +28,55 @@ def label_runs(runs: str, connectivity: int = 4) -> str:
     return components(items, ["y", "x0", "x1"], touch)
 
 
+def region_of_runs(group, y, x0, x1, connectivity: int = 4) -> np.ndarray:
+    """For runs in (group, y, x0) order: the index of the first run of each run's region.
+
+    A run's neighbours in the next row are a range of its runs, found by binary search; labels then
+    fall to the smallest neighbour's and jump along until nothing changes.
+    """
+    d = 0 if connectivity == 4 else 1
+    row = (group.astype(np.int64) << 20) + y
+    span = np.int64(1 << 20)
+    begin = np.searchsorted(row * span + x1, (row + 1) * span + x0 - d, "left")
+    end = np.searchsorted(row * span + x0, (row + 1) * span + x1 + d, "right")
+    count = np.maximum(end - begin, 0)
+    one = np.repeat(np.arange(len(row)), count)
+    two = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    beside = np.flatnonzero((row[1:] == row[:-1]) & (x1[:-1] == x0[1:] - 1))
+    one, two = np.concatenate([one, beside]), np.concatenate([two, beside + 1])
+    label = np.arange(len(row))
+    while True:
+        least = np.minimum(label[one], label[two])
+        new = label.copy()
+        np.minimum.at(new, label[one], least)
+        np.minimum.at(new, label[two], least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def connected_components(runs: DataFrame, keys=("plan_id", "g"), connectivity: int = 4) -> DataFrame:
-    """(keys, lab, y, x0, x1): every run with its region's label."""
+    """(keys, lab, y, x0, x1): every run with its region's label, y * 65536 + x0 of its first run.
+
+    The runs of one (plan, code) are gathered; a task labels those of a whole batch at once.
+    """
     grouped = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))
-    return grouped.select(*keys, F.expr(f"inline_outer({label_runs('runs', connectivity)})")).filter("lab is not null")
+    n = len(keys)
+
+    def label(batches):
+        for batch in batches:
+            lists = batch.column(n)
+            flat = lists.flatten()
+            y, x0, x1 = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("y", "x0", "x1"))
+            group = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            first = region_of_runs(group, y, x0, x1, connectivity)
+            held = [batch.column(k).take(pa.array(group)) for k in range(n)]
+            rest = [pa.array(y[first] * _SPAN + x0[first], pa.int64()), *(pa.array(v, pa.int32()) for v in (y, x0, x1))]
+            yield pa.RecordBatch.from_arrays([*held, *rest], [*batch.schema.names[:n], "lab", "y", "x0", "x1"])
+
+    fields = "".join(f"`{k}` {runs.schema[k].dataType.simpleString()}, " for k in keys)
+    return grouped.mapInArrow(label, fields + "lab bigint, y int, x0 int, x1 int")
 
 
 def region_stats(labelled: DataFrame, keys=("plan_id", "g")) -> DataFrame:
