@@ -402,7 +402,7 @@ def augment(df: DataFrame, cfg: AugmentConfig = CODE_DEFAULT) -> DataFrame:
 
 
 def augment_summary(df: DataFrame, cfg: AugmentConfig = CODE_DEFAULT, none_text="없음") -> DataFrame:
-    """Readable list of what was applied to each row."""
+    """Readable list of what was applied to each row. The words and the "none" text are fixed values."""
     def listed(name, values, label="rids"):
         return (
             f"if(size({values}) = 0, cast(null as string),"

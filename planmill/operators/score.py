@@ -157,10 +157,10 @@ def simple_ring(points):
         f" and (s.x2 - s.x1) * (t.x2 - t.x1) + (s.y2 - s.y1) * (t.y2 - t.y1) < 0"
     )
     body = (
-        f"size(e) >= 3 and not exists(e, (s) -> false) and not exists(flatten(transform(e, (s, i) -> transform(filter(transform(e, (t, j) ->"
+        f"size(e) >= 3 and not exists(flatten(transform(e, (s, i) -> transform(filter(transform(e, (t, j) ->"
         f" named_struct('t', t, 'j', j)), z -> z.j > i), z -> {let('z.t', 't', f'if(z.j = i + 1, {back}, if(i = 0 and z.j = size(e) - 1, {_swapped(back)}, {_touching(chr(115), chr(116))}))')}))), b -> b)"
     )
-    return let(_sides(_ring_let(points)), "e", body.replace(" and not exists(e, (s) -> false)", ""))
+    return let(_sides(_ring_let(points)), "e", body)
 
 
 def _ring_let(points):

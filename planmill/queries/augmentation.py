@@ -273,12 +273,6 @@ TRANSFORM_SQL = [
 CHAIN = chained(TRANSFORM_SQL)
 
 
-def transformed(df, cfg=a.SFT):
-    for _, step in a.transform_steps(cfg):
-        df = df.transform(step)
-    return df
-
-
 @query("expand_variants", s.with_ctes(
     """SELECT plan_id, v::INTEGER AS variant, (42 * 1000 + sample_no * 100 + v)::BIGINT AS aug_seed, n AS n_rooms
        FROM (SELECT plan_id, n, ok AS sample_no, unnest([1, 2, 3]) AS v FROM outl)"""))

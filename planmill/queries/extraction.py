@@ -75,8 +75,10 @@ def front_door_box(spark, sf):
 @query("door_rectangularity", rec(
     f"SELECT plan_id, lab, area, area = (xb - xa + 1) * (yb - ya + 1) AS rectangular FROM stat WHERE g = {CODE_INTERIOR_DOOR}"))
 def door_rectangularity(spark, sf):
-    stats = regions.region_stats(regions.connected_components(runs(spark, sf).filter(F.col("g") == CODE_INTERIOR_DOOR)))
-    return stats.select("plan_id", "lab", "area", F.expr("area = (xb - xa + 1) * (yb - ya + 1)").alias("rectangular"))
+    found = regions.connected_components(runs(spark, sf).filter(F.col("g") == CODE_INTERIOR_DOOR))
+    cells = found.select("plan_id", "lab", "y", F.explode(F.sequence("x0", "x1")).alias("x0")).groupBy("plan_id", "lab").agg(
+        F.array_sort(F.collect_list(F.struct("y", "x0"))).alias("px"))
+    return cells.select("plan_id", "lab", F.size("px").cast("long").alias("area"), F.expr(doors.is_rectangle("px")).alias("rectangular"))
 
 
 _PROF = {

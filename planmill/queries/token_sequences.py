@@ -278,11 +278,8 @@ def drop_applied_view(spark, sf):
     {**ANSW0, **COND0}))
 def sequence_stats(spark, sf):
     df = tk.condition_tokens(a.keep_everything(tk.answer_tokens(plans(spark, sf))))
-    both = df.select(F.expr("stack(2, 'answer', size(answer), 'condition', size(condition)) as (kind, l)"))
-    return both.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"), F.min("l").alias("min_len"), F.max("l").alias("max_len"),
-        F.sum(F.col("l").cast("long")).alias("total_len"), F.round(F.avg("l"), 6).alias("avg_len"),
-    )
+    kinds = [tk.sequence_stats(df, c).drop("p50_p95").withColumn("kind", F.lit(c)) for c in ("answer", "condition")]
+    return kinds[0].unionByName(kinds[1])
 
 
 # --- vocabulary ------------------------------------------------------------------------------
