@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planmill.session import cut_lineage
+from planmill.llm.rows import settle
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -20,22 +20,27 @@ def _step(pairs: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every node has one edge to its root, and no root has an edge of its own."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("root")).union(
+        edges.select(F.col("b").alias("x"), F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("root").alias("root"))
+    return nodes.filter("out > 1 or (out = 1 and root = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of its component for every node of `edges` (a, b).
 
-    A round is two joins of edges with partial minima, so a hub of any degree is only one row of the
-    smaller side. Each round is written to the shared folder; rounds grow with the logarithm of the
-    longest chain. An empty table gives no rows.
+    A step is a join of edges with partial minima, so a hub of any degree is only one row of the
+    smaller side. Each step is written to the shared folder; rounds grow with the logarithm of the
+    longest chain. An edge from a node to itself adds no node; an empty table gives no rows.
     """
-    current = cut_lineage(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
-    seen = None
+    current = settle(edges.select("a", "b").filter(F.col("a") != F.col("b")))
     while True:
-        digest = current.agg(
-            F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")
-        ).first()
-        if digest == seen:
+        wide = settle(_step(_both(current), True))
+        current = settle(_step(_both(wide), False))
+        if _is_star(current):
             break
-        seen = digest
-        current = cut_lineage(_step(_both(_step(_both(current), True)), False))
     star = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return star.union(star.select(F.col("root").alias("node"), "root")).groupBy("node").agg(F.min("root").alias("root"))
+    return star.union(star.select(F.col("root").alias("node"), "root")).distinct()

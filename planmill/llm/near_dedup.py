@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planmill.llm.components import components
-from planmill.llm.rows import fresh
+from planmill.llm.rows import fresh, settle
 from planmill.llm.segments import text_groups
 from planmill.llm.shingles import band_keys, shingle_sets
 from planmill.session import cut_lineage
@@ -59,7 +59,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the named nodes, from the text of the first document of each."""
+    """(id, shingles) of the named nodes (id, content), from the text of one document of each."""
 
     def run(batches):
         for batch in batches:
@@ -68,20 +68,19 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 sets = shingle_sets(group)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, len(group)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    ["node", "shingles"],
+                    ["id", "shingles"],
                 )
                 begin += len(group)
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("content"), "text")
-    texts = keyed.join(nodes.select("node", "content"), "content").select("node", "text")
-    # rows that share a content key by chance or as repeated rows: any of equal sets will do
-    return texts.mapInArrow(run, "node binary, shingles array<bigint>").filter(F.size("shingles") > 0)
+    texts = keyed.join(nodes.select("id", "content"), "content").select("id", "text")
+    return texts.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * common >= percent * united shingles, on whole sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
 
     def run(batches):
         for batch in batches:
@@ -94,7 +93,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(run, "a binary, b binary")
+    return joined.mapInArrow(run, "a bigint, b bigint")
 
 
 def _fits(n: str, m: str, percent: int):
@@ -103,20 +102,47 @@ def _fits(n: str, m: str, percent: int):
 
 
 def _crossing(members: DataFrame, percent: int, *conditions) -> DataFrame:
-    """Pairs (a, b) of one bucket and two components that fit by size and meet the conditions."""
-    one = members.select("key", *[F.col(c).alias(c + "1") for c in ("node", "n", "root", "rare")])
-    two = members.select("key", *[F.col(c).alias(c + "2") for c in ("node", "n", "root", "rare")])
-    wanted = (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & _fits("n1", "n2", percent)
+    """Pairs (a, b) of one bucket and two components that fit by size and meet the conditions.
+
+    `keys` has all buckets of a member; a pair comes from the smallest one that both are in.
+    """
+    columns = ("id", "n", "root", "rare", "keys")
+    one = members.select("key", *[F.col(c).alias(c + "1") for c in columns])
+    two = members.select("key", *[F.col(c).alias(c + "2") for c in columns])
+    wanted = (F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & _fits("n1", "n2", percent)
     for c in conditions:
         wanted = wanted & c
-    joined = one.join(two, "key").filter(wanted)
-    return joined.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    once = F.array_min(F.array_intersect("keys1", "keys2")) == F.col("key")
+    return one.join(two, "key").filter(wanted & once).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+
+
+def _with_keys(members: DataFrame) -> DataFrame:
+    """Adds `keys`, the buckets of a member among those named (as many as bands or rare shingles)."""
+    return members.join(members.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
+
+
+def _rare_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key: shingle, id, df) for the shingles that 1 to RARE of the nodes have.
+
+    Up to three owners follow from the smallest, the largest and the exclusive or of all owners, so
+    that the many shingles of one owner need no join.
+    """
+    tokens = sets.join(nodes, "id").select("id", F.explode("shingles").alias("key"))
+    found = cut_lineage(
+        tokens.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("low"), F.max("id").alias("high"), F.expr("bit_xor(id)").alias("all"))
+        .filter(F.col("df") <= RARE)
+    )
+    owners = F.expr("case df when 1 then array(low) when 2 then array(low, high) else array(low, high, all ^ low ^ high) end")
+    few = found.filter("df <= 3").select("key", F.explode(owners).alias("id"), "df")
+    more = tokens.join(found.filter("df > 3").select("key", "df"), "key").select("key", "id", "df")
+    return few.union(more)
 
 
 def _left_over(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a bucket, lie in different components and may still be similar."""
-    placed = members.join(roots, "node", "left").select(
-        "key", "node", "n", F.coalesce("root", "node").alias("root"), F.lit(0).cast("bigint").alias("rare")
+    placed = members.join(roots, "id", "left").select(
+        "key", "id", "n", F.coalesce("root", "id").alias("root"), F.lit(0).cast("bigint").alias("rare")
     )
     open_ = (
         placed.groupBy("key")
@@ -124,20 +150,19 @@ def _left_over(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: i
         .filter("low != high")
         .select("key", "size")
     )
-    placed = cut_lineage(placed.join(open_, "key"))
-    direct = _crossing(placed.filter(F.col("size") <= SMALL), percent)
-
-    large = placed.filter(F.col("size") > SMALL).drop("rare")
-    nodes = large.select("node", "n", "root").distinct()
-    tokens = sets.join(nodes.select("node"), "node").select("node", F.explode("shingles").alias("token"))
-    rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= RARE)
-    held = tokens.join(rare, "token")
-    counts = held.groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
-    shared = held.filter("df > 1").join(nodes, "node").select("token", "node", "n", "root", F.lit(0).alias("rare"))
-    sharing = _crossing(shared.withColumnRenamed("token", "key"), percent)
-    ranked = large.join(counts, "node", "left").na.fill(0, ["rare"])
+    placed = settle(placed.join(open_, "key"))
+    direct = _crossing(_with_keys(placed.filter(F.col("size") <= SMALL)), percent)
+
+    large = placed.filter(F.col("size") > SMALL)
+    nodes = large.select("id", "n", "root").distinct()
+    rare = settle(_rare_shingles(nodes.select("id"), sets))
+    shared = rare.filter("df > 1").join(nodes, "id").select("key", "id", "n", "root", F.lit(0).alias("rare"))
+    sharing = _crossing(_with_keys(shared), percent)
+    counts = rare.groupBy("id").agg(F.count(F.lit(1)).alias("rare"))
+    ranked = large.drop("rare").join(counts, "id", "left").na.fill(0, ["rare"])
     common = F.least(F.col("n1") - F.col("rare1"), F.col("n2") - F.col("rare2"))
-    without = _crossing(ranked, percent, 100 * common >= percent * (F.col("n1") + F.col("n2") - common))
+    possible = 100 * common >= percent * (F.col("n1") + F.col("n2") - common)
+    without = _crossing(_with_keys(ranked), percent, possible)
     return direct.union(sharing).union(without).distinct()
 
 
@@ -155,36 +180,40 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         rows.filter("node is not null")
         .groupBy("node")
         .agg(F.min("doc_id").alias("doc"), F.min("content").alias("content"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("id", F.monotonically_increasing_id())
     )
-    banded = nodes.select("node", "doc", "n", F.explode("bands").alias("key"))
+    banded = nodes.select("id", "doc", "n", F.explode("bands").alias("key"))
     buckets = (
         banded.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "node")).alias("first"), F.min("node").alias("least"))
+        .agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("doc"), F.max("id").alias("most"))
         .filter("size > 1")
-        .select("key", F.col("first.node").alias("first"), "least")
+        .drop("size")
+    )
+    # the hubs are the member of the smallest doc_id and, if that is no other, the last
+    members = settle(
+        banded.join(buckets.withColumnRenamed("doc", "first"), "key").select("key", "id", "n", "most", F.col("doc").eqNullSafe(F.col("first")).alias("leads"))
     )
-    members = cut_lineage(banded.join(buckets, "key").select("key", "node", "n", "first", "least"))
-    involved = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    sets = cut_lineage(_sets(docs, involved).dropDuplicates(["node"]))
-
-    sizes = involved.select("node", "n")
-    hubs = members.select("node", F.explode(F.array("first", "least")).alias("hub"))
-    star = (
-        hubs.filter("node != hub")
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    involved = nodes.join(members.select("id").distinct(), "id", "left_semi")
+    sets = cut_lineage(_sets(docs, involved).dropDuplicates(["id"]))
+
+    sizes = involved.select("id", "n")
+    leaders = members.filter("leads").groupBy("key").agg(F.min("id").alias("hub"))
+    hubs = members.join(leaders, "key").select("id", "hub").union(members.select("id", F.col("most").alias("hub")))
+    star = settle(
+        hubs.filter("id != hub")
+        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
         .distinct()
-        .join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n1")), "a")
-        .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n2")), "b")
+        .join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n1")), "a")
+        .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n2")), "b")
         .filter(_fits("n1", "n2", percent))
         .select("a", "b")
     )
-    star = cut_lineage(star)
-    links = cut_lineage(confirmed(star, sets, percent))
-    others = _left_over(members.select("key", "node", "n"), sets, components(links), percent)
+    links = settle(confirmed(star, sets, percent))
+    others = _left_over(members.select("key", "id", "n"), sets, settle(components(links)).withColumnRenamed("node", "id"), percent)
     more = confirmed(others.join(star, ["a", "b"], "left_anti"), sets, percent)
-    roots = components(links.union(more))
+    roots = settle(components(links.union(more)))
 
-    placed = nodes.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = nodes.select("id", "node", "doc").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = placed.join(least, "root").select("node", "component_id")
     out = rows.drop("bands").join(named, "node", "left")

@@ -2,11 +2,23 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from planmill.session import cut_lineage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def settle(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """Materialise a table of narrow rows on the shared folder, read back in parts of about `rows`.
+
+    The parts are neighbouring partitions read by one task each, so what follows starts as many tasks
+    as the rows need and not as many as the step before had.
+    """
+    out = cut_lineage(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that `df` does not have yet, whatever its extra columns are called."""
     taken = {c.lower() for c in df.columns}
