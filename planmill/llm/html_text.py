@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,12 +59,19 @@ def _attributes(source: str) -> dict:
 def parse(page: str) -> Node:
     """Tree of a page. Missing end tags are implied, stray ones ignored, comments dropped."""
     root = Node("body")
-    open_ = [root]
+    open_, counts = [root], Counter()
     at, end = 0, len(page)
 
+    def push(node: Node):
+        open_.append(node)
+        counts[node.tag] += 1
+
     def close(tags, within=frozenset()) -> bool:
+        if not any(counts[t] for t in tags):
+            return False  # without a walk down the open elements
         for i in range(len(open_) - 1, 0, -1):
             if open_[i].tag in tags:
+                counts.subtract(n.tag for n in open_[i:])
                 del open_[i:]
                 return True
             if open_[i].tag in within:
@@ -73,7 +81,7 @@ def parse(page: str) -> Node:
     def text(s: str):
         if s:
             if open_[-1].tag == "head" and s.strip():
-                open_.pop()
+                close({"head"})
             open_[-1].children.append(html.unescape(s))
 
     while at < end:
@@ -89,7 +97,7 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag == "br":
                 open_[-1].children.append(Node("br"))
-            elif tag == "p" and not any(n.tag == "p" for n in open_):
+            elif tag == "p" and not counts["p"]:
                 open_[-1].children.append(Node("p"))
             elif tag not in ("html", "body"):
                 close({tag}, frozenset() if tag in ("table", "head") else {"table"} if tag in ("tr", "tbody", "thead", "tfoot", "td", "th", "caption") else {"td", "th", "caption", "table"})
@@ -97,7 +105,7 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         if tag not in IN_HEAD and open_[-1].tag == "head":
-            open_.pop()
+            close({"head"})
         if tag in ENDS_P:
             close({"p"}, {"td", "th", "caption", "table", "button", "object"})
         if tag in IMPLIED:
@@ -105,7 +113,7 @@ def parse(page: str) -> Node:
         if tag in ("td", "th") and open_[-1].tag in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr")
             open_[-1].children.append(row)
-            open_.append(row)
+            push(row)
         node = Node(tag, _attributes(m[3]))
         open_[-1].children.append(node)
         if tag in RAW:
@@ -113,11 +121,8 @@ def parse(page: str) -> Node:
             inside = page[at : stop.start()] if stop else page[at:]
             node.children.append(html.unescape(inside) if tag in ("title", "textarea") else inside)
             at = page.find(">", stop.start()) + 1 or end if stop else end
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            open_.append(node)
-        elif tag not in VOID:
-            if tag not in ("svg", "math", "path"):
-                open_.append(node)  # the slash means nothing on other elements
+        elif tag not in VOID and not (tag in ("svg", "math", "path") and m[3].rstrip().endswith("/")):
+            push(node)  # a slash at the end means nothing on other elements
     return root
 
 

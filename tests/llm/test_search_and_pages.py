@@ -67,7 +67,7 @@ PAGES = [
     ("<ul><li>a<li>b<ol><li>x</li><li>y</ol></ul>z", "- a\n- b\n  1. x\n  2. y\n\nz"),
     ("<table><tr><th>Name<th>Qty<tr><td>fig<td>12<tr><td>banana</table>", "Name    Qty\nfig     12\nbanana"),
     ("<table><tr><td colspan=2>wide cell</td><td>c</td></tr><tr><td>a</td><td>b</td><td>d</td></tr></table>", "wide cell  c\na  b       d"),
-    ("a<!-- b -->c<script>var t='</p>';</script><div hidden>d</div><p style='display: none'>e</p>f", "ac\nf"),
+    ("a<!-- b -->c<script>var t='</p>';</script><div hidden>d</div><p style='display: none'>e</p>f", "acf"),
     ("<pre>a\n  b</pre>", "a\n  b"),
     ("1 &lt; 2 &amp; &#233; &nosuch;", "1 < 2 & é &nosuch;"),
     ("</p></div><b>bold<p>x", "bold\n\nx"),
