@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from planmill.llm.components import components
 from planmill.llm.rows import fresh, settle
-from planmill.llm.segments import text_groups
+from planmill.llm.segments import in_parts, text_groups
 from planmill.llm.shingles import band_keys, shingle_sets
 from planmill.session import cut_lineage
 
 GROUP_CHARS = 1 << 18
 SMALL = 32
+#: Bits of the marks that keep other texts out of the join of `_sets`; at most SLOTS / 64 rows are broadcast.
+SLOTS = 1 << 22
 RARE = 8
 
 
@@ -33,7 +35,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, content, n, node, bands): set size, 16-byte set key (null: no words), band keys."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             begin = 0
             for group in text_groups(batch.column(2).to_pylist(), GROUP_CHARS):
                 sets = shingle_sets(group)
@@ -62,7 +64,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, shingles) of the named nodes (id, content), from the text of one document of each."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             begin = 0
             for group in text_groups(batch.column(1).to_pylist(), GROUP_CHARS):
                 sets = shingle_sets(group)
@@ -72,8 +74,17 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 )
                 begin += len(group)
 
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("content"), "text")
-    texts = keyed.join(nodes.select("id", "content"), "content").select("id", "text")
+    slot = F.pmod("content", F.lit(SLOTS))
+    marks = (
+        nodes.select(slot.alias("slot"))
+        .groupBy(F.expr("slot div 64").alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("mask"))
+    )
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("content"), "text").withColumn("slot", slot)
+    near = keyed.join(F.broadcast(marks), F.expr("slot div 64") == F.col("word")).filter(
+        "mask & shiftleft(1L, cast(slot % 64 as int)) != 0"
+    )
+    texts = near.join(nodes.select("id", "content"), "content").select("id", "text")
     return texts.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
