@@ -9,9 +9,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from planmill.llm.segments import SegmentCodes, gather, segments, text_groups
+from planmill.llm.segments import SegmentCodes, gather, in_parts, segments, text_groups
 
 GROUP_CHARS = 1 << 20
+KNOWN_SEGMENTS = 200_000
 
 
 class Merges:
@@ -174,17 +175,10 @@ def encode_pieces(texts: list[str], pattern, merges: Merges) -> tuple[np.ndarray
 @functools.lru_cache(maxsize=2)
 def _codes(rank_file: bytes, pattern: str) -> tuple[SegmentCodes, Merges]:
     merges, compiled = Merges(rank_file), regex.compile(pattern)
-    return SegmentCodes(lambda new: encode_pieces(new, compiled, merges)), merges
+    return SegmentCodes(lambda new: encode_pieces(new, compiled, merges), KNOWN_SEGMENTS), merges
 
 
-def encode(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
-    """(doc_id, ids): the ids of every whole text as little-endian unsigned 32-bit integers.
-
-    Merges are replayed over all new pieces of an Arrow batch at once. Null and empty texts have no
-    ids. Rows that share a doc_id are encoded each; a null doc_id stays null; an empty table gives
-    no rows. Only doc_id and text are read.
-    """
-
+def _encoded(docs: DataFrame, rank_file: bytes, pattern: str, with_decoded: bool) -> DataFrame:
     def run(batches):
         codes, _ = _codes(rank_file, pattern)
         for batch in batches:
@@ -207,16 +201,36 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
                 begin = stop
 
     def rows(batches):
-        for batch in batches:
+        _, merges = _codes(rank_file, pattern)
+        for batch in in_parts(batches, 4096):
             at = 0
             for ids in run([batch]):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(ids)), pa.array(ids, pa.binary())], ["doc_id", "ids"]
-                )
+                columns = [batch.column(0).slice(at, len(ids)), pa.array(ids, pa.binary())]
+                if with_decoded:
+                    decoded = [merges.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in ids]
+                    columns.append(pa.array(decoded, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
                 at += len(ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, ids binary")
+    fields = f"doc_id {kind}, ids binary" + ", decoded binary" * with_decoded
+    return docs.select("doc_id", "text").mapInArrow(rows, fields)
+
+
+def encode(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
+    """(doc_id, ids): the ids of every whole text as little-endian unsigned 32-bit integers.
+
+    Merges are replayed over all new pieces of a few thousand texts at once. Null and empty texts have no
+    ids. Rows that share a doc_id are encoded each; a null doc_id stays null; an empty table gives
+    no rows. Only doc_id and text are read.
+    """
+
+    return _encoded(docs, rank_file, pattern, False)
+
+
+def round_trip(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded): as `encode`, with the bytes that the ids stand for, in one pass."""
+    return _encoded(docs, rank_file, pattern, True)
 
 
 def decode(encoded: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planmill.llm.fm_index import FmIndex
-from planmill.llm.segments import text_groups
+from planmill.llm.segments import in_parts, text_groups
 
 WINDOW = 10
 GROUP_CHARS = 1 << 22
@@ -129,9 +129,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, gr
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     n = len(columns)
 
-    def search(windows: Windows):
+    def search(windows: Windows, last: bool):
         def run(batches):
-            for batch in batches:
+            for batch in in_parts(batches, 4096):
                 begin = 0
                 for group in text_groups(batch.column(at).to_pylist(), GROUP_CHARS):
                     part = batch.slice(begin, len(group))
@@ -143,11 +143,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, gr
                     for d, f, e, own in windows.occurrences(doc_words):
                         spans[d].append((f, e))
                         items[d].update(own)
+                    merged = [_merged(s) for s in spans]
+                    arrays = part.columns[:n]
+                    if last:  # earlier passes still need the whole text
+                        texts = part.column(at).to_pylist()
+                        kept = [cut(t, s) if s else t for t, s in zip(texts, merged, strict=True)]
+                        arrays[at] = pa.array(kept, pa.string())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            *part.columns[:n],
+                            *arrays,
                             pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                            pa.array([[v for s in _merged(x) for v in s] for x in spans], pa.list_(pa.int32())),
+                            pa.array([[v for s in x for v in s] for x in merged], pa.list_(pa.int32())),
                             pa.array([len(w) for w in doc_words], pa.int64()),
                         ],
                         [*columns, "items", "spans", "n_words"],
@@ -155,19 +161,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, gr
 
         return run
 
-    def remove(batches):
-        for batch in batches:
-            texts, spans = batch.column(at).to_pylist(), batch.column(n + 1).to_pylist()
-            new = [t if not s else cut(t, list(zip(s[::2], s[1::2], strict=True))) for t, s in zip(texts, spans, strict=True)]
-            arrays = [*batch.columns]
-            arrays[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, "items", "spans", "n_words"])
-
     schema = f"{fields}, items array<string>, spans array<int>, n_words bigint"
     out = docs
-    for group in item_groups(benchmark, group_bytes):
-        out = out.mapInArrow(search(Windows(group, width)), schema)
-    out = out.mapInArrow(remove, schema)
+    groups = item_groups(benchmark, group_bytes)
+    for k, group in enumerate(groups, 1):
+        out = out.mapInArrow(search(Windows(group, width), k == len(groups)), schema)
     return out.select(
         *[F.col(f"`{c}`") for c in columns],
         "n_words",

@@ -82,6 +82,13 @@ class SegmentCodes:
         return gather(self.flat, self.starts[rows], lens), np.diff(bounds)
 
 
+def in_parts(batches, rows: int = 1024):
+    """The batches in slices of at most `rows`, so that only few texts are Python strings at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def text_groups(texts: list, size: int) -> list[list[str]]:
     """Neighbouring texts (null: empty) in groups of about `size` characters."""
     groups, group, held = [], [], 0

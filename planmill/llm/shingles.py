@@ -14,7 +14,7 @@ class _WordHashes(dict):
     """64-bit hashes of words; starts anew when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -103,6 +103,8 @@ def test_bpe_round_trip(make_docs, ranks, reference):
     rows = bpe.decode(encoded, ranks, public_tokenizers.PATTERN).collect()
     want = Counter((i, np.array(reference.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in TEXTS)
     assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in rows) == want
+    at_once = bpe.round_trip(make_docs(TEXTS), ranks, public_tokenizers.PATTERN).collect()
+    assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in at_once) == want
     assert bpe.encode(make_docs([]), ranks, public_tokenizers.PATTERN).count() == 0
 
 
