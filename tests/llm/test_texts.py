@@ -162,6 +162,24 @@ def test_suffix_dedup(make_docs, block_bytes, hot_blocks):
         assert sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) == r.n_removed
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_suffix_dedup_equal_strings_in_one_block(make_docs, monkeypatch, turned):
+    """Answers to contexts of one string and to that string, in both orders of arrival."""
+    remove = suffix_dedup._remove
+
+    def in_order(*args):
+        run = remove(*args)
+        return lambda key, table: run(key, table.take(list(range(len(table)))[:: -1 if turned else 1]))
+
+    monkeypatch.setattr(suffix_dedup, "_remove", in_order)
+    passages = [sentence(40, random.Random(k))[:50] for k in range(8)]
+    rows = [(k, "before it " + p + " and after") for k, p in enumerate(passages)]
+    rows += [(100 + 10 * k + j, p) for k, p in enumerate(passages) for j in range(3)]
+    rows += [(15 + 200 * (k % 2), "<" + p + ">") for k, p in enumerate(passages)]
+    out = suffix_dedup.remove_repeats(make_docs(rows).coalesce(1), hot_blocks=0).collect()
+    assert by_row(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows)
+
+
 def test_suffix_dedup_empty(make_docs):
     assert suffix_dedup.remove_repeats(make_docs([])).count() == 0
 
