@@ -24,7 +24,7 @@ from planmill.session import shared_folder
 def op1_token_store(spark, sf_dir):
     vocabulary = read_small_file(public_tokenizers.path("byte_bpe_50k.json"))
     path = shared_folder(spark, "token-store")
-    token_store.write_store(table(spark, sf_dir, "documents"), path, vocabulary, end_id=0)
+    token_store.write_store(table(spark, sf_dir, "documents"), path, vocabulary, end_id=0, added_tokens=True)
     return token_store.read_records(spark, path)
 
 

@@ -9,6 +9,7 @@ A key is found by one hash, one slot, one comparison; the payload is read at its
 """
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -32,17 +33,24 @@ STORE_SCHEMA = (
 
 
 @functools.lru_cache(maxsize=2)
-def _codes(vocabulary: bytes) -> tuple[SegmentCodes, int]:
-    """Segment ids by the tokenizers library, and the bytes per stored id."""
+def _codes(vocabulary: bytes, added_tokens: bool) -> tuple[SegmentCodes, int, re.Pattern | None]:
+    """Segment ids by the tokenizers library, the bytes per stored id, and what finds added tokens."""
     tokenizer = Tokenizer.from_buffer(vocabulary)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added_tokens
     if tokenizer.normalizer is not None or '"ByteLevel"' not in vocabulary.decode("utf-8"):
         raise ValueError("a byte-level vocabulary without normalizer is needed")
     vocab = tokenizer.get_vocab(with_added_tokens=False)
-    size = max(vocab.values()) + 2
+    added = tokenizer.get_added_tokens_decoder() if added_tokens else {}
+    if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+        raise ValueError("added tokens that depend on the text around them are not supported")
+    size = max([*vocab.values(), *added]) + 2
     n_bytes = np.zeros(size, np.int64)
     for token, i in vocab.items():
         n_bytes[i] = len(token)  # one character per byte
+    for i, token in added.items():
+        n_bytes[i] = len(token.content.encode("utf-8"))
+    names = sorted((t.content for t in added.values()), key=len, reverse=True)
+    find = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
     def encode_many(new: list[str]):
         ids, lens, run, held = [], [], [], 0
@@ -67,7 +75,14 @@ def _codes(vocabulary: bytes) -> tuple[SegmentCodes, int]:
             flush()
         return np.concatenate(ids), np.concatenate(lens)
 
-    return SegmentCodes(encode_many), (2 if size <= 1 << 16 else 4)
+    return SegmentCodes(encode_many), (2 if size <= 1 << 16 else 4), find
+
+
+def _parts(text: str, find: re.Pattern | None) -> list[str]:
+    """Segments of a text; an added token is one of its own, as the text before it ends there."""
+    if find is None or not find.search(text):
+        return segments(text)
+    return [s for k, t in enumerate(find.split(text)) for s in ([t] if k % 2 else segments(t))]
 
 
 def _with_end(ids: np.ndarray, lens: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +126,16 @@ def _find(shard: dict, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(known, firsts, -1), np.where(known, counts, 0)
 
 
-def encode_shards(docs: DataFrame, vocabulary: bytes, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def encode_shards(
+    docs: DataFrame, vocabulary: bytes, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, added_tokens: bool = False
+) -> DataFrame:
     """Shard rows of all documents in ascending doc_id order (null first, ties by text hash).
 
     Null and empty texts hold the end id alone. Rows that share a doc_id are records of one key.
     An empty table gives no shards. Only doc_id and text are read. Rows are dealt out by range, with
-    the row number as last tie-break, so that no repeated key can fill one task.
+    the row number as last tie-break, so that no repeated key can fill one task. With `added_tokens`,
+    ids are those of the library's encode by default: an added token of the vocabulary (such as
+    <|endoftext|>) is one id wherever a text holds it; without, it is text like any other.
     """
     order = ["doc_id", "_content", "_row"]
     rows = docs.select(
@@ -135,7 +154,7 @@ def encode_shards(docs: DataFrame, vocabulary: bytes, end_id: int = 0, shard_tok
 
     def write(batches):
         part = TaskContext.get().partitionId()
-        codes, width = _codes(vocabulary)
+        codes, width, find = _codes(vocabulary, added_tokens)
         ids, lens, keys = [], [], []
         state = {"shard": 0, "start": 0}
 
@@ -156,7 +175,7 @@ def encode_shards(docs: DataFrame, vocabulary: bytes, end_id: int = 0, shard_tok
         for batch in batches:
             doc_ids, at = batch.column(0).to_pylist(), 0
             for group in text_groups(batch.column(1).to_pylist(), GROUP_CHARS):
-                parts = [segments(t) for t in group]
+                parts = [_parts(t, find) for t in group]
                 codes.learn({s for doc in parts for s in doc})
                 flat, each = _with_end(*codes.encode(parts), end_id)
                 ends, begin = np.cumsum(each), 0
@@ -177,9 +196,9 @@ def encode_shards(docs: DataFrame, vocabulary: bytes, end_id: int = 0, shard_tok
     return dealt.mapInArrow(write, STORE_SCHEMA)
 
 
-def write_store(docs: DataFrame, path: str, vocabulary: bytes, end_id: int = 0) -> None:
+def write_store(docs: DataFrame, path: str, vocabulary: bytes, end_id: int = 0, added_tokens: bool = False) -> None:
     """Write the store of all documents into the folder `path`."""
-    encode_shards(docs, vocabulary, end_id).write.option("parquet.block.size", 16 << 20).parquet(path)
+    encode_shards(docs, vocabulary, end_id, added_tokens=added_tokens).write.option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from planmill.llm import bpe, decontaminate, language, line_dedup, near_dedup, perfect_hash, segments, sharding
-from planmill.llm import suffix_dedup, token_store
+from planmill.llm import queries, suffix_dedup, token_store
 from planmill.llm.rows import read_small_file
 
 rng = random.Random(5)
@@ -70,6 +70,24 @@ def test_token_store(spark, make_docs, tmp_path):
     assert Counter((r.doc_id, tuple(r.ids)) for r in found) == Counter((i, tuple(ids[t])) for i, t in TEXTS if i in (10, 17))
 
 
+def test_token_store_query_has_added_tokens(spark, make_docs, tmp_path):
+    """The query gives the ids of an unchanged Tokenizer, also around added tokens."""
+    end = "<|endoftext|>"
+    odd = [end, end * 2, f"a{end}b", f"a  {end}  b", f" {end} c  ", f"x\n {end}\n\ny", f"   {end}", "<|endof text|>", f"<{end}>", f"it{end}'s"]
+    rows = TEXTS + [(500 + k, t) for k, t in enumerate(odd)]
+    make_docs(rows).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    tk = Tokenizer.from_buffer(read_small_file(public_tokenizers.path("byte_bpe_50k.json")))
+    ids = {t: [*tk.encode(t or "", add_special_tokens=False).ids, 0] for _, t in rows}
+    assert tk.token_to_id(end) in ids[odd[3]]
+    got = queries.op1_token_store(spark, str(tmp_path)).collect()
+    crc = lambda t: zlib.crc32(np.array(ids[t], "<u4").tobytes())
+    assert by_row(got, "doc_id", "n_tokens", "ids_crc32") == Counter((i, len(ids[t]), crc(t)) for i, t in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+
+
 def test_token_store_shards_and_empty(spark, make_docs, tmp_path):
     raw = read_small_file(public_tokenizers.path("byte_bpe_50k.json"))
     shards = token_store.encode_shards(make_docs(TEXTS).coalesce(1), raw, shard_tokens=50).collect()
