@@ -401,6 +401,12 @@ def augment(df: DataFrame, cfg: AugmentConfig = CODE_DEFAULT) -> DataFrame:
     return df.transform(lambda d: drop_state(d, cfg)).transform(lambda d: coord_noise(d, cfg))
 
 
+def augment_with_rejected(df: DataFrame, cfg: AugmentConfig = CODE_DEFAULT):
+    """(augmented plans, input rows that `augment` leaves out, with a reason)."""
+    _, rejected = split_unnumberable(df)
+    return augment(df, cfg), rejected if cfg.shuffle_rid else rejected.limit(0)
+
+
 def augment_summary(df: DataFrame, cfg: AugmentConfig = CODE_DEFAULT, none_text="없음") -> DataFrame:
     """Readable list of what was applied to each row. The words and the "none" text are fixed values."""
     def listed(name, values, label="rids"):

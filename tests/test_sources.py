@@ -115,3 +115,14 @@ def test_hot_plan_is_set_aside(spark, tmp_path):
     over = tables.oversized_plans(spark, str(tmp_path)).collect()
     assert [r["plan_id"] for r in over] == ["7"]
     assert tables.plans(spark, str(tmp_path)).filter("plan_id = '7'").count() == 0
+
+
+def test_augment_hands_on_what_it_leaves_out(plans):
+    many = plans.limit(1).withColumn("plan_id", F.lit("many")).withColumn(
+        "rooms", F.expr("concat(slice(rooms, 1, 1), transform(sequence(1, 16), k -> named_struct('rid', k, 'type', 'kitchen', 'coords', rooms[1].coords)))")
+    )
+    df = a.expand_variants(plans.limit(5).unionByName(many), 2)
+    for cfg in (a.SFT, a.replace(a.SFT, shuffle_rid=False)):
+        done, rejected = a.augment_with_rejected(df, cfg)
+        assert {r.plan_id for r in rejected.collect()} == ({"many"} if cfg.shuffle_rid else set())
+        assert done.count() + rejected.count() == df.count() == 12
