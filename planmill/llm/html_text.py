@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 HIDDEN = {"head", "script", "style", "template", "iframe", "noembed", "noframes", "datalist", "audio", "video",
-          "canvas", "object", "svg", "math", "title", "meta", "link", "base"}
+          "canvas", "object", "annotation", "annotation-xml", "title", "meta", "link", "base"}
+SVG_HIDDEN = {"defs", "symbol", "desc", "metadata", "clippath", "mask", "pattern", "marker"}
+#: HTML start tags that end an open svg or math, and the elements of these that may hold HTML.
+BREAKOUT = {"b", "big", "blockquote", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4",
+            "h5", "h6", "hr", "i", "img", "li", "menu", "nobr", "ol", "p", "pre", "ruby", "s", "small", "span", "strong",
+            "strike", "sub", "sup", "table", "tt", "u", "ul", "var"}
+HOLDS_HTML = ("foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")
 IN_HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
 SPACED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "menu", "dl", "table", "blockquote", "pre", "figure", "hr", "fieldset"}
 BLOCK = SPACED | {"address", "article", "aside", "body", "center", "dd", "details", "div", "dt", "figcaption", "footer",
@@ -39,7 +45,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
+_NO_BOX = re.compile(r"(?<![\w-])display\s*:\s*none")
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|initial|hidden|collapse)")
 
 
 class Node:
@@ -91,9 +98,13 @@ def parse(page: str) -> Node:
             break
         text(page[at : m.start()])
         at = m.end()
+        foreign = counts.get("svg") or counts.get("math")
         if m[2] is None:
+            if foreign and m[0].startswith("<![CDATA["):
+                open_[-1].children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
+        foreign = foreign and not any(counts[t] for t in HOLDS_HTML)
         if m[1]:
             if tag == "br":
                 open_[-1].children.append(Node("br"))
@@ -106,6 +117,10 @@ def parse(page: str) -> Node:
             continue
         if tag not in IN_HEAD and open_[-1].tag == "head":
             close({"head"})
+        if foreign and tag in BREAKOUT:
+            foreign = False
+            while close({"svg", "math"}):
+                pass
         if tag in ENDS_P:
             close({"p"}, {"td", "th", "caption", "table", "button", "object"})
         if tag in IMPLIED:
@@ -116,23 +131,27 @@ def parse(page: str) -> Node:
             push(row)
         node = Node(tag, _attributes(m[3]))
         open_[-1].children.append(node)
-        if tag in RAW:
+        if tag in RAW and not (foreign and m[3].rstrip().endswith("/")):
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             inside = page[at : stop.start()] if stop else page[at:]
             node.children.append(html.unescape(inside) if tag in ("title", "textarea") else inside)
             at = page.find(">", stop.start()) + 1 or end if stop else end
-        elif tag not in VOID and not (tag in ("svg", "math", "path") and m[3].rstrip().endswith("/")):
-            push(node)  # a slash at the end means nothing on other elements
+        elif tag not in VOID and not ((foreign or tag in ("svg", "math", "path")) and m[3].rstrip().endswith("/")):
+            push(node)  # a slash at the end means nothing on HTML elements
     return root
 
 
-def _visible(node: Node) -> bool:
+def _has_box(node: Node) -> bool:
     a = node.attributes
-    if node.tag in HIDDEN or "hidden" in a:
+    if node.tag in HIDDEN or node.tag == "input" or "hidden" in a:
         return False
-    if node.tag == "input":
-        return False
-    return not ("style" in a and _UNSEEN.search(a["style"].lower()))
+    return not ("style" in a and _NO_BOX.search(a["style"].lower()))
+
+
+def _seen(node: Node, seen: bool) -> bool:
+    """Whether an element's own text is seen; visibility is inherited until an element sets it."""
+    found = _VISIBILITY.findall(node.attributes["style"].lower()) if "style" in node.attributes else ()
+    return found[-1] in ("visible", "initial") if found else seen
 
 
 class Flow:
@@ -181,6 +200,34 @@ def _span(node: Node) -> int:
     return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() else 1
 
 
+def _rows(node: Node) -> int:
+    """Rows of a cell; 0 means all that follow in the group, which a huge number does as well."""
+    value = node.attributes.get("rowspan", "1").strip()
+    return (min(int(value[:9]), 65534) or 65534) if value.isascii() and value.isdigit() else 1
+
+
+def _placed(rows: list[list[tuple[int, int, list[str]]]], groups: list[int]) -> list[list[tuple[int, list[str]]]]:
+    """Rows of (columns, lines) from cells (columns, rows, lines): empty cells where one from above stands.
+
+    groups: rows at which a row group begins; no cell reaches across.
+    """
+    out, taken, starts = [], {}, set(groups)
+    for y, row in enumerate(rows):
+        if y in starts:
+            taken = {}
+        at, cells = 0, []
+        for span, down, lines in row:
+            while taken.get(at, 0) > y:
+                cells.append((1, []))
+                at += 1
+            cells.append((span, lines))
+            if down > 1:
+                taken.update((c, y + down) for c in range(at, at + span))
+            at += span
+        out.append(cells)
+    return out
+
+
 def table_lines(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
     """Cells (columns, lines) of each row, set in columns of equal width two spaces apart."""
     widths: dict[int, int] = {}
@@ -210,10 +257,13 @@ def render(root: Node) -> str:
     """Visible text of a tree, walked with an own stack so that depth has no limit."""
     flows, tables, lists = [Flow()], [], []
     pre = 0
-    stack: list[tuple] = [(root, False)]
+    # seen: by visibility; drawn: None in HTML, in svg whether text is drawn here
+    stack: list[tuple] = [(root, False, True, None)]
     while stack:
-        node, leaving = stack.pop()
+        node, leaving, seen, drawn = stack.pop()
         if isinstance(node, str):
+            if not seen or drawn is False:
+                continue
             flow = flows[-1]
             if tables and tables[-1][1] is flow and not node.strip():
                 continue
@@ -221,13 +271,23 @@ def render(root: Node) -> str:
             continue
         tag, flow = node.tag, flows[-1]
         if not leaving:
-            if not _visible(node):
+            if not _has_box(node) or (drawn is not None and tag in SVG_HIDDEN):
+                continue
+            seen = _seen(node, seen)
+            if tag == "svg":
+                drawn = False
+            elif drawn is False and tag == "text":
+                flow.text(" ")  # labels stand apart
+                drawn = True
+            elif drawn is not None and tag == "foreignobject":
+                drawn = None
+            if tag == "br" and not seen:
                 continue
             if tag == "br":
                 flow.put(flow.line.rstrip()) if flow.line else flow.put("")
                 flow.line = ""
                 continue
-            if tag in BLOCK and tag not in ("td", "th"):
+            if seen and tag in BLOCK and tag not in ("td", "th"):
                 nested = tag in ("ul", "ol", "menu") and lists
                 flow.margin(0 if nested or tag not in SPACED else 1)
             if tag in ("ul", "ol", "menu"):
@@ -239,41 +299,51 @@ def render(root: Node) -> str:
                 if kind[0] == "ol" and value.isascii() and value.isdigit():
                     kind[1] = int(value[:9])
                 marker = f"{kind[1]}. " if kind[0] == "ol" else "- "
-                flow.indents.append(" " * len(marker))
-                flow.marker = marker
+                flow.indents.append(" " * len(marker) if seen else "")
+                flow.marker = marker if seen else None
             elif tag in ("blockquote", "dd"):
-                flow.indents.append("  ")
+                flow.indents.append("  " if seen else "")
             elif tag == "pre":
                 pre += 1
-            elif tag == "hr":
+            elif tag == "hr" and seen:
                 flow.put("----")
                 flow.gap = 1
             elif tag == "table":
-                tables.append(([], flow, pre))
+                tables.append(([], flow, pre, []))
                 pre = 0
+            elif tag in ("thead", "tbody", "tfoot") and tables:
+                tables[-1][3].append(len(tables[-1][0]))
             elif tag == "tr" and tables:
                 tables[-1][0].append([])
             elif tag in ("td", "th") and tables:
                 if not tables[-1][0]:
                     tables[-1][0].append([])
                 flows.append(Flow())
-            stack.append((node, True))
+            stack.append((node, True, seen, drawn))
             children = node.children
             if tag == "details" and "open" not in node.attributes:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
-            stack.extend((c, False) for c in reversed(children))
+            stack.extend((c, False, seen, drawn) for c in reversed(children))
             continue
+        if drawn and tag == "text":
+            flow.text(" ")
         if tag in ("td", "th") and tables and flow is not tables[-1][1]:
             flow.end_line()
             flows.pop()
-            tables[-1][0][-1].append((_span(node), flow.lines))
+            tables[-1][0][-1].append((_span(node), _rows(node), flow.lines))
             continue
+        if tag in ("thead", "tbody", "tfoot") and tables:
+            tables[-1][3].append(len(tables[-1][0]))
         if tag == "table":
-            rows, flow, pre = tables.pop()
-            flow.margin(1)
-            for line in table_lines([r for r in rows if any(lines for _, lines in r)]):
+            rows, flow, pre, groups = tables.pop()
+            full = [r for r in _placed(rows, groups) if any(lines for _, lines in r)]
+            if seen or full:
+                flow.margin(1)
+            for line in table_lines(full):
                 flow.put(line)
-        if tag in BLOCK:
+            if full:
+                flow.margin(1)
+        if seen and tag in BLOCK:
             nested = tag in ("ul", "ol", "menu") and len(lists) > 1
             flow.margin(0 if nested or tag not in SPACED else 1)
         if tag in ("ul", "ol", "menu"):
@@ -292,8 +362,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Blocks stand on lines of their own, paragraphs, headings, lists and tables with a blank line
     between; list items are marked and indented by depth; table cells align in columns; pre keeps its
-    white space. Not visible: head, scripts, styles, templates, embedded objects, the hidden
-    attribute, display:none, visibility:hidden, and closed details but for their summary. Null html
+    white space. Formulas give the text of their symbols, drawings that of their labels; cells over several
+    rows keep their columns. Not visible: head, scripts, styles, templates, embedded objects, the
+    hidden attribute, display:none, visibility:hidden but for descendants that are visible again,
+    annotations of formulas, and closed details but for their summary. Null html
     gives null text, empty html an empty text; broken markup never fails. Repeated rows have equal
     texts; a column `text` of the input gives way; an empty table gives no rows.
     """

@@ -82,6 +82,27 @@ def test_render(page, text):
     assert render(parse(page)) == text
 
 
+VISIBLE = [
+    ("a <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> b", "a x=2 b"),
+    ("a<svg><title>t</title><rect/><defs/><g>no<text x=1>one <tspan>two</tspan></text><text>three</text></g></svg>b", "a one two three b"),
+    ("<svg><foreignObject><p>in</p></foreignObject></svg>z", "in\n\nz"),
+    ("<svg><path/><p>out", "out"), ("<svg><style/><text>t</text></svg>", "t"),
+    ("<svg><text><![CDATA[1 < 2]]></text></svg>", "1 < 2"),
+    ("a<span style='visibility:hidden'>b<i style='visibility: visible'>c</i>d</span>e", "ace"),
+    ("a<span style='display:none'>b<i style='visibility:visible'>c</i></span>d", "ad"),
+    ("<span style='backface-visibility:hidden'>seen</span>", "seen"),
+    ("<ul><li style='visibility:hidden'>x</li><li>y</ul>", "- y"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td>k<td rowspan=0>a<tr><td>c<td>x<tbody><tr><td>d<td>e</table>", "k  a\nc     x\nd  e"),
+    ("<table><tr><td style='visibility:hidden'>hid<td>b<tr><td>c<td>d</table>", "   b\nc  d"),
+]
+
+
+@pytest.mark.parametrize("page,text", VISIBLE)
+def test_render_all_that_is_visible(page, text):
+    assert render(parse(page)) == text
+
+
 def test_render_deep_and_broken():
     assert render(parse("<div>" * 50_000 + "x")) == "x"
     own = random.Random(1)
