@@ -1,7 +1,7 @@
 """Operator 9, MinHash near-dedup: min-max signatures, bands, exact links, components.
 
 Rows with equal shingle sets are one node from the first step on, so exact copies cost nothing
-later. Nodes that agree in a band are candidates. No bucket is expanded into all its pairs:
+later. Nodes that agree in a band are candidates:
 
 1. every member is compared with two hubs of its bucket, and links join into components;
 2. only pairs of different components that share a bucket are left. Buckets of up to SMALL members
@@ -9,7 +9,9 @@ later. Nodes that agree in a band are candidates. No bucket is expanded into all
    looked up: pairs that share such a shingle are few; pairs that share none can have at most their
    other shingles in common, and those whose sizes rule out the similarity are dropped unseen.
 
-Both ways are exact for the candidates of the bands, and every link is confirmed on whole sets.
+Both ways are exact for the candidates of the bands, and every link is confirmed on whole sets. The
+conditions of step 2 stand inside a join of the bucket with itself: they keep pairs from its result,
+but a large bucket that still spans several components has all its pairs formed on its one key.
 """
 
 import numpy as np
