@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from planmill.llm import (
     bpe,
     decontaminate,
+    fill_middle,
     html_text,
     language,
     line_dedup,
     near_dedup,
+    piece_bpe,
     sharding,
     suffix_dedup,
     token_store,
@@ -149,3 +151,24 @@ def op8_html_text(spark, sf_dir):
         "page_id", "text", F.length("text").alias("n_chars"),
         F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"),
     )
+
+
+@query("op11_piece_codec")
+def op11_piece_codec(spark, sf_dir):
+    model = read_small_file(public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_bpe.round_trip(table(spark, sf_dir, "documents"), model).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op13_fill_middle")
+def op13_fill_middle(spark, sf_dir):
+    examples = fill_middle.transform(table(spark, sf_dir, "documents"))
+    return fill_middle.restore(examples).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )

@@ -32,3 +32,15 @@ def make_docs(spark):
         )
 
     return make
+
+
+@pytest.fixture
+def sf_docs(make_docs, tmp_path):
+    """A folder of tables that holds these documents, and the documents."""
+
+    def make(rows):
+        docs = make_docs(rows)
+        docs.write.parquet(f"{tmp_path}/documents.parquet")
+        return str(tmp_path), docs
+
+    return make
