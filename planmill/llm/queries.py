@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from planmill.llm import (
     bpe,
+    conversation_repair,
     decontaminate,
     fill_middle,
     html_text,
@@ -172,3 +173,10 @@ def op13_fill_middle(spark, sf_dir):
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2("restored", 256).alias("restored_sha256"),
     )
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = conversation_repair.damage(conversations)
+    return conversation_repair.summaries(damaged, also=conversations.select("conv_id"))
