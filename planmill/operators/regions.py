@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from planmill.constants import MIN_ROOM_AREA
 from planmill.functions import geometry as g
 from planmill.functions.arrays import components, let
+from planmill.sources.raster import code_runs, image_parts
 
 _SPAN = 65536
 
@@ -79,6 +80,49 @@ def connected_components(runs: DataFrame, keys=("plan_id", "g"), connectivity: i
     return grouped.mapInArrow(label, fields + "lab bigint, y int, x0 int, x1 int")
 
 
+def label_images(images: DataFrame, connectivity: int = 4, inside: int | None = None) -> DataFrame:
+    """(plan_id, g, lab, y, x0, x1, problem): labelled runs of rasters, found in one pass over their bytes.
+
+    As `runs_from_images` and `connected_components` together, without a shuffle: a region never
+    leaves its raster. With `inside`, all codes but this one count as one (g = -1) and this one is
+    left out. A raster that cannot be used gives one row of nulls with the `problem` and stops no other.
+    """
+    kind = images.schema["plan_id"].dataType.simpleString()
+    names = ["plan_id", "g", "lab", "y", "x0", "x1", "problem"]
+
+    def rows(batches):
+        for ids, rasters in image_parts(batches):
+            found, broken = [], []
+            for i, codes in rasters:
+                if isinstance(codes, str):
+                    broken.append((i, codes))
+                    continue
+                runs = code_runs(codes if inside is None else (codes != inside).astype(np.int8))
+                y, x0, x1, g = (v.astype(np.int64) for v in runs)
+                if inside is not None:
+                    y, x0, x1, g = y[g == 1], x0[g == 1], x1[g == 1], g[g == 1] - 2
+                found.append((np.full(len(y), i), g, y, x0, x1))
+            if found:
+                owner, g, y, x0, x1 = (np.concatenate(c) for c in zip(*found, strict=True))
+                group = owner * 512 + g + 1
+                order = np.argsort(group, kind="stable")
+                owner, g, y, x0, x1, group = (v[order] for v in (owner, g, y, x0, x1, group))
+                first = region_of_runs(group, y, x0, x1, connectivity)
+                label = pa.array(y[first] * _SPAN + x0[first], pa.int64())
+                columns = [pa.array(g, pa.int32()), label, *(pa.array(v, pa.int32()) for v in (y, x0, x1))]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(owner, pa.int64())), *columns, pa.nulls(len(owner), pa.string())], names
+                )
+            if broken:
+                nothing = [pa.nulls(len(broken), t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+                at, why = zip(*broken, strict=True)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *nothing, pa.array(why)], names)
+
+    return images.select("plan_id", "height", "width", "data").mapInArrow(
+        rows, f"plan_id {kind}, g int, lab bigint, y int, x0 int, x1 int, problem string"
+    )
+
+
 def region_stats(labelled: DataFrame, keys=("plan_id", "g")) -> DataFrame:
     """(keys, lab, area, cx, cy, box): pixel count, pixel mean and bounding box of every region."""
     n = F.col("x1") - F.col("x0") + 1
@@ -185,12 +229,8 @@ def rooms(labelled: DataFrame, min_area: int = MIN_ROOM_AREA) -> DataFrame:
     )
 
 
-def outline(pixels: DataFrame, external: int) -> DataFrame:
-    """(plan_id, coords) of the largest region of all cells that are not external."""
-    from planmill.sources.raster import runs_from_pixels
-
+def outline(inside: DataFrame) -> DataFrame:
+    """(plan_id, coords) of the largest region of all cells that are not external, from their labelled runs."""
     keys = ("plan_id", "g")
-    inside = pixels.filter(F.col("g") != external).withColumn("g", F.lit(-1))
-    labelled = connected_components(runs_from_pixels(inside), keys, 4)
-    largest = largest_region(region_stats(labelled, keys)).select("plan_id", "lab")
-    return polygons(labelled.join(largest, ["plan_id", "lab"]), keys).select("plan_id", "coords")
+    largest = largest_region(region_stats(inside, keys)).select("plan_id", "lab")
+    return polygons(inside.join(largest, ["plan_id", "lab"]), keys).select("plan_id", "coords")

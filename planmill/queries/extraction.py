@@ -34,11 +34,12 @@ def rec(body, extra=None):
 
 
 def runs(spark, sf):
-    return raster.runs_from_pixels(raster.drawn_pixels(spark, sf))
+    """Runs of the drawn rasters but for external cells."""
+    return raster.runs_from_images(raster.drawn_images(spark, sf)).filter(F.col("g") != CODE_EXTERNAL)
 
 
 def labelled(spark, sf):
-    return regions.connected_components(runs(spark, sf))
+    return regions.label_images(raster.drawn_images(spark, sf)).filter(F.col("g") != CODE_EXTERNAL).drop("problem")
 
 
 @query("raster_pixels", rec("SELECT plan_id, y, sum(x)::BIGINT AS sx, sum(g * x)::BIGINT AS sgx, count(*) AS n FROM pix GROUP BY ALL"))
@@ -68,14 +69,14 @@ def room_regions(spark, sf):
     f"""SELECT plan_id, ((xa + xb) // 2)::INTEGER AS x, ((ya + yb) // 2)::INTEGER AS y, xb - xa + 1 AS w, yb - ya + 1 AS h FROM
         (SELECT DISTINCT ON (plan_id) * FROM stat WHERE g = {CODE_FRONT_DOOR} ORDER BY plan_id, area DESC, lab)"""))
 def front_door_box(spark, sf):
-    stats = regions.region_stats(regions.connected_components(runs(spark, sf).filter(F.col("g") == CODE_FRONT_DOOR)))
+    stats = regions.region_stats(labelled(spark, sf).filter(F.col("g") == CODE_FRONT_DOOR))
     return regions.bounding_box(regions.largest_region(stats)).select("plan_id", "x", "y", "w", "h")
 
 
 @query("door_rectangularity", rec(
     f"SELECT plan_id, lab, area, area = (xb - xa + 1) * (yb - ya + 1) AS rectangular FROM stat WHERE g = {CODE_INTERIOR_DOOR}"))
 def door_rectangularity(spark, sf):
-    found = regions.connected_components(runs(spark, sf).filter(F.col("g") == CODE_INTERIOR_DOOR))
+    found = labelled(spark, sf).filter(F.col("g") == CODE_INTERIOR_DOOR)
     cells = found.select("plan_id", "lab", "y", F.explode(F.sequence("x0", "x1")).alias("x0")).groupBy("plan_id", "lab").agg(
         F.array_sort(F.collect_list(F.struct("y", "x0"))).alias("px"))
     return cells.select("plan_id", "lab", F.size("px").cast("long").alias("area"), F.expr(doors.is_rectangle("px")).alias("rectangular"))
@@ -89,7 +90,7 @@ _PROF = {
 
 @query("door_profile", rec("SELECT plan_id, lab, l, c, peak FROM rowp", _PROF))
 def door_profile(spark, sf):
-    found = regions.connected_components(runs(spark, sf).filter(F.col("g") == CODE_INTERIOR_DOOR))
+    found = labelled(spark, sf).filter(F.col("g") == CODE_INTERIOR_DOOR)
     cells = found.select("plan_id", "lab", "y", F.explode(F.sequence("x0", "x1")).alias("x0")).groupBy("plan_id", "lab").agg(
         F.collect_list(F.struct("y", "x0")).alias("px"))
     return cells.select("plan_id", "lab", F.expr(f"inline_outer(transform({profile('px', 'y')}, q -> named_struct('l', q.l, 'c', q.c, 'peak', q.peak)))"))
@@ -98,7 +99,7 @@ def door_profile(spark, sf):
 @query("interior_doors")
 def interior_doors(spark, sf):
     """Doors after decomposition; checked on hand-made regions."""
-    found = doors.interior_doors(regions.connected_components(runs(spark, sf).filter(F.col("g") == CODE_INTERIOR_DOOR)))
+    found = doors.interior_doors(labelled(spark, sf).filter(F.col("g") == CODE_INTERIOR_DOOR))
     return regions.bounding_box(found).select("plan_id", "door_id", F.size("px").alias("area"), "x", "y", "w", "h")
 
 
@@ -111,7 +112,8 @@ def room_polygons(spark, sf):
 
 @query("building_outline")
 def building_outline(spark, sf):
-    return regions.outline(raster.drawn_pixels(spark, sf), CODE_EXTERNAL).select(
+    inside = cut_lineage(regions.label_images(raster.drawn_images(spark, sf), inside=CODE_EXTERNAL).drop("problem"))
+    return regions.outline(inside).select(
         "plan_id", F.expr("array_join(transform(coords, v -> cast(v as string)), ',')").alias("coords"))
 
 
@@ -155,17 +157,42 @@ def spatial_relations(spark, sf):
 @query("door_room_pairs")
 def door_room_pairs(spark, sf):
     """Doors with their two rooms; the decomposition before it has no SQL form."""
-    rooms, room_runs, found, _, _ = extract.parts(cut_lineage(raster.drawn_pixels(spark, sf)))
+    found_runs = cut_lineage(labelled(spark, sf))
+    _, room_runs, found, _, _ = extract.parts(found_runs, found_runs)
     return adjacency.door_pairs(room_runs, found).select("plan_id", "door_id", "a", "b", "door.x", "door.y", "door.w", "door.h")
 
 
 @query("extract_plans")
 def extract_plans(spark, sf):
     """Whole records from rasters, as JSON; the parts are checked by the queries above."""
-    return extract.extract_plans(cut_lineage(raster.drawn_pixels(spark, sf))).select("plan_id", F.to_json(F.struct("rooms", "edges", "front_door", "spatial")).alias("record"))
+    return extract.extract_plans(raster.drawn_images(spark, sf)).select("plan_id", F.to_json(F.struct("rooms", "edges", "front_door", "spatial")).alias("record"))
 
 
-@query("extraction_status", rec("SELECT 'success' AS status, count(DISTINCT plan_id) AS n FROM pix"))
+_LEDGER = {
+    "img": "SELECT plan_id, ok AS k, unnest(CASE WHEN ok % 79 = 0 THEN ['plans/', 'plans2/'] ELSE ['plans/'] END) || plan_id || '.png' AS origin FROM outl",
+    "fate": """SELECT *, CASE WHEN k % 79 = 0 AND origin LIKE 'plans2/%' THEN 'duplicate_id' WHEN k % 97 = 0 THEN 'unreadable'
+        WHEN k % 89 = 0 THEN 'channels' WHEN k % 83 = 0 THEN 'size' END AS reason FROM img""",
+}
+
+
+@query("extraction_status", s.with_ctes(
+    """SELECT CASE WHEN reason IS NULL THEN 'success' ELSE 'failed' END AS status, CASE WHEN reason IS NULL THEN 'record' ELSE 'read' END AS stage,
+        coalesce(reason, '') AS reason, count(*) AS n FROM fate GROUP BY ALL""", _LEDGER))
 def extraction_status(spark, sf):
-    pixels = cut_lineage(raster.drawn_pixels(spark, sf))
-    return extract.status_counts(pixels.select("plan_id").distinct(), regions.outline(pixels, CODE_EXTERNAL))
+    """Outcomes of a batch with planted faults, counted over records and ledger."""
+    return extract.status_counts(extract.run_batch(raster.damaged_images(spark, sf)))
+
+
+@query("extraction_ledger", s.with_ctes(
+    """SELECT plan_id, origin, 'read' AS stage, reason FROM fate WHERE reason IS NOT NULL""", _LEDGER))
+def extraction_ledger(spark, sf):
+    return extract.run_batch(raster.damaged_images(spark, sf)).ledger
+
+
+@query("extracted_doorless", s.with_ctes(
+    f"""SELECT plan_id, k % 73 = 0 AS empty_outline, CASE WHEN k % 73 = 0 THEN 0 ELSE (SELECT count(*) FROM front0 f WHERE f.plan_id = fate.plan_id) END::INTEGER AS n_front_doors
+        FROM fate WHERE reason IS NULL""", _LEDGER))
+def extracted_doorless(spark, sf):
+    """Every usable raster has a record, also one without any cell inside."""
+    done = extract.run_batch(raster.damaged_images(spark, sf)).records
+    return done.select("plan_id", F.expr("size(rooms[0].coords) = 0").alias("empty_outline"), F.size("front_door").alias("n_front_doors"))

@@ -1,12 +1,17 @@
 """Label rasters: image folders, pixel tables, run tables, and rasters drawn from the tables."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from planmill.constants import CODE_EXTERNAL, CODE_FRONT_DOOR, CODE_INTERIOR_DOOR
 from planmill.sources import tables
 
+#: Sides of the drawn rasters, and the longest side of any raster (labels are y * 65536 + x).
+SIDE = 64
+MAX_SIDE = 65536
+
 # First code of each final room type.
 TYPE_CODES = {
     "livingroom": 0, "bedroom": 1, "kitchen": 2, "bathroom": 3,
@@ -15,26 +20,80 @@ TYPE_CODES = {
 
 
 def read_images(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:
-    """(plan_id = file stem, height, width, data, ok); unreadable or not 4-channel files are not ok."""
+    """(plan_id = file stem, origin, height, width, channels, data, ok); see `with_faults` for ok."""
     df = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", pattern).load(folder)
     stem = F.regexp_replace(F.element_at(F.split("image.origin", "/"), -1), r"\.[^.]*$", "")
-    return df.select(
-        stem.alias("plan_id"), "image.height", "image.width", "image.data",
-        F.coalesce((F.col("image.nChannels") == 4) & (F.col("image.height") > 0), F.lit(False)).alias("ok"),
+    found = df.select(
+        stem.alias("plan_id"), "image.origin", "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data",
     )
+    return with_faults(found).withColumn("ok", F.col("fault").isNull()).drop("fault")
 
 
-def runs_from_images(images: DataFrame) -> DataFrame:
-    """(plan_id, y, x0, x1, g): runs of equal codes of the second channel, straight from the bytes."""
-    line = "hex(substring(data, y * width * 4 + 1, width * 4))"
-    found = f"regexp_extract_all(regexp_replace({line}, '..(..)....', '$1'), '([0-9A-F]{{2}})\\\\1*', 0)"
-    runs = (
-        f"aggregate({found}, named_struct('x', 0, 'o', cast(array() as array<struct<x0:int,x1:int,g:int>>)),"
-        f" (a, r) -> named_struct('x', a.x + cast(length(r) div 2 as int), 'o', concat(a.o, array(named_struct('x0', a.x,"
-        f" 'x1', a.x + cast(length(r) div 2 as int) - 1, 'g', cast(conv(left(r, 2), 16, 10) as int))))), a -> a.o)"
+def with_faults(images: DataFrame) -> DataFrame:
+    """Adds `fault`, null for a raster that can be used: unreadable, channels, side, size or duplicate_id.
+
+    Of rasters with one plan_id the first by origin stays. Only the keys are counted over tasks; ids
+    that stand once, nearly all, never move a raster.
+    """
+    n_bytes = F.col("height").cast("long") * F.col("width") * 4
+    own = (
+        F.when(F.coalesce(F.col("height") <= 0, F.lit(True)) | F.coalesce(F.col("width") <= 0, F.lit(True)), "unreadable")
+        .when(F.coalesce(F.col("channels") != 4, F.lit(True)), "channels")
+        .when(F.greatest("height", "width") > MAX_SIDE, "side")
+        .when(F.coalesce(F.octet_length("data") != n_bytes, F.lit(True)), "size")
     )
-    rows = images.filter("ok").select("plan_id", "width", "data", F.explode(F.expr("sequence(0, height - 1)")).alias("y"))
-    return rows.select("plan_id", "y", F.expr(f"inline({runs})"))
+    marked = images.withColumn("fault", own)
+    several = (
+        marked.groupBy(F.col("plan_id").alias("_id")).agg(F.min("origin").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    )
+    joined = marked.join(several, F.col("plan_id").eqNullSafe(F.col("_id")), "left")
+    later = F.col("_first").isNotNull() & (F.col("origin") > F.col("_first"))
+    return joined.withColumn("fault", F.when(later, "duplicate_id").otherwise(F.col("fault"))).drop("_id", "_first", "_n")
+
+
+def image_codes(height: int, width: int, data: bytes) -> np.ndarray:
+    """Codes (second channel) of a raster; data of another size is a ValueError."""
+    return np.frombuffer(data, np.uint8).reshape(height, width, 4)[:, :, 1]
+
+
+def code_runs(codes: np.ndarray):
+    """(y, x0, x1, g) of the runs of equal codes, in raster order: where a code differs from the one before."""
+    height, width = codes.shape
+    opens = np.ones((height, width), bool)
+    opens[:, 1:] = codes[:, 1:] != codes[:, :-1]
+    at = np.flatnonzero(opens)
+    last = np.append(at[1:], height * width) - 1
+    return at // width, at % width, last % width, codes.reshape(-1)[at]
+
+
+def image_parts(batches, images: int = 64):
+    """Lists of (row, plan_id, codes or the reason why there are none) of at most `images` rasters."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, images):
+            part = batch.slice(begin, images)
+            out = []
+            for i, (h, w, data) in enumerate(zip(*(part.column(c) for c in (1, 2, 3)), strict=True)):
+                try:
+                    out.append((i, image_codes(h.as_py(), w.as_py(), data.as_buffer())))
+                except (ValueError, TypeError, AttributeError) as e:
+                    out.append((i, type(e).__name__))
+            yield part.column(0), out
+
+
+def runs_from_images(images: DataFrame) -> DataFrame:
+    """(plan_id, y, x0, x1, g): runs of equal codes of the second channel, in one pass over the bytes."""
+    kind = images.schema["plan_id"].dataType.simpleString()
+
+    def rows(batches):
+        for ids, rasters in image_parts(batches):
+            found = [(i, code_runs(codes)) for i, codes in rasters if not isinstance(codes, str)]
+            if found:
+                owner = np.repeat([i for i, _ in found], [len(r[0]) for _, r in found])
+                columns = [pa.array(np.concatenate(c).astype(np.int32)) for c in zip(*(r for _, r in found), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), *columns], ["plan_id", "y", "x0", "x1", "g"])
+
+    good = images.filter("ok") if "ok" in images.columns else images
+    return good.select("plan_id", "height", "width", "data").mapInArrow(rows, f"plan_id {kind}, y int, x0 int, x1 int, g int")
 
 
 def pixels_from_runs(runs: DataFrame) -> DataFrame:
@@ -43,20 +102,36 @@ def pixels_from_runs(runs: DataFrame) -> DataFrame:
 
 
 def runs_from_pixels(pixels: DataFrame, keys=("plan_id", "g")) -> DataFrame:
-    """Gaps and islands: neighbouring pixels of a row with the same code become one run."""
-    w = W.partitionBy(*keys, "y").orderBy("x")
-    return (
-        pixels.withColumn("_i", F.col("x") - F.row_number().over(w))
-        .groupBy(*keys, "y", "_i")
-        .agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-        .drop("_i")
-    )
-
+    """Neighbouring pixels of a row with the same code become one run.
 
-def drawn_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rasters of all plans at quarter resolution; cells that are not listed are external (13).
-
-    Later rooms cover earlier ones, doors cover rooms, and the front door covers all.
+    The pixels of one row of one code are gathered, at most as many as a raster is wide, and a task
+    cuts the sorted places of a whole batch at once where two neighbours are not adjacent.
+    """
+    grouped = pixels.groupBy(*keys, "y").agg(F.array_sort(F.collect_list(F.col("x").cast("int"))).alias("xs"))
+    n = len(keys) + 1
+
+    def rows(batches):
+        for batch in batches:
+            lists = batch.column(n)
+            x = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            opens = np.append(True, (np.diff(x) > 1) | (np.diff(owner) > 0))[: len(x)]
+            first = np.flatnonzero(opens)
+            last = np.append(first[1:], len(x))[: len(first)] - 1
+            held = [batch.column(k).take(pa.array(owner[first])) for k in range(n)]
+            yield pa.RecordBatch.from_arrays(
+                [*held, pa.array(x[first], pa.int32()), pa.array(x[last], pa.int32())], [*batch.schema.names[:n], "x0", "x1"]
+            )
+
+    fields = "".join(f"`{k}` {pixels.schema[k].dataType.simpleString()}, " for k in (*keys, "y"))
+    return grouped.mapInArrow(rows, fields + "x0 int, x1 int")
+
+
+def drawn_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan_id, origin, height, width, channels, data): rasters of all plans at quarter resolution.
+
+    Later rooms cover earlier ones, doors cover rooms, and the front door covers all; what nothing
+    covers is external (13). A task paints the rectangles of its own plans.
     """
     codes = "map(" + ", ".join(f"'{t}', {c}" for t, c in TYPE_CODES.items()) + ")"
     plans = tables.plans(spark, sf_dir)
@@ -71,11 +146,56 @@ def drawn_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         'ya', cast(floor(e.door[0].y / 4) as int) - 1, 'yb', cast(floor(e.door[0].y / 4) as int) + cast(e.door[0].h as int) % 3)),
       transform(front_door, d -> named_struct('p', 200, 'g', {CODE_FRONT_DOOR}, 'xa', cast(floor(d.x / 4) as int),
         'xb', cast(floor(d.x / 4) as int) + 2, 'ya', cast(floor(d.y / 4) as int), 'yb', cast(floor(d.y / 4) as int))))"""
-    cells = plans.select("plan_id", F.expr(f"inline_outer({rects})")).filter("p is not null")
-    cells = cells.select("plan_id", "p", "g", "xa", "xb", F.expr("explode(sequence(ya, yb))").alias("y")).select(
-        "plan_id", "p", "g", "y", F.expr("explode(sequence(xa, xb))").alias("x")
+    ordered = plans.select("plan_id", F.expr(f"array_sort({rects})").alias("rects"))
+
+    def paint(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                lists = part.column(1)
+                flat = lists.flatten()
+                g, xa, xb, ya, yb = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("g", "xa", "xb", "ya", "yb"))
+                ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+                data = []
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    raster = np.zeros((SIDE, SIDE, 4), np.uint8)
+                    raster[:, :, 1] = CODE_EXTERNAL
+                    for k in range(a, b):
+                        raster[ya[k] : yb[k] + 1, xa[k] : xb[k] + 1, 1] = g[k]
+                    data.append(raster.tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["plan_id", "data"])
+
+    painted = ordered.mapInArrow(paint, "plan_id string, data binary")
+    return painted.select(
+        "plan_id", F.concat(F.lit("plans/"), "plan_id", F.lit(".png")).alias("origin"),
+        F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(4).alias("channels"), "data",
     )
-    return cells.groupBy("plan_id", "y", "x").agg((F.max(F.col("p") * 100 + F.col("g")) % 100).alias("g"))
 
 
-__all__ = ["CODE_EXTERNAL", "drawn_pixels", "pixels_from_runs", "read_images", "runs_from_images", "runs_from_pixels"]
+def damaged_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawn rasters, some with a planted fault that the plan number decides, some twice."""
+    k = F.col("plan_id").cast("long")
+    plain = drawn_images(spark, sf_dir)
+    empty = F.repeat(F.lit(chr(CODE_EXTERNAL) * 4), SIDE * SIDE).cast("binary")
+    spoiled = plain.withColumns(
+        {
+            "height": F.when(k % 97 == 0, -1).otherwise(F.col("height")),
+            "channels": F.when(k % 89 == 0, 3).otherwise(F.col("channels")),
+            "data": F.when(k % 83 == 0, F.substring("data", 1, SIDE)).when(k % 73 == 0, empty).otherwise(F.col("data")),
+            "copies": F.when(k % 79 == 0, F.array(F.lit("plans/"), F.lit("plans2/"))).otherwise(F.array(F.lit("plans/"))),
+        }
+    )
+    return spoiled.withColumn("folder", F.explode("copies")).select(
+        "plan_id", F.concat("folder", "plan_id", F.lit(".png")).alias("origin"), "height", "width", "channels", "data"
+    )
+
+
+def drawn_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan_id, y, x, g) of the drawn rasters; external cells are not listed."""
+    return pixels_from_runs(runs_from_images(drawn_images(spark, sf_dir)).filter(F.col("g") != CODE_EXTERNAL))
+
+
+__all__ = [
+    "CODE_EXTERNAL", "code_runs", "damaged_images", "drawn_images", "drawn_pixels", "image_codes", "image_parts",
+    "pixels_from_runs", "read_images", "runs_from_images", "runs_from_pixels", "with_faults",
+]

@@ -3,7 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+import numpy as np
+
+from planmill.constants import CODE_EXTERNAL
 from planmill.operators import adjacency, doors, regions
+from planmill.plans import extract
+from planmill.sources import jsonl, raster
 from planmill.sources.raster import runs_from_pixels
 
 
@@ -65,3 +70,72 @@ def test_pairs_and_doors(spark):
                                  "plan_id string, door_id int, px array<struct<y:int,x0:int,x1:int>>, xa int, xb int, ya int, yb int")
     got = adjacency.edges(runs, door).orderBy("a", "b").collect()
     assert [(r["a"], r["b"], len(r["doors"])) for r in got] == [(1, 2, 1), (1, 3, 0)]
+
+
+IMAGE = "plan_id string, origin string, height int, width int, channels int, data binary"
+
+
+def image(plan_id, codes, origin=None, channels=4, height=None, cut=None):
+    h, w = codes.shape
+    data = np.zeros((h, w, 4), np.uint8)
+    data[:, :, 1] = codes
+    return (plan_id, origin or f"a/{plan_id}.png", h if height is None else height, w, channels, bytearray(data.tobytes()[:cut]))
+
+
+def test_runs_and_labels_of_images(spark):
+    """One pass over the bytes finds what pixel tables and grouped runs give."""
+    rng = np.random.default_rng(3)
+    rasters = {f"r{k}": rng.choice([1, 2, CODE_EXTERNAL], (rng.integers(1, 12), rng.integers(1, 12))).astype(np.uint8) for k in range(40)}
+    images = spark.createDataFrame([image(k, c) for k, c in rasters.items()], IMAGE).repartition(3)
+    runs = raster.runs_from_images(images)
+    pixels = spark.createDataFrame(
+        [(k, y, x, int(c[y, x])) for k, c in rasters.items() for y in range(c.shape[0]) for x in range(c.shape[1])],
+        "plan_id string, y int, x int, g int",
+    )
+    rows = lambda df: sorted(map(tuple, df.select("plan_id", "g", "y", "x0", "x1").collect()))
+    assert rows(runs) == rows(runs_from_pixels(pixels))
+    for connectivity in (4, 8):
+        got = regions.label_images(images, connectivity).drop("problem").select("plan_id", "g", "lab", "y", "x0", "x1")
+        want = regions.connected_components(runs, connectivity=connectivity).select("plan_id", "g", "lab", "y", "x0", "x1")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    inside = regions.label_images(images, inside=CODE_EXTERNAL).groupBy("plan_id").agg(F.sum(F.expr("x1 - x0 + 1")).alias("n"))
+    assert {r["plan_id"]: r["n"] for r in inside.collect()} == {k: int((c != 13).sum()) for k, c in rasters.items() if (c != 13).any()}
+    assert "Window" not in raster.runs_from_pixels(pixels)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_failures_stay_alone(spark, tmp_path):
+    room = np.full((12, 12), CODE_EXTERNAL, np.uint8)
+    room[2:9, 2:9] = 1
+    nothing = np.full((5, 5), CODE_EXTERNAL, np.uint8)
+    rows = [
+        image("good", room), image("empty", nothing), image("thin", room, height=-1), image("rgb", room, channels=3),
+        image("short", room, cut=50), image("twice", room, "a/twice.png"), image("twice", nothing, "b/twice.png"),
+        image(None, room, "a/none.png"), ("null", "a/null.png", 4, 4, 4, None), ("nothing", "a/nothing.png", None, None, None, None),
+    ]
+    images = spark.createDataFrame(rows, IMAGE)
+    batch = extract.run_batch(images)
+    records = {r["plan_id"]: r for r in batch.records.collect()}
+    assert set(records) == {"good", "empty", "twice"}
+    assert [len(records[k]["rooms"]) for k in ("good", "empty", "twice")] == [2, 1, 2]
+    assert records["empty"]["rooms"][0]["coords"] == [] and len(records["good"]["rooms"][0]["coords"]) == 8
+    assert sorted((r["origin"], r["stage"], r["reason"]) for r in batch.ledger.collect()) == [
+        ("a/none.png", "read", "no_id"), ("a/nothing.png", "read", "unreadable"), ("a/null.png", "read", "size"),
+        ("a/rgb.png", "read", "channels"), ("a/short.png", "read", "size"), ("a/thin.png", "read", "unreadable"),
+        ("b/twice.png", "read", "duplicate_id"),
+    ]
+    counts = extract.write_batch(images, f"{tmp_path}/r", f"{tmp_path}/l", jsonl.write_shards)
+    assert counts == {
+        "success": 3, "failed": 7, "total": 10,
+        "by_reason": {"read:no_id": 1, "read:unreadable": 2, "read:channels": 1, "read:size": 2, "read:duplicate_id": 1},
+    }
+    assert jsonl.read_lines(spark, f"{tmp_path}/r", "*").count() == 3
+    none = extract.run_batch(images.limit(0))
+    assert none.records.count() == none.ledger.count() == 0
+
+
+def test_a_raster_that_decoding_refuses(spark):
+    """Decoding is guarded by itself, whatever the checks before it let through."""
+    room = np.full((6, 6), 1, np.uint8)
+    images = spark.createDataFrame([image("good", room), image("bad", room, cut=7)], IMAGE)
+    got = {(r["plan_id"], r["problem"]) for r in regions.label_images(images).collect()}
+    assert got == {("good", None), ("bad", "ValueError")}
