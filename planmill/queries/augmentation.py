@@ -76,6 +76,17 @@ def dump_sql(suffix, rooms=True, edges=True, front=False, spatial=True):
     return "\nUNION ALL\n".join(parts)
 
 
+def digests(rows):
+    """(plan_id, kind, n, digest) of long text rows: a sum of hashes of place and text, so that no plan is gathered."""
+    part = F.conv(F.substring(F.md5(F.concat(F.col("pos").cast("string"), F.lit("|"), "val")), 1, 8), 16, 10).cast("bigint")
+    return rows.groupBy("plan_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(part).alias("digest"))
+
+
+def digest_sql(rows):
+    return f"""SELECT plan_id, kind, count(*) AS n, sum(('0x' || substr(md5(pos::VARCHAR || '|' || val), 1, 8))::BIGINT)::BIGINT AS digest
+        FROM ({rows}) GROUP BY ALL"""
+
+
 # --- the same steps on flat tables --------------------------------------------------------
 
 def sql_shuffle_rid(i, o):

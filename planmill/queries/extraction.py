@@ -145,13 +145,17 @@ def direct_adjacency(spark, sf):
     return adjacency.direct_pairs(found.join(stats.select("plan_id", "g", "lab", "rid"), ["plan_id", "g", "lab"]))
 
 
-@query("spatial_relations", rec(
-    f"SELECT p.plan_id, p.rid AS rid_a, q.rid AS rid_b, {s.built('(q.cx - p.cx)', '(q.cy - p.cy)')} AS direction FROM rbig p JOIN rbig q ON p.plan_id = q.plan_id AND p.rid < q.rid", _BIG))
-def spatial_relations(spark, sf):
-    from planmill.sources.tables import relations_of
-
-    grouped = numbered(spark, sf)[1].groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("rid", "cx", "cy"))).alias("r"))
-    return grouped.select("plan_id", F.expr(f"inline_outer({relations_of('r')})")).filter("rid_a is not null")
+@query("region_relations", rec(
+    f"""SELECT plan_id, count(*) AS n, sum(('0x' || substr(md5(rid_a || '-' || rid_b || ':' || direction), 1, 12))::BIGINT)::BIGINT AS digest
+        FROM (SELECT p.plan_id, p.rid AS rid_a, q.rid AS rid_b, {s.built('(q.cx - p.cx)', '(q.cy - p.cy)')} AS direction FROM rbig p JOIN rbig q ON p.plan_id = q.plan_id AND p.rid < q.rid) GROUP BY 1""", _BIG))
+def region_relations(spark, sf):
+    """Relations between the pixel means of room regions, as a digest of each plan."""
+    from planmill.sources.long_plans import relation_rows
+
+    stats = numbered(spark, sf)[1].select("plan_id", F.col("rid").cast("long").alias("rid"), "cx", "cy")
+    rows = relation_rows(stats, stats.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n")))
+    part = F.conv(F.substring(F.md5(F.expr("concat(cast(rid_a as string), '-', cast(rid_b as string), ':', direction)")), 1, 12), 16, 10)
+    return rows.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"), F.sum(part.cast("bigint")).alias("digest"))
 
 
 @query("door_room_pairs")

@@ -7,7 +7,7 @@ from planmill.operators import augment as a
 from planmill.operators import parse
 from planmill.operators import tokenize as tk
 from planmill.queries import sql as s
-from planmill.queries.augmentation import one, plans
+from planmill.queries.augmentation import digest_sql, digests, one, plans
 from planmill.queries.registry import query
 from planmill.queries.token_sequences import _DROP0, answer_sql
 from planmill.sources.completions import completions
@@ -146,23 +146,23 @@ _COND_SQL = {
 }
 
 
-@query("parse_condition", s.with_ctes(
+@query("parse_condition", s.with_ctes(digest_sql(
     f"""SELECT plan_id, 'room' AS kind, pos::INTEGER AS pos, coalesce(nullif(regexp_extract(b, '<RID:([0-9]+)>', 1), ''), pos::VARCHAR) || ':' ||
           coalesce(nullif(regexp_extract(b, '<TYPE:([^>]+)>', 1), ''), 'unknown') || ':' || array_to_string({_VALS}, ',') AS val FROM rb
         UNION ALL SELECT plan_id, 'edge', pos::INTEGER, coalesce(list_last(regexp_extract_all(b, '<RID:([0-9]+)>', 1)), '-') || ':' ||
           CASE WHEN len({_VALS}) >= 4 THEN array_to_string({_VALS}, ',') ELSE '' END FROM eb
         UNION ALL SELECT plan_id, 'rel', pos::INTEGER, array_to_string(regexp_extract_all(b, '<RID:([0-9]+)>', 1), '-') || ':' || regexp_extract(b, '<REL:([^>]+)>', 1) FROM sb
-        UNION ALL SELECT plan_id, 'front', 0, array_to_string({_VALS}, ',') FROM blk WHERE b LIKE '<FRONT_DOOR>%' AND len({_VALS}) >= 4""", _COND_SQL))
+        UNION ALL SELECT plan_id, 'front', 0, array_to_string({_VALS}, ',') FROM blk WHERE b LIKE '<FRONT_DOOR>%' AND len({_VALS}) >= 4"""), _COND_SQL))
 def parse_condition(spark, sf):
     df = tk.condition_tokens(a.coord_noise(a.drop_state(one(spark, sf)))).select("plan_id", "condition")
     df = parse.parse_condition(df, "condition")
     text = lambda v: f"array_join(transform({v}, q -> cast(q as string)), ',')"
     door = lambda d: text(f"array({d}.x, {d}.y, {d}.w, {d}.h)")
-    return df.select("plan_id", F.expr(
+    return digests(df.select("plan_id", F.expr(
         f"inline_outer(concat(transform(plan.rooms, (r, i) -> named_struct('kind', 'room', 'pos', i, 'val', concat(cast(r.rid as string), ':', r.type, ':', {text('r.coords')}))),"
         f" transform(plan.edges, (e, i) -> named_struct('kind', 'edge', 'pos', i, 'val', concat(coalesce(cast(e.rid as string), '-'), ':', if(size(e.doors) = 0, '', {door('e.doors[0]')})))),"
         f" transform(plan.spatial, (r, i) -> named_struct('kind', 'rel', 'pos', i, 'val', concat(cast(r.rid_a as string), '-', cast(r.rid_b as string), ':', r.direction))),"
-        f" if(plan.front_door is null, slice(array(named_struct('kind', 'front', 'pos', 0, 'val', '')), 1, 0), array(named_struct('kind', 'front', 'pos', 0, 'val', {door('plan.front_door')})))))")).filter("kind is not null")
+        f" if(plan.front_door is null, slice(array(named_struct('kind', 'front', 'pos', 0, 'val', '')), 1, 0), array(named_struct('kind', 'front', 'pos', 0, 'val', {door('plan.front_door')})))))")).filter("kind is not null"))
 
 
 @query("doors_as_edges", s.with_ctes(

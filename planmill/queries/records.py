@@ -10,7 +10,7 @@ from planmill.operators import augment as a
 from planmill.operators import training_rows as tr
 from planmill.operators.rows import keep_rows
 from planmill.queries import sql as s
-from planmill.queries.augmentation import dump, dump_sql, plans
+from planmill.queries.augmentation import digest_sql, digests, dump, dump_sql, plans
 from planmill.queries.parsing import _ANSWER_SQL, comps
 from planmill.queries.registry import query
 from planmill.queries.token_sequences import ANSW0, COND0
@@ -39,10 +39,10 @@ def _good_dump():
     return f"SELECT * FROM ({dump_sql('0', front=True)}) WHERE {_GOOD}"
 
 
-@query("ingest_jsonl", s.with_ctes(_good_dump()))
+@query("ingest_jsonl", s.with_ctes(digest_sql(_good_dump())))
 def ingest_jsonl(spark, sf):
     good, _ = jsonl.ingest(lines(spark, sf))
-    return dump(n.row_view(good).withColumn("variant", F.lit(1)), front=True)
+    return digests(dump(n.row_view(good).withColumn("variant", F.lit(1)), front=True))
 
 
 @query("ingest_quarantine", s.with_ctes(
@@ -96,17 +96,17 @@ def door_normalizer(spark, sf):
     return got.select("plan_id", "pos", F.size("door").alias("n_doors"), F.expr("cast(coalesce(get(door, 0).x, 0) as double)").alias("x"))
 
 
-@query("columnar_row_views", s.with_ctes(dump_sql("0", front=True)))
-def columnar_row_views(spark, sf):
+@query("nested_row_views", s.with_ctes(digest_sql(dump_sql("0", front=True))))
+def nested_row_views(spark, sf):
     df = n.row_view(n.row_view(n.columnar_view(tables.plans(spark, sf))))
-    return dump(df.withColumn("variant", F.lit(1)), front=True)
+    return digests(dump(df.withColumn("variant", F.lit(1)), front=True))
 
 
-@query("unify_rows", s.with_ctes(dump_sql("0")))
-def unify_rows(spark, sf):
+@query("nested_unify_rows", s.with_ctes(digest_sql(dump_sql("0"))))
+def nested_unify_rows(spark, sf):
     raw = plans(spark, sf).withColumn("edges", F.expr("transform(edges, e -> named_struct('pair', e.pair, 'doors', e.door))")).withColumn(
         "spatial", F.expr("transform(spatial, s -> array(cast(s.rid_a as string), cast(s.rid_b as string), s.direction))"))
-    return dump(n.unify_rows(n.unify_rows(raw)).withColumn("variant", F.lit(1)))
+    return digests(dump(n.unify_rows(n.unify_rows(raw)).withColumn("variant", F.lit(1))))
 
 
 @query("merge_room_types", """SELECT l_orderkey AS k, l_linenumber AS line, type, count(*) AS n FROM (SELECT *, ['livingroom', 'bedroom', 'kitchen', 'bathroom', 'livingroom', 'bedroom', 'studyroom', 'bedroom', 'bedroom', 'balcony', 'entrance', 'storage', 'storage'][l_partkey % 18 + 1] AS type FROM lineitem WHERE l_partkey % 18 < 13) GROUP BY ALL""")

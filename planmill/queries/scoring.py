@@ -151,11 +151,11 @@ def score_all(spark, sf):
     return df.select("plan_id", "gen_idx", *[F.round(c, 6).alias(c) for c in COLS])
 
 
-@query("score_metadata", s.with_ctes(
+@query("nested_score_metadata", s.with_ctes(
     f"""SELECT plan_id, n AS total_rooms, string_agg(type || '=' || c, ',' ORDER BY type) AS type_counts, coalesce(ne, 0)::INTEGER AS n_edges, coalesce(ns, 0)::INTEGER AS n_spatial
         FROM (SELECT plan_id, type, count(*) AS c FROM box GROUP BY ALL) JOIN outl USING (plan_id)
         LEFT JOIN (SELECT plan_id, count(*) AS ne FROM edge0 GROUP BY 1) USING (plan_id) LEFT JOIN (SELECT plan_id, count(*) AS ns FROM rel0 GROUP BY 1) USING (plan_id) GROUP BY ALL"""))
-def score_metadata(spark, sf):
+def nested_score_metadata(spark, sf):
     return score.metadata(plans(spark, sf)).select(
         "plan_id", "meta.total_rooms",
         F.expr("array_join(transform(map_entries(meta.type_counts), e -> concat(e.key, '=', cast(e.value as string))), ',')").alias("type_counts"),
