@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from planmill.constants import DOOR_REACH, OUTLINE, RIGHT_ANGLE_TOL
 from planmill.functions import geometry as g
 from planmill.functions.arrays import components, let
+from planmill.operators.matching import matched
 
 REWARDS = ["format", "count_total", "count_type", "orthogonality", "no_overlap", "connectivity", "spatial"]
 
@@ -292,10 +293,9 @@ def _centre(xs, ys):
 
 
 def with_match(df: DataFrame) -> DataFrame:
-    """`match`: (rid, out) pairs of the cheapest assignment within each room type.
+    """`match`: (rid, out) pairs of the cheapest assignment within each room type; see `matching`.
 
-    Exact: a table over the subsets of a type's wanted rooms (a plan has at most 15 rooms, so at
-    most 2^15 subsets), extended by one answered room at a time. Ties take the smallest indices.
+    Exact for any number of rooms of a type. Ties take the smallest indices.
     """
     ins = (
         f"transform(filter(meta.rooms, r -> r.type <> '{OUTLINE}'), r -> named_struct('rid', r.rid, 'type', r.type,"
@@ -305,32 +305,10 @@ def with_match(df: DataFrame) -> DataFrame:
         f"transform({_OUT}, (r, i) -> named_struct('out', i, 'type', r.type,"
         f" {_centre('transform(r.points, v -> v.x)', 'transform(r.points, v -> v.y)')}))"
     )
-    cost = "sqrt(pow(w.i[i].cx - o.cx, 2) + pow(w.i[i].cy - o.cy, 2))"
-    start = (
-        "transform(sequence(0, cast(shiftleft(1, size(w.i)) - 1 as int)), m -> named_struct('c', if(m = 0, 0D, cast('Infinity' as double)),"
-        " 'p', transform(w.i, x -> -1)))"
-    )
-    step = (
-        f"transform(dp, (s, m) -> array_min(concat(array(s), transform(filter(sequence(0, size(w.i) - 1), i -> (m & shiftleft(1, i)) <> 0),"
-        f" i -> named_struct('c', dp[m - shiftleft(1, i)].c + {cost}, 'p', transform(dp[m - shiftleft(1, i)].p, (x, k) -> if(k = i, o.out, x)))))))"
-    )
-    table = f"aggregate(w.o, {start}, (dp, o) -> {step})"
-    best = (
-        f"array_min(filter(transform({table}, (s, m) -> if(bit_count(m) = least(size(w.i), size(w.o)), s,"
-        f" cast(null as struct<c:double,p:array<int>>))), s -> s is not null)).p"
-    )
-    picked = (
-        f"filter({let(best, 'p', 'transform(w.i, (x, k) -> named_struct(' + chr(39) + 'rid' + chr(39) + ', x.rid, ' + chr(39) + 'out' + chr(39) + ', p[k]))')}, z -> z.out >= 0)"
-    )
-    types = "array_intersect(transform(_ins, r -> r.type), transform(_outs, r -> r.type))"
-    match = (
-        f"flatten(transform(transform({types}, t -> named_struct('i', filter(_ins, r -> r.type = t), 'o', filter(_outs, r -> r.type = t))),"
-        f" w -> {picked}))"
-    )
     return (
         df.withColumn("_ins", F.expr(f"if(_gate, {ins}, null)"))
         .withColumn("_outs", F.expr(f"if(_gate, {outs}, null)"))
-        .withColumn("match", F.expr(f"if(_gate, {match}, null)"))
+        .withColumn("match", matched(F.col("_ins"), F.col("_outs")))
     )
 
 
