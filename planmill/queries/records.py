@@ -14,6 +14,7 @@ from planmill.queries.augmentation import digest_sql, digests, dump, dump_sql, p
 from planmill.queries.parsing import _ANSWER_SQL, comps
 from planmill.queries.registry import query
 from planmill.queries.token_sequences import ANSW0, COND0
+from planmill.session import shared_folder
 from planmill.sources import jsonl, runs, tables
 
 
@@ -55,18 +56,71 @@ def ingest_quarantine(spark, sf):
 
 @query("lenient_json_scan", """SELECT (props->>'$.k')::INTEGER AS k, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def lenient_json_scan(spark, sf):
-    ev = tables.table(spark, sf, "events").select("event_type", F.from_json("props", "k int").alias("p"))
-    return ev.groupBy("p.k", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    good, _ = jsonl.scan_json(tables.table(spark, sf, "events").select("event_type", "props"), "k int", "props")
+    return good.groupBy("record.k", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("first_plan_by_file", s.with_ctes(
-    """SELECT plan_id, ['single_output.jsonl', 'plans_0001.jsonl', 'plans_0002.jsonl'][ok % 3 + 1] AS file, 2 AS n_copies FROM outl WHERE ok % 97 <> 0"""
+    """SELECT plan_id, ['single_output.jsonl', 'plans_0001.jsonl', 'plans_0002.jsonl'][ok % 3 + 1] AS file, 2::BIGINT + (ok % 5 = 0)::BIGINT AS n_copies FROM outl WHERE ok % 97 <> 0"""
     .replace("['single_output.jsonl', 'plans_0001.jsonl', 'plans_0002.jsonl'][ok % 3 + 1]", "CASE WHEN ok % 3 = 2 THEN 'plans_0001.jsonl' WHEN ok % 3 = 0 THEN 'single_output.jsonl' ELSE 'plans_0001.jsonl' END")))
 def first_plan_by_file(spark, sf):
     one = lines(spark, sf).filter(F.expr("get_json_object(value, '$.plan_id') is not null"))
     copy = one.withColumn("file", F.expr("if(file = 'plans_0002.jsonl', 'plans_0001.jsonl', 'plans_0002.jsonl')"))
-    both = jsonl.with_priority(one.unionByName(copy))
-    return jsonl.first_by_priority(both).select("plan_id", "file", F.lit(2).alias("n_copies"))
+    again = copy.filter("cast(get_json_object(value, '$.plan_id') as bigint) % 5 = 0")
+    both = jsonl.with_priority(one.unionByName(copy).unionByName(again))
+    return jsonl.first_by_priority(both).select("plan_id", "file", "n_copies")
+
+
+def numbered_lines(spark, sf):
+    """JSON lines of all plans, some of them broken, with the number they are ordered by."""
+    base = jsonl.to_lines(tables.plans(spark, sf)).withColumn("k", F.col("plan_id").cast("long"))
+    return base.select("k", F.expr(
+        "case when k % 97 = 0 then left(value, length(value) - 5) when k % 89 = 0 then regexp_replace(value, ',\"spatial\":.*$', '}')"
+        " when k % 31 = 0 then ' ' else value end").alias("value"))
+
+
+_PLACED = {
+    "lined": "SELECT ok, row_number() OVER (ORDER BY ok) - 1 AS i FROM outl",
+    "placed": "SELECT ok, i // 10000 AS shard, i % 10000 + 1 AS line FROM lined",
+}
+
+
+@query("sharded_records", s.with_ctes(
+    """SELECT 'first' AS batch, shard, count(*) AS n_records, min(ok) AS first_plan, max(ok) AS last_plan, max(line) AS last_line FROM placed GROUP BY ALL""", _PLACED))
+def sharded_records(spark, sf):
+    """Lines of all plans in shards of exactly 10,000, written as one batch and read back with their places."""
+    folder = shared_folder(spark, "shards")
+    jsonl.append_batch(jsonl.to_lines(tables.plans(spark, sf)).withColumn("k", F.col("plan_id").cast("long")), folder, "first", ["k"])
+    scanned = jsonl.scan_set(spark, folder)
+    k = F.get_json_object("value", "$.plan_id").cast("long")
+    return jsonl.number_lines(scanned, scanned).groupBy("batch", "shard").agg(
+        F.count(F.lit(1)).alias("n_records"), F.min(k).alias("first_plan"), F.max(k).alias("last_plan"), F.max("line").alias("last_line"))
+
+
+@query("appended_batches", s.with_ctes(
+    """SELECT batch, (first + i // 1000)::BIGINT AS shard, count(*) AS n_records, sum(ok)::BIGINT AS plans FROM (
+         SELECT 'odd' AS batch, 0 AS first, ok, row_number() OVER (ORDER BY ok) - 1 AS i FROM outl WHERE ok % 2 = 1
+         UNION ALL SELECT 'even', (SELECT (count(*) + 999) // 1000 FROM outl WHERE ok % 2 = 1), ok, row_number() OVER (ORDER BY ok) - 1 FROM outl WHERE ok % 2 = 0)
+       GROUP BY ALL"""))
+def appended_batches(spark, sf):
+    """Two batches in shards of 1,000; the first is appended twice and stands there once."""
+    folder = shared_folder(spark, "appended")
+    rows = jsonl.to_lines(tables.plans(spark, sf)).withColumn("k", F.col("plan_id").cast("long"))
+    for batch, rest in (("odd", 1), ("odd", 1), ("even", 0)):
+        jsonl.append_batch(rows.filter(F.col("k") % 2 == rest), folder, batch, ["k"], records=1000)
+    k = F.get_json_object("value", "$.plan_id").cast("long")
+    return jsonl.scan_set(spark, folder).groupBy("batch", "shard").agg(F.count(F.lit(1)).alias("n_records"), F.sum(k).alias("plans"))
+
+
+@query("quarantine_lines", s.with_ctes(
+    """SELECT 'floorplans_' || lpad(shard::VARCHAR, 4, '0') || '.jsonl' AS file, line, CASE WHEN ok % 97 = 0 THEN 'not_json' ELSE 'missing_spatial' END AS reason
+       FROM placed WHERE ok % 97 = 0 OR ok % 89 = 0""", _PLACED))
+def quarantine_lines(spark, sf):
+    """File and line of every rejected line of a shard set; blank lines count but are no records."""
+    folder = shared_folder(spark, "lines")
+    jsonl.append_batch(numbered_lines(spark, sf), folder, "first", ["k"])
+    _, bad = jsonl.ingest_scanned(jsonl.scan_set(spark, folder))
+    return bad.select("file", "line", "reason")
 
 
 @query("list_plan_ids", "SELECT o_orderkey::VARCHAR AS plan_id FROM orders")
