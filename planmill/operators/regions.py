@@ -151,54 +151,63 @@ def largest_region(stats: DataFrame) -> DataFrame:
     ).select("plan_id", "m.*")
 
 
-def walls(labelled: DataFrame, keys=("plan_id", "g")) -> DataFrame:
-    """Maximal vertical sides (side, x, ya, yb) of every region, by gaps and islands along y."""
-    ends = labelled.select(
-        *keys, "lab", "y", F.expr("inline(array(named_struct('side', 'L', 'x', x0), named_struct('side', 'R', 'x', x1)))")
-    )
-    w = W.partitionBy(*keys, "lab", "side", "x").orderBy("y")
-    return (
-        ends.withColumn("_i", F.col("y") - F.row_number().over(w))
-        .groupBy(*keys, "lab", "side", "x", "_i")
-        .agg(F.min("y").alias("ya"), F.max("y").alias("yb"))
-        .drop("_i")
-    )
-
-
-def ring_of_walls(v: str) -> str:
-    """SQL text: outer ring of corner pixels (x, y) from an array of vertical sides (side, x, ya, yb).
-
-    Ends of sides that lie on the same grid line are joined in pairs from left to right; the ring
-    starts at the top left, goes down, and leaves out sides of a single row. Each horizontal
-    side takes the half-to-even mean of its two ends.
+def border(runs) -> list[tuple[int, int]]:
+    """Points (x, y) where the outer border of a region turns, from its runs (y, x0, x1) in order.
+
+    The border is a chain of pixels, each next to the one before or touching it at a corner. It is found
+    by walking along pixel edges with the region on the left, from the left edge of the first pixel
+    downwards: where the pixel ahead on the right belongs to the region the walk turns to it, which joins
+    parts that touch at a corner; else it goes straight or, at an end, turns left and stays at its pixel.
+    Parts one pixel wide are walked on both sides.
     """
-    at = "z.x + if(z.side = 'L', 0, 1)"
-    ends = (
-        f"array_sort(flatten(transform({v}, (z, i) -> array(named_struct('line', z.ya, 'at', {at}, 'i', i, 'top', true),"
-        f" named_struct('line', z.yb + 1, 'at', {at}, 'i', i, 'top', false)))))"
-    )
-    other = "cast(array_position(transform(e, q -> q.i = e[s.p].i and q.top <> e[s.p].top), true) - 1 as int)"
-    step = let(
-        other, "o",
-        "named_struct('p', if(o % 2 = 0, o + 1, o - 1), 'fin', if(o % 2 = 0, o + 1, o - 1) = 0,"
-        " 'out', concat(s.out, array(named_struct('i', e[s.p].i, 'down', e[s.p].top))))",
-    )
-    walk = (
-        f"aggregate({v}, named_struct('p', 0, 'fin', false, 'out', cast(array() as array<struct<i:int,down:boolean>>)),"
-        f" (s, z) -> if(s.fin, s, {step}), s -> s.out)"
-    )
-    sides = (
-        f"filter(transform({walk}, t -> named_struct('x', {v}[t.i].x, 'y1', if(t.down, {v}[t.i].ya, {v}[t.i].yb),"
-        f" 'y2', if(t.down, {v}[t.i].yb, {v}[t.i].ya))), t -> t.y1 <> t.y2)"
-    )
-    y = lambda a, b: f"cast(rint(({a} + {b}) / 2D) as int)"
-    snapped = let(
-        sides, "w",
-        "flatten(transform(w, (t, k) -> array("
-        f"named_struct('x', t.x, 'y', {y('t.y1', 'w[(k + size(w) - 1) % size(w)].y2')}),"
-        f" named_struct('x', t.x, 'y', {y('t.y2', 'w[(k + 1) % size(w)].y1')}))))",
-    )
-    return let(ends, "e", snapped)
+    left, right = min(r[1] for r in runs), max(r[2] for r in runs)
+    top, wide = runs[0][0], right - left + 3
+    inside = bytearray(wide * (runs[-1][0] - top + 3))
+    for y, x0, x1 in runs:
+        at = (y - top + 1) * wide + x0 - left + 1
+        inside[at : at + x1 - x0 + 1] = b"\1" * (x1 - x0 + 1)
+    # Headings down, right, up, left; what lies ahead of a pixel and to the right of that.
+    ahead, aside = (wide, 1, -wide, -1), (-1, wide, 1, -wide)
+    start = wide + runs[0][1] - left + 1
+    pixel, heading, chain = start, 0, []
+    while True:
+        to = pixel + ahead[heading]
+        if inside[to + aside[heading]]:
+            pixel = to + aside[heading]
+            heading = (heading - 1) & 3
+            chain.append(pixel)
+        elif inside[to]:
+            pixel = to
+            chain.append(pixel)
+        else:
+            heading = (heading + 1) & 3
+        if pixel == start and heading == 0:
+            break
+    if not chain:
+        return [(runs[0][1], top)]
+    chain = [start, *chain[:-1]]
+    n = len(chain)
+    turns = [c for k, c in enumerate(chain) if c - chain[k - 1] != chain[(k + 1) % n] - c]
+    return [(c % wide - 1 + left, c // wide - 1 + top) for c in turns]
+
+
+def level_ring(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Corners of a border as a ring of level and upright sides.
+
+    A corner is a point where the border changes between level (diagonal counts as level) and upright. Along
+    the ring each level side takes the half-to-even mean height of its two ends, each upright side the mean
+    place. With fewer than four corners the points stay as they are.
+    """
+    n = len(points)
+    level = [abs(points[(k + 1) % n][0] - p[0]) >= abs(points[(k + 1) % n][1] - p[1]) for k, p in enumerate(points)]
+    corners = [list(p) for k, p in enumerate(points) if level[k - 1] != level[k]]
+    if len(corners) < 4:
+        return points
+    for k, a in enumerate(corners):
+        b = corners[(k + 1) % len(corners)]
+        axis = 1 if abs(b[0] - a[0]) >= abs(b[1] - a[1]) else 0
+        a[axis] = b[axis] = round((a[axis] + b[axis]) / 2)
+    return [tuple(c) for c in corners]
 
 
 def normalize_ring(points: str) -> str:
@@ -209,15 +218,29 @@ def normalize_ring(points: str) -> str:
 
 
 def polygons(labelled: DataFrame, keys=("plan_id", "g")) -> DataFrame:
-    """(keys, lab, coords) of every region whose outer ring has at least four corners."""
-    grouped = walls(labelled, keys).groupBy(*keys, "lab").agg(
-        F.array_sort(F.collect_list(F.struct("ya", "x", "yb", "side"))).alias("v")
-    )
-    ring = grouped.withColumn("ring", F.expr(ring_of_walls("v")))
-    ring = ring.withColumn(
-        "coords", F.expr(f"if(size(ring) < 4, cast(null as array<int>), {g.flatten_vertices(normalize_ring('ring'))})")
-    )
-    return ring.select(*keys, "lab", F.explode_outer(F.array("coords")).alias("coords")).filter("coords is not null")
+    """(keys, lab, coords) of every region whose border has at least four points.
+
+    The runs of one region are gathered, at most those of one raster; a task walks the borders of a batch.
+    """
+    grouped = labelled.groupBy(*keys, "lab").agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))
+    n = len(keys) + 1
+    ring_type = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
+
+    def walk(batches):
+        for batch in batches:
+            lists = batch.column(n)
+            flat = lists.flatten()
+            cells = list(zip(*(flat.field(f).to_pylist() for f in ("y", "x0", "x1")), strict=True))
+            ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            rings = []
+            for begin, end in zip(ends[:-1], ends[1:], strict=True):
+                points = border(cells[begin:end])
+                rings.append([{"x": x, "y": y} for x, y in level_ring(points)] if len(points) >= 4 else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(rings, ring_type)], [*batch.schema.names[:n], "ring"])
+
+    fields = "".join(f"`{k}` {labelled.schema[k].dataType.simpleString()}, " for k in (*keys, "lab"))
+    ring = grouped.mapInArrow(walk, fields + "ring array<struct<x:int,y:int>>").filter("ring is not null")
+    return ring.select(*keys, "lab", F.expr(g.flatten_vertices(normalize_ring("ring"))).alias("coords"))
 
 
 def rooms(labelled: DataFrame, min_area: int = MIN_ROOM_AREA) -> DataFrame:

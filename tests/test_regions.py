@@ -39,6 +39,79 @@ def test_polygons(spark):
     assert "bar" not in got
 
 
+AROUND = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
+
+
+def walked_border(cells):
+    """Pixels of the outer border by looking around each pixel, backwards from where the walk came from."""
+    start = min(cells, key=lambda c: (c[1], c[0]))
+    if len(cells) == 1:
+        return [start]
+    at, came, out, first = start, (start[0] - 1, start[1]), [], None
+    while True:
+        # From the empty neighbour we looked at last, on with y down: west, south-west, south, ...
+        k = AROUND.index((came[0] - at[0], came[1] - at[1]))
+        for step in range(1, 9):
+            d = AROUND[(k - step) % 8]
+            there = (at[0] + d[0], at[1] + d[1])
+            if there in cells:
+                break
+            came = there
+        if (at, there) == first:
+            return out
+        first = first or (at, there)
+        out.append(at)
+        at = there
+
+
+def ring_of_border(pixels):
+    """Corners of a pixel chain and sides made level and upright, point by point."""
+    n = len(pixels)
+    step = lambda k: (pixels[(k + 1) % n][0] - pixels[k % n][0], pixels[(k + 1) % n][1] - pixels[k % n][1])
+    points = [p for k, p in enumerate(pixels) if step(k - 1 + n) != step(k)] if n > 1 else pixels
+    m = len(points)
+    if m < 4:
+        return None
+    flat = lambda a, b: abs(b[0] - a[0]) >= abs(b[1] - a[1])
+    corners = [list(points[k]) for k in range(m) if flat(points[k - 1], points[k]) != flat(points[k], points[(k + 1) % m])]
+    if len(corners) < 4:
+        corners = [list(p) for p in points]
+    else:
+        for k in range(len(corners)):
+            a, b = corners[k], corners[(k + 1) % len(corners)]
+            c = 1 if flat(a, b) else 0
+            a[c] = b[c] = int(np.rint((a[c] + b[c]) / 2))
+    area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(corners, corners[1:] + corners[:1], strict=True))
+    if area > 0:
+        corners.reverse()
+    first = min(range(len(corners)), key=lambda k: (sum(corners[k]), k))
+    return [v for c in corners[first:] + corners[:first] for v in c]
+
+
+def test_borders_of_random_regions(spark):
+    """Rings against a walk around single pixels: corner contacts, thin parts and holes included."""
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for k in range(250):
+        h, w = rng.integers(1, 10, 2)
+        raster_ = rng.random((h, w)) < rng.choice([0.4, 0.6, 0.8])
+        if not raster_.any():
+            continue
+        rows += [(f"p{k}", int(y), int(x), 1) for y, x in zip(*np.nonzero(raster_), strict=True)]
+    df = spark.createDataFrame(rows, "plan_id string, y int, x int, g int")
+    labelled = regions.connected_components(runs_from_pixels(df)).persist()
+    cells = {}
+    for r in labelled.collect():
+        cells.setdefault((r["plan_id"], r["lab"]), set()).update((x, r["y"]) for x in range(r["x0"], r["x1"] + 1))
+    for key, own in cells.items():
+        ring = ring_of_border(walked_border(own))
+        if ring:
+            want[key] = ring
+    got = {(r["plan_id"], r["lab"]): r["coords"] for r in regions.polygons(labelled).collect()}
+    assert got == want and len(want) > 200
+    assert regions.border([(0, 3, 7)]) == [(3, 0), (7, 0)] and regions.border([(2, 5, 5)]) == [(5, 2)]
+
+
 def test_room_area_limit(spark):
     arts = {"a29": ["#" * 29], "a30": ["######"] * 5, "a25": ["#####"] * 5}
     runs = regions.connected_components(runs_from_pixels(pixels(spark, arts)))
