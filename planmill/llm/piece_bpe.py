@@ -328,8 +328,7 @@ def _encode_group(texts: list[str], codes: SegmentCodes, model: PieceModel, chec
     for begin in range(0, len(stretches), 256):
         part, heads = stretches[begin : begin + 256], first[begin : begin + 256]
         segments = [model.segments(s, f) for s, f in zip(part, heads, strict=True)]
-        codes.learn({s for own in segments for s in own})
-        flat, own_lens = codes.encode(segments)
+        flat, own_lens = codes.encode_any(segments)
         if check:
             model.check(part, heads, np.split(flat, np.cumsum(own_lens)[:-1]))
         flats.append(flat)

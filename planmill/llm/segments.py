@@ -7,6 +7,7 @@ ids of a text are the ids of its segments in a row, and a segment is encoded onc
 occurrences in the work of a task.
 """
 
+import itertools
 import re
 
 import numpy as np
@@ -71,6 +72,27 @@ class SegmentCodes:
         n = len(index)
         index.update(zip(new, range(n, n + len(new)), strict=True))
 
+    def numbers(self, flat: list[str]) -> np.ndarray:
+        """Number of each segment, known or not: one lookup a segment, and only those not found are learnt."""
+        found = list(map(self.index.get, flat))
+        if None in found:
+            missed = [k for k, i in enumerate(found) if i is None]
+            new = list(dict.fromkeys([flat[k] for k in missed]))
+            if len(self.index) + len(new) > self.limit and self.index:
+                new, missed = list(dict.fromkeys(flat)), range(len(flat))  # `learn` starts anew with these
+            self.learn(new)
+            for k in missed:
+                found[k] = self.index[flat[k]]
+        return np.array(found, np.int64)
+
+    def encode_any(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids of each document) of documents whose segments need not be known."""
+        rows = self.numbers(list(itertools.chain.from_iterable(parts)))
+        lens = self.lens[rows]
+        total = np.concatenate([[0], np.cumsum(lens)])
+        bounds = total[np.concatenate([[0], np.cumsum([len(doc) for doc in parts])])]
+        return gather(self.flat, self.starts[rows], lens), np.diff(bounds)
+
     def encode(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each document) of documents whose segments are all known."""
         get = self.index.__getitem__

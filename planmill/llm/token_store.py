@@ -24,6 +24,7 @@ from planmill.llm.segments import SegmentCodes, segments, text_groups
 
 SHARD_TOKENS = 1 << 18
 GROUP_CHARS = 1 << 20
+RUN_SEGMENTS = 2048
 
 STORE_SCHEMA = (
     "part int, shard int, min_id bigint, max_id bigint, n_tokens bigint, rel_start bigint, width int,"
@@ -53,26 +54,18 @@ def _codes(vocabulary: bytes, added_tokens: bool) -> tuple[SegmentCodes, int, re
     find = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
     def encode_many(new: list[str]):
-        ids, lens, run, held = [], [], [], 0
-
-        def flush():
-            got = np.array(tokenizer.encode("".join(run), add_special_tokens=False).ids, np.int64)
-            ends = np.cumsum([len(s.encode("utf-8")) for s in run])
-            at = np.searchsorted(np.cumsum(n_bytes[got]), ends) + 1
+        ids, lens = [], []
+        # Only the first segment of a text has no space in front; such a one opens a run of its own.
+        cuts = sorted({*range(0, len(new), RUN_SEGMENTS), *(i for i, s in enumerate(new) if s[0] != " ")})
+        for begin, end in zip(cuts, [*cuts[1:], len(new)], strict=True):
+            run = new[begin:end]
+            text = "".join(run)
+            # One text a call: the ids are those of `encode`, without the offsets that nothing here reads.
+            got = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            sizes = map(len, run) if text.isascii() else map(len, map(str.encode, run))
+            at = np.searchsorted(np.cumsum(n_bytes[got]), np.cumsum(np.fromiter(sizes, np.int64, len(run)))) + 1
             ids.append(got)
             lens.append(np.diff(at, prepend=0))
-
-        for s in new:
-            if s[0] != " " and run:  # only the first segment of a text has no space in front
-                flush()
-                run, held = [], 0
-            run.append(s)
-            held += len(s)
-            if held > 1 << 14:
-                flush()
-                run, held = [], 0
-        if run:
-            flush()
         return np.concatenate(ids), np.concatenate(lens)
 
     return SegmentCodes(encode_many), (2 if size <= 1 << 16 else 4), find
@@ -176,8 +169,7 @@ def encode_shards(
             doc_ids, at = batch.column(0).to_pylist(), 0
             for group in text_groups(batch.column(1).to_pylist(), GROUP_CHARS):
                 parts = [_parts(t, find) for t in group]
-                codes.learn({s for doc in parts for s in doc})
-                flat, each = _with_end(*codes.encode(parts), end_id)
+                flat, each = _with_end(*codes.encode_any(parts), end_id)
                 ends, begin = np.cumsum(each), 0
                 while begin < len(each):
                     room = shard_tokens - sum(map(len, ids)) + (ends[begin - 1] if begin else 0)
