@@ -38,17 +38,95 @@ IMPLIED = {
     "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
 }
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+_STOP = re.compile("[>\"']")
+_QUOTE = re.compile("[\"']")
+_NAME_END = re.compile(r"[\s/>]")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NO_BOX = re.compile(r"(?<![\w-])display\s*:\s*none")
 _VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|initial|hidden|collapse)")
 
 
+class Tokens:
+    """Comments, declarations and tags of a page, in time that grows with its length.
+
+    A tag ends at the first > outside quotes; where there is none, its < is text. What a look ahead has found
+    is kept: the next place of each kind, and the quotes from which no tag ends.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.ahead: dict = {}
+        self.dead: set[int] = set()
+        #: Ends of names in which no quote helps; names looked at later begin further on.
+        self.hopeless: set[int] = set()
+
+    def _next(self, pattern, at: int) -> int:
+        """The first match of the pattern from `at` on, or the end of the page."""
+        known = self.ahead.get(pattern)
+        if known is None or not known[0] <= at <= known[1]:
+            found = pattern.search(self.page, at)
+            known = self.ahead[pattern] = (at, found.start() if found else len(self.page))
+        return known[1]
+
+    def _end(self, at: int) -> int:
+        """Place of the > that ends a tag whose attributes begin at `at`; -1 where there is none."""
+        opened = []
+        while at <= self.last[">"]:
+            stop = self._next(_STOP, at)
+            if self.page[stop] == ">":
+                return stop
+            if stop in self.dead:
+                break
+            opened.append(stop)
+            if stop >= self.last[self.page[stop]]:
+                break
+            at = self.page.find(self.page[stop], stop + 1) + 1
+        self.dead.update(opened)
+        return -1
+
+    def tag(self, at: int):
+        """(end, slash, name, attributes) of the tag whose < is at `at`, or None."""
+        page = self.page
+        slash = page.startswith("/", at + 1)
+        begin = at + 1 + slash
+        if at > self.last[">"] or not ("a" <= page[begin : begin + 1].lower() <= "z") or not page[begin].isascii():
+            return None
+        name_end = self._next(_NAME_END, begin)
+        end = self._end(name_end)
+        if end < 0:
+            # A quote within the name may open a value instead; the last such one does.
+            if name_end in self.hopeless:
+                return None
+            cuts = [m.start() for m in _QUOTE.finditer(page, begin + 1, name_end)]
+            whole, name_end = name_end, -1
+            for cut in reversed(cuts):
+                if cut not in self.dead and (end := self._end(cut)) >= 0:
+                    name_end = cut
+                    break
+            if name_end < 0:
+                self.hopeless.add(whole)
+                return None
+        return end + 1, slash, page[begin:name_end], page[name_end:end]
+
+    def next(self, at: int):
+        """(start, end, declaration or None, slash, name, attributes) of the first token from `at` on, or None."""
+        page, n = self.page, len(self.page)
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith(("<!", "<?"), at):
+                close = "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">"
+                found = page.find(close, at + {"-->": 4, "]]>": 9, ">": 2}[close])
+                end = n if found < 0 else found + len(close)
+                return at, end, page[at:end], False, None, ""
+            found = self.tag(at)
+            if found is not None:
+                end, slash, name, attributes = found
+                return at, end, None, slash, name, attributes
+            at += 1
+        return None
+
+
 class Node:
     __slots__ = ("tag", "attributes", "children")
 
@@ -91,21 +169,23 @@ def parse(page: str) -> Node:
                 close({"head"})
             open_[-1].children.append(html.unescape(s))
 
+    tokens = Tokens(page)
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = tokens.next(at)
         if m is None:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
+        start, after, declaration, slash, name, source = m
+        text(page[at:start])
+        at = after
         foreign = counts.get("svg") or counts.get("math")
-        if m[2] is None:
-            if foreign and m[0].startswith("<![CDATA["):
-                open_[-1].children.append(m[0][9:].removesuffix("]]>"))
+        if declaration is not None:
+            if foreign and declaration.startswith("<![CDATA["):
+                open_[-1].children.append(declaration[9:].removesuffix("]]>"))
             continue
-        tag = m[2].lower()
+        tag = name.lower()
         foreign = foreign and not any(counts[t] for t in HOLDS_HTML)
-        if m[1]:
+        if slash:
             if tag == "br":
                 open_[-1].children.append(Node("br"))
             elif tag == "p" and not counts["p"]:
@@ -129,14 +209,14 @@ def parse(page: str) -> Node:
             row = Node("tr")
             open_[-1].children.append(row)
             push(row)
-        node = Node(tag, _attributes(m[3]))
+        node = Node(tag, _attributes(source))
         open_[-1].children.append(node)
-        if tag in RAW and not (foreign and m[3].rstrip().endswith("/")):
+        if tag in RAW and not (foreign and source.rstrip().endswith("/")):
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             inside = page[at : stop.start()] if stop else page[at:]
             node.children.append(html.unescape(inside) if tag in ("title", "textarea") else inside)
             at = page.find(">", stop.start()) + 1 or end if stop else end
-        elif tag not in VOID and not ((foreign or tag in ("svg", "math", "path")) and m[3].rstrip().endswith("/")):
+        elif tag not in VOID and not ((foreign or tag in ("svg", "math", "path")) and source.rstrip().endswith("/")):
             push(node)  # a slash at the end means nothing on HTML elements
     return root
 

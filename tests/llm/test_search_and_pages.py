@@ -117,3 +117,59 @@ def test_extract_rows(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted((r.page_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (1, "a"), (1, "a")]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    """Components and sums beyond 64 bits are exact; only a score that has no place in the result is an error."""
+    own = random.Random(3)
+    choices = [0.25, -0.5, 1e9, -1e9, 1e17, -1e17, 3e18, 1e30, -1e30]
+    rows = [(20 * k, [own.choice([0.0, 0.25, -3.0]), 0.0, own.choice([0.5, -1.0])]) for k in range(6)]
+    rows += [(i, [own.choice(choices[:4]), own.choice(choices), own.choice(choices[:4])]) for i in range(1, 60) if i % 20]
+    rows += [(61, [1e30, 0.0, 0.0]), (62, [-1e30, 0.0, 0.0]), (63, [2.0**60, 0.0, 0.0]), (64, [2.0**60 + 2.0**9, 0.0, 0.0])]
+    exact = {i: [64 * int(x) if abs(x) > 2**53 else math.floor(64 * x) for x in v] for i, v in rows}
+
+    def plain(q, k):
+        scored = sorted((-sum(a * b for a, b in zip(exact[q], v)), i) for i, v in exact.items() if i != q)
+        return [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
+
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    calm = table.filter("vec_id not in (61, 62, 63, 64)")
+    want = {t for q in exact if q % 20 == 0 for t in [x for x in plain(q, 70) if x[2] not in (61, 62, 63, 64)]}
+    want = {(q, r, i, s) for q in {w[0] for w in want} for r, (i, s) in enumerate([(w[2], w[3]) for w in sorted(want) if w[0] == q][:20], 1)}
+    for blocks in ({}, {"candidates": 5, "queries": 2}):
+        got = topk.top_k(calm, F.col("vec_id") % 20 == 0, 20, **blocks).collect()
+        assert {tuple(r) for r in got} == want and all(abs(s) < 2**63 for *_, s in want)
+    with pytest.raises(Exception, match="has no 64-bit integer"):
+        topk.top_k(table.filter("vec_id in (0, 61)").withColumn("embedding", F.expr("if(vec_id = 0, array(1D), embedding)")), F.col("vec_id") == 0).collect()
+
+
+PLAIN_TAG = (
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+)
+
+
+def test_tokens_of_broken_markup():
+    """The scanner finds what one regular expression finds, and takes no longer for markup that never ends."""
+    import re
+    import time
+
+    from planmill.llm.html_text import Tokens
+
+    plain = re.compile(PLAIN_TAG, re.S)
+    own = random.Random(5)
+    parts = ["<", "<a", " ", ">", '"', "'", "/", "</a>", "=", "<!--", "-->", "<!", "<?", "<![CDATA[", "]]>", "x", "\n", "é", '<b c="']
+    for _ in range(8000):
+        page = "".join(own.choice(parts) for _ in range(own.randrange(14)))
+        want = [(m.start(), m.end(), m[0] if m[2] is None else None, m[2], m[3] or "") for m in plain.finditer(page)]
+        got, at, tokens = [], 0, Tokens(page)
+        while (t := tokens.next(at)) is not None:
+            start, at, declaration, _, name, source = t
+            got.append((start, at, declaration, name, source))
+        assert got == want, page
+    for part in ("<a ", '<a "', "<a '", "<a", '<a"', "<!--", '<a<b "', "</a x='"):
+        for tail in ("", ">", ' ">', "'>"):
+            page = part * (1_000_000 // len(part)) + tail
+            begin = time.process_time()
+            parse(page)
+            assert time.process_time() - begin < 5, (part, tail)
