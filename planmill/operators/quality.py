@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from planmill.constants import DIRECTIONS, TEST_RATIO, VAL_RATIO
 from planmill.functions.draws import u
+from planmill.session import cut_lineage
 
 _BUCKETS = 65536
 
@@ -156,11 +157,38 @@ def sample_rows(df: DataFrame, k: int, key="plan_id", seed=42) -> DataFrame:
     return df.orderBy(F.expr(u("sample", seed=seed, variant="0", plan=key)), key).limit(k)
 
 
+#: A sample of at most this many ids is sent to the tasks that read the source.
+SENT_IDS = 100_000
+
+
 def audit(converted: DataFrame, source: DataFrame, k: int | None = None, seed=42) -> DataFrame:
-    """Field-wise comparison of converted plans with their parsed source records."""
+    """Field-wise comparison of converted plans with their parsed source records; `found` is false for a missing id.
+
+    Every flag of a missing id is false. With k, only a sample of k converted plans is compared: up to
+    SENT_IDS ids go to the tasks that read the source, which is then neither shuffled nor sorted.
+    """
     picked = sample_rows(converted, k, seed=seed) if k is not None else converted
     raw = source.select(F.col("raw.plan_id").alias("plan_id"), "raw")
-    both = picked.join(raw, "plan_id", "left")
+    if k is not None and k <= SENT_IDS:
+        picked = cut_lineage(picked)
+        raw = raw.join(F.broadcast(picked.select("plan_id").distinct()), "plan_id", "left_semi")
+    return _compared(picked.join(raw, "plan_id", "left"))
+
+
+def audit_lines(converted: DataFrame, lines: DataFrame, k: int | None = None, seed=42) -> DataFrame:
+    """`audit` against JSON lines; of a sample, only the lines of its ids are parsed as records."""
+    from planmill.sources.jsonl import parse_lines
+
+    if k is None or k > SENT_IDS:
+        return audit(converted, parse_lines(lines), k, seed)
+    picked = cut_lineage(sample_rows(converted, k, seed=seed))
+    keyed = lines.withColumn("plan_id", F.get_json_object("value", "$.plan_id"))
+    own = keyed.join(F.broadcast(picked.select("plan_id").distinct()), "plan_id", "left_semi")
+    raw = parse_lines(own.select("value")).select(F.col("raw.plan_id").alias("plan_id"), "raw")
+    return _compared(picked.join(raw, "plan_id", "left"))
+
+
+def _compared(both: DataFrame) -> DataFrame:
     return both.select(
         "plan_id",
         F.col("raw").isNotNull().alias("found"),
@@ -168,6 +196,6 @@ def audit(converted: DataFrame, source: DataFrame, k: int | None = None, seed=42
         F.expr("coalesce(transform(rooms, r -> r.type) = transform(raw.rooms, r -> r.type), false)").alias("same_types"),
         F.expr("coalesce(transform(rooms, r -> r.coords) = transform(raw.rooms, r -> r.coords), false)").alias("same_coords"),
         F.expr("coalesce(transform(edges, e -> e.pair) = transform(raw.edges, e -> e.pair), false)").alias("same_pairs"),
-        F.expr("(size(front_door) = 0) = (raw.front_door is null or raw.front_door = 'null')").alias("same_front"),
+        F.expr("raw is not null and (size(front_door) = 0) = (raw.front_door is null or raw.front_door = 'null')").alias("same_front"),
         F.expr("coalesce(size(spatial) = size(raw.spatial), false)").alias("same_spatial_count"),
     )

@@ -1,6 +1,6 @@
 """Plans -> condition and answer token sequences (array<string>), one projection each."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planmill.constants import OUTLINE
@@ -81,14 +81,39 @@ def answer_tokens(df: DataFrame) -> DataFrame:
     ).drop("canon_rooms", "canon_edges")
 
 
-def sequence_stats(df: DataFrame, column: str) -> DataFrame:
-    """Length statistics of a token column: one partial aggregate."""
-    n = F.size(column)
-    return df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(n).alias("min_len"),
-        F.max(n).alias("max_len"),
-        F.sum(n.cast("long")).alias("total_len"),
-        F.round(F.avg(n), 6).alias("avg_len"),
-        F.percentile_approx(n, [0.5, 0.95], 10000).alias("p50_p95"),
+def sequence_stats(df: DataFrame, column: str, probabilities=(0.5, 0.95, 0.99)) -> DataFrame:
+    """Length statistics of a token column, with exact percentiles p50_len and so on: the least length that
+    reaches the share. They come from the counts of each length, which are as few as there are lengths."""
+    lengths = df.groupBy(F.size(column).alias("l")).agg(F.count(F.lit(1)).alias("c"))
+    so_far = F.sum("c").over(Window.orderBy("l"))
+    ranked = lengths.withColumns({"so_far": so_far, "all": F.sum("c").over(Window.partitionBy())})
+    least = lambda p: F.min(F.when(F.col("so_far") >= F.ceil(F.col("all") * p), F.col("l")))
+    return ranked.agg(
+        F.sum("c").alias("n"),
+        F.min("l").alias("min_len"),
+        F.max("l").alias("max_len"),
+        F.sum(F.col("l") * F.col("c")).alias("total_len"),
+        F.round(F.sum(F.col("l") * F.col("c")) / F.sum("c"), 6).alias("avg_len"),
+        *[least(p).alias(f"p{round(p * 100)}_len") for p in probabilities],
     )
+
+
+def length_sketches(df: DataFrame, column: str, keys=(), k: int = 200) -> DataFrame:
+    """(keys, sketch, n): a KLL sketch of the lengths of each group, a few hundred numbers whatever its size.
+
+    Sketches of parts merge (`merged_sketches`), so lengths of any collection of parts are had without
+    reading them again. Ranks are off by about 1.65 / k ** 0.9 of n at most, with 99 % confidence: 1.4 % for 200.
+    """
+    n = F.size(column).cast("bigint")
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_bigint(n, F.lit(k)).alias("sketch"), F.count(n).alias("n"))
+
+
+def merged_sketches(sketches: DataFrame, keys=()) -> DataFrame:
+    """Sketches of groups merged into those of larger groups."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_bigint("sketch").alias("sketch"), F.sum("n").alias("n"))
+
+
+def sketch_quantiles(sketches: DataFrame, probabilities=(0.5, 0.95, 0.99)) -> DataFrame:
+    """Adds the lengths p50_len and so on that a sketch estimates."""
+    at = {f"p{round(p * 100)}_len": F.kll_sketch_get_quantile_bigint("sketch", F.lit(p)) for p in probabilities}
+    return sketches.withColumns(at)

@@ -245,13 +245,37 @@ def file_report(spark, sf):
     return quality.file_report(broken(spark, sf))
 
 
-@query("roundtrip_audit", s.with_ctes(
-    f"""SELECT plan_id, {_GOOD} AS found, {_GOOD} AS same_room_count, {_GOOD} AS same_types, {_GOOD} AS same_coords, {_GOOD} AS same_pairs, {_GOOD} AS same_spatial_count
-        FROM outl WHERE ok % 97 <> 0 AND ok % 89 <> 0 AND ok % 83 <> 0 AND ok % 79 <> 0"""))
+_AUDIT = """SELECT plan_id, found, found AND ok % 5 <> 1 AS same_room_count, found AND ok % 5 <> 1 AND ok % 7 <> 1 AS same_types,
+    found AND ok % 5 <> 1 AND ok % 11 <> 1 AS same_coords, found AND NOT (ok % 13 = 1 AND n > 1) AS same_pairs, found AND ok % 17 <> 1 AS same_front,
+    found AND NOT (ok % 19 = 1 AND n > 1) AS same_spatial_count FROM (SELECT *, ok % 23 <> 0 AS found FROM outl)"""
+
+
+def spoiled(spark, sf):
+    """Converted plans with a planted fault in one field of some, and the lines they came from; some of these are gone."""
+    good = plans(spark, sf).withColumn("k", F.col("plan_id").cast("long"))
+    own = jsonl.to_lines(good).filter(F.col("plan_id").cast("long") % 23 != 0).select("value")
+    door = "array(named_struct('x', 1D, 'y', 1D, 'w', 1D, 'h', 1D))"
+    bad = good.withColumns({
+        "rooms": F.expr(
+            "transform(if(k % 5 = 1, slice(rooms, 1, size(rooms) - 1), rooms), (r, i) -> named_struct('rid', r.rid,"
+            " 'type', if(k % 7 = 1 and i = 1, 'hall', r.type), 'coords', if(k % 11 = 1 and i = 0, transform(r.coords, v -> v + 1), r.coords)))"),
+        "edges": F.expr("transform(edges, (e, i) -> named_struct('pair', if(k % 13 = 1 and i = 0, reverse(e.pair), e.pair), 'door', e.door))"),
+        "front_door": F.expr(f"if(k % 17 = 1, if(size(front_door) = 0, {door}, slice(front_door, 1, 0)), front_door)"),
+        "spatial": F.expr("if(k % 19 = 1 and size(spatial) > 0, slice(spatial, 1, size(spatial) - 1), spatial)"),
+    })
+    return bad.drop("k"), own
+
+
+@query("roundtrip_audit", s.with_ctes(_AUDIT))
 def roundtrip_audit(spark, sf):
-    parsed = keep_rows(jsonl.parse_lines(lines(spark, sf)), "raw._corrupt is null and raw.spatial is not null")
-    good, _ = jsonl.ingest(lines(spark, sf))
-    return quality.audit(good, parsed).drop("same_front")
+    """Every field that was spoiled, and every id without a source, is found."""
+    return quality.audit_lines(*spoiled(spark, sf))
+
+
+@query("roundtrip_sample", s.with_ctes(f"SELECT * FROM ({_AUDIT}) ORDER BY {s.u('sample', variant='0')}, plan_id LIMIT 200"))
+def roundtrip_sample(spark, sf):
+    """The audit of a sample of 200 plans; their ids go to the source, which is not shuffled."""
+    return quality.audit_lines(*spoiled(spark, sf), k=200)
 
 
 _CHAT = f"'<|im_start|>system' || chr(10) || '{SYSTEM_PROMPT}' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || @U || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"

@@ -272,13 +272,21 @@ def drop_applied_view(spark, sf):
         " transform(front_door, d -> named_struct('kind', 'front', 'k', '0', 'val', cast(cast(d.x as int) as string)))))")).filter("kind is not null")
 
 
+_LENS = {
+    "lens": "SELECT 'answer' AS kind, len(string_split(t, ' '))::INTEGER AS l FROM answ UNION ALL SELECT 'condition', len(string_split(t, ' '))::INTEGER FROM cond",
+    "lcum": "SELECT kind, l, sum(count(*)) OVER (PARTITION BY kind ORDER BY l) AS so_far, sum(count(*)) OVER (PARTITION BY kind) AS n FROM lens GROUP BY kind, l",
+}
+_LEAST = "(min(l) FILTER (so_far >= ceil(n * {}::DOUBLE)))::INTEGER AS {}"
+
+
 @query("sequence_stats", s.with_ctes(
-    """SELECT k AS kind, count(*) AS n, min(l)::INTEGER AS min_len, max(l)::INTEGER AS max_len, sum(l)::BIGINT AS total_len, round(avg(l), 6) AS avg_len FROM
-       (SELECT 'answer' AS k, len(string_split(t, ' ')) AS l FROM answ UNION ALL SELECT 'condition', len(string_split(t, ' ')) FROM cond) GROUP BY 1""",
-    {**ANSW0, **COND0}))
+    f"""SELECT kind, n, min_len, max_len, total_len, avg_len, p50_len, p95_len, p99_len FROM
+        (SELECT kind, count(*) AS n, min(l) AS min_len, max(l) AS max_len, sum(l)::BIGINT AS total_len, round(avg(l), 6) AS avg_len FROM lens GROUP BY 1)
+        JOIN (SELECT kind, {_LEAST.format(0.5, "p50_len")}, {_LEAST.format(0.95, "p95_len")}, {_LEAST.format(0.99, "p99_len")} FROM lcum GROUP BY 1) USING (kind)""",
+    {**ANSW0, **COND0, **_LENS}))
 def sequence_stats(spark, sf):
     df = tk.condition_tokens(a.keep_everything(tk.answer_tokens(plans(spark, sf))))
-    kinds = [tk.sequence_stats(df, c).drop("p50_p95").withColumn("kind", F.lit(c)) for c in ("answer", "condition")]
+    kinds = [tk.sequence_stats(df, c).withColumn("kind", F.lit(c)) for c in ("answer", "condition")]
     return kinds[0].unionByName(kinds[1])
 
 
