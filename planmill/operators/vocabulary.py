@@ -91,13 +91,50 @@ class Codec:
             f" else try_element_at(map({', '.join(words)}), {token}) end"
         )
 
+    def _token_ids(self) -> str:
+        """SQL text: array of the ids of token `t`; a bare number has the base vocabulary's ids for it."""
+        if not self.numbers:
+            return f"array({self.token_id('t')})"
+        numbers = ", ".join(f"{n}, array({', '.join(map(str, ids))})" for n, ids in self.numbers.items())
+        return f"coalesce(try_element_at(map({numbers}), try_cast(t as int)), array({self.token_id('t')}))"
+
     def encode(self, tokens: str):
         """Column of ids; a bare number becomes the base vocabulary's ids for it."""
         if not self.numbers:
             return F.expr(f"transform({tokens}, t -> {self.token_id('t')})")
-        numbers = ", ".join(f"{n}, array({', '.join(map(str, ids))})" for n, ids in self.numbers.items())
-        one = f"coalesce(try_element_at(map({numbers}), try_cast(t as int)), array({self.token_id('t')}))"
-        return F.expr(f"flatten(transform({tokens}, t -> {one}))")
+        return F.expr(f"flatten(transform({tokens}, t -> {self._token_ids()}))")
+
+    def with_encoded(self, df: DataFrame, tokens: str) -> DataFrame:
+        """Adds `ids` of a token column and the map between both: `token_of`, the place of the token that each id
+        belongs to, and `first_of`, the place of the first id of each token.
+
+        A token without an id has one null id. Places count from 0.
+        """
+        made = df.withColumn("_made", F.expr(f"transform({tokens}, t -> {self._token_ids()})"))
+        made = made.withColumns(
+            {
+                "ids": F.flatten("_made"),
+                "token_of": F.expr("flatten(transform(_made, (m, i) -> array_repeat(i, size(m))))"),
+            }
+        )
+        opens = "p = 0 or token_of[greatest(p - 1, 0)] <> i"
+        first = f"filter(transform(token_of, (i, p) -> if({opens}, p, -1)), p -> p >= 0)"
+        return made.withColumn("first_of", F.expr(first)).drop("_made")
+
+
+def places_of_tokens(places: str, length: str = "size(ids)") -> str:
+    """SQL text: places of all ids of the tokens at `places`, in order; needs `first_of`. Others are ignored."""
+    last = f"coalesce(get(first_of, i + 1), {length}) - 1"
+    return (
+        f"flatten(transform(filter(array_sort(array_distinct({places})), i -> i >= 0 and i < size(first_of)),"
+        f" i -> sequence(first_of[i], {last})))"
+    )
+
+
+def tokens_of_places(places: str) -> str:
+    """SQL text: places of the tokens that the ids at `places` belong to, in order; needs `token_of`."""
+    known = f"filter({places}, p -> p >= 0 and p < size(token_of))"
+    return f"array_sort(array_distinct(transform({known}, p -> token_of[p])))"
 
 
 def split_unknown(df: DataFrame, ids: str):

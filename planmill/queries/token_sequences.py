@@ -361,6 +361,40 @@ def decode_tokens(spark, sf):
     return vocabulary.lookup_tokens(df, "ids", vocab).select("plan_id", text("tokens", "tokens"))
 
 
+def number_table(spark, sf):
+    """(n, ids): the base vocabulary's ids of the numbers 0..15, one for each digit."""
+    digits = tables.table(spark, sf, "customer").filter("c_custkey between 10 and 19").select(
+        (F.col("c_custkey") - 10).cast("string").alias("d"), F.col("c_custkey").cast("int").alias("id"))
+    chars = spark.range(16).select(F.col("id").alias("n"), F.posexplode(F.expr("regexp_extract_all(cast(id as string), '[0-9]', 0)")).alias("pos", "d"))
+    return chars.join(digits, "d").groupBy("n").agg(F.expr("transform(array_sort(collect_list(struct(pos, id))), z -> z.id)").alias("ids"))
+
+
+_CENC = {
+    **COND0, **VOCAB_SQL,
+    "ctok": "SELECT plan_id, unnest(string_split(t, ' ')) AS token, unnest(range(len(string_split(t, ' '))))::INTEGER AS pos FROM cond",
+    "cids": """SELECT plan_id, pos, NOT starts_with(token, '<') AS num, CASE WHEN starts_with(token, '<') THEN [id::INTEGER]
+        ELSE list_transform(string_split(token, ''), lambda d: 10 + d::INTEGER) END AS l FROM ctok LEFT JOIN vids USING (token)""",
+    "coff": "SELECT *, (sum(len(l)) OVER (PARTITION BY plan_id ORDER BY pos) - len(l))::INTEGER AS f FROM cids",
+}
+
+
+@query("encode_conditions", s.with_ctes(
+    """SELECT plan_id, count(*)::INTEGER AS n_tokens, sum(len(l))::INTEGER AS n_ids, md5(string_agg(array_to_string(l, ','), ',' ORDER BY pos)) AS ids,
+          coalesce(string_agg(array_to_string(range(f, f + len(l)), ','), ',' ORDER BY pos) FILTER (num), '') AS number_ids,
+          coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (num), '') AS number_tokens FROM coff GROUP BY 1""", _CENC))
+def encode_conditions(spark, sf):
+    """Whole conditions as ids, numbers as several; places of the numbers among the ids, and back among the tokens."""
+    codec = vocabulary.Codec(vocabulary_table(spark, sf), number_table(spark, sf))
+    df = tk.condition_tokens(a.keep_everything(plans(spark, sf))).select("plan_id", "condition")
+    good, _ = vocabulary.split_unknown(codec.with_encoded(df, "condition"), "ids")
+    numbers = "filter(transform(condition, (t, i) -> if(startswith(t, '<'), -1, i)), i -> i >= 0)"
+    there = good.withColumn("at", F.expr(vocabulary.places_of_tokens(numbers)))
+    joined = lambda v: f"array_join(transform({v}, z -> cast(z as string)), ',')"
+    return there.select(
+        "plan_id", F.size("condition").alias("n_tokens"), F.size("ids").alias("n_ids"), F.md5(F.expr(joined("ids"))).alias("ids"),
+        F.expr(joined("at")).alias("number_ids"), F.expr(joined(vocabulary.tokens_of_places("at"))).alias("number_tokens"))
+
+
 # --- text ------------------------------------------------------------------------------------
 
 def layout_sql(source):
