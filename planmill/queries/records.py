@@ -16,6 +16,7 @@ from planmill.queries.registry import query
 from planmill.queries.token_sequences import ANSW0, COND0
 from planmill.session import shared_folder
 from planmill.sources import jsonl, runs, tables
+from planmill.sources.completions import completions
 
 
 def lines(spark, sf):
@@ -355,3 +356,41 @@ def run_results(spark, sf):
         "run_id": F.lit("r1"), "condition": F.expr("cast(array() as array<string>)"), "elapsed_sec": F.lit(0.0), "summary": F.lit("")})
     _, out = runs.run_tables(df)
     return out.select("plan_id", "index", "token_text", "output_token_count", "parse_success")
+
+
+def run_outputs(spark, sf):
+    """Two runs over all plans: `many` with four answers a plan, `one` with the first of them."""
+    asked = tk.condition_tokens(a.keep_everything(plans(spark, sf)))
+    df = parse.parse_answer(completions(asked, keep=("condition",)))
+    k = F.col("plan_id").cast("long")
+    df = df.withColumns({
+        "elapsed_sec": (k % 997 + F.col("gen_idx")) / 1000.0, "summary": F.concat(F.lit("seed "), (k % 3).cast("string")),
+        "run_id": F.explode(F.expr("if(gen_idx = 0, array('many', 'one'), array('many'))"))})
+    return runs.run_tables(df)
+
+
+_RUN = {
+    **_ANSWER_SQL, **COND0,
+    "outp": """SELECT c.plan_id, c.variant AS index, len(l)::INTEGER AS n_out, round((c.plan_id::BIGINT % 997 + c.variant) / 1000.0, 3)::DOUBLE AS secs, o.plan_id IS NOT NULL AS parsed
+        FROM comp c LEFT JOIN ok o USING (plan_id, variant)""",
+    "inp": "SELECT plan_id, 'seed ' || (plan_id::BIGINT % 3) AS aug, len(string_split(t, ' '))::INTEGER AS n_in, t FROM cond",
+    "runout": "SELECT 'many' AS run_id, * FROM outp UNION ALL SELECT 'one', * FROM outp WHERE index = 0",
+}
+
+
+@query("run_inputs", s.with_ctes(
+    """SELECT run_id, plan_id, aug AS augmentation, n_in AS input_token_count, md5(t) AS condition_md5, count(*) AS num_outputs
+       FROM runout JOIN inp USING (plan_id) GROUP BY ALL""", _RUN))
+def run_inputs(spark, sf):
+    inputs, _ = run_outputs(spark, sf)
+    return inputs.select("run_id", "plan_id", "augmentation", "input_token_count", F.md5("condition_text").alias("condition_md5"), "num_outputs")
+
+
+@query("run_meta", s.with_ctes(
+    """SELECT run_id, plan_id, '{"plan_id":"' || plan_id || '","augmentation":"' || aug || '","input_token_count":' || n_in || ',' ||
+         CASE WHEN run_id = 'one' THEN any_value('"output_token_count":' || n_out || ',"elapsed_sec":' || secs || ',"parse_success":' || parsed) || '}'
+         ELSE '"num_outputs":' || count(*) || ',"outputs":[' || string_agg('{"index":' || index || ',"output_token_count":' || n_out || ',"elapsed_sec":' || secs || ',"parse_success":' || parsed || '}', ',' ORDER BY index) || ']}' END AS meta
+       FROM runout JOIN inp USING (plan_id) GROUP BY run_id, plan_id, aug, n_in""", _RUN))
+def run_meta(spark, sf):
+    """The meta record of every plan in a run: flat for one answer, a list for several."""
+    return runs.meta_json(*run_outputs(spark, sf)).select("run_id", "plan_id", "meta")

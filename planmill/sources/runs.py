@@ -11,12 +11,13 @@ def run_tables(outputs: DataFrame):
         F.array_join("tokens", " ").alias("token_text"), F.size("tokens").alias("output_token_count"),
         F.round("elapsed_sec", 3).alias("elapsed_sec"), F.col("plan").isNotNull().alias("parse_success"),
         F.to_json("plan").alias("plan_json"), "summary", F.size("condition").alias("input_token_count"),
+        F.array_join("condition", " ").alias("condition_text"),
     )
     inputs = rows.groupBy("run_id", "plan_id").agg(
         F.min("summary").alias("augmentation"), F.min("input_token_count").alias("input_token_count"),
-        F.count(F.lit(1)).alias("num_outputs"),
+        F.min("condition_text").alias("condition_text"), F.count(F.lit(1)).alias("num_outputs"),
     )
-    return inputs, rows.drop("summary", "input_token_count")
+    return inputs, rows.drop("summary", "input_token_count", "condition_text")
 
 
 def meta_json(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
