@@ -19,7 +19,7 @@ from planmill.llm.segments import SegmentCodes, gather, in_parts, text_groups
 MARK = "▁"
 GROUP_CHARS = 1 << 20
 STRETCH_CHARS = 1 << 20
-KNOWN_SEGMENTS = 400_000
+KNOWN_SEGMENTS = 800_000
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 _CUT = re.compile(f"(?<=[^ {MARK}])[ {MARK}]")
 _PLACE = 40
