@@ -254,10 +254,15 @@ def no_overlap_score():
     return f"if(size({_OUT}) < 2 or {total} <= 0, 1D, 1D - least({common} / {total}, 1D))"
 
 
-def no_overlap_errors():
-    """Tokens of the vertices nearest to the corners of each one-part common area, in both rooms."""
+def no_overlap_errors(every_part: bool = True):
+    """Tokens of the vertices nearest to the corners of each common area, in both rooms.
+
+    The corners of an area are the vertices of both rooms and the crossings of their sides that lie on it, so
+    lines that the rooms share elsewhere count for nothing. An area of several parts is marked part by part,
+    or, without `every_part`, not at all.
+    """
     left, right = _x_at("v.l.s", "c.y"), _x_at("v.r.s", "c.y")
-    inside = f"exists(h.v, v -> c.y between v.lo and v.hi and c.x between {left} - 1e-9D and {right} + 1e-9D)"
+    inside = f"exists(h.v, v -> c.y between v.lo - 1e-9D and v.hi + 1e-9D and c.x between {left} - 1e-9D and {right} + 1e-9D)"
     den = "((s.x2 - s.x1) * (t.y2 - t.y1) - (s.y2 - s.y1) * (t.x2 - t.x1))"
     k = f"(((t.x1 - s.x1) * (t.y2 - t.y1) - (t.y1 - s.y1) * (t.x2 - t.x1)) / nullif(cast({den} as double), 0D))"
     m = f"(((t.x1 - s.x1) * (s.y2 - s.y1) - (t.y1 - s.y1) * (s.x2 - s.x1)) / nullif(cast({den} as double), 0D))"
@@ -270,7 +275,7 @@ def no_overlap_errors():
     points = (
         f"filter(array_distinct(concat({corners.format(p='h.a.p')}, {corners.format(p='h.b.p')}, {crossing})), c -> {inside})"
     )
-    # One part only: label trapezoids that share a stretch of a cut line.
+    # Parts: label trapezoids that share a stretch of a cut line.
     labelled = "transform(h.v, (v, i) -> named_struct('lo', v.lo, 'hi', v.hi, 'l', v.l.s, 'r', v.r.s, 'lab', cast(i as bigint)))"
     meet = lambda p, r: (
         f"({p}.hi = {r}.lo and least({_x_at(p + '.r', p + '.hi')}, {_x_at(r + '.r', p + '.hi')})"
@@ -283,7 +288,8 @@ def no_overlap_errors():
     marks = (
         f"flatten(transform(array(h.a, h.b), w -> flatten(transform({points}, c -> {let(nearest, 'n', 'array(w.i[n], w.i[n] + 1)')}))))"
     )
-    return f"array_sort(array_distinct(flatten(transform(_hits, h -> if({parts} = 1, {marks}, {NO_INTS})))))"
+    own = marks if every_part else f"if({parts} = 1, {marks}, {NO_INTS})"
+    return f"array_sort(array_distinct(flatten(transform(_hits, h -> {own}))))"
 
 
 # --- matching, connectivity, relations --------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from planmill.constants import ADVANTAGE_EPS, DOOR_REACH, OUTLINE
 from planmill.functions import geometry as g
 from planmill.operators import advantage, parse, score
+from planmill.operators.rows import keep_rows
 from planmill.queries import sql as s
 from planmill.queries.augmentation import plans
 from planmill.queries.parsing import STRICT_SQL
@@ -84,8 +85,8 @@ GATE = {
 }
 
 
-def with_recursive(body):
-    return s.with_ctes(body, GATE).replace("WITH ", "WITH RECURSIVE ", 1).replace("ways AS MATERIALIZED", "ways AS")
+def with_recursive(body, extra=None):
+    return s.with_ctes(body, {**GATE, **(extra or {})}).replace("WITH ", "WITH RECURSIVE ", 1).replace("ways AS MATERIALIZED", "ways AS")
 
 
 def single(name, table, column):
@@ -114,11 +115,30 @@ def score_format(spark, sf):
     return score.score(parsed(spark, sf), only("format")).select("plan_id", "gen_idx", "r_format", ints("e_format", "e_format"))
 
 
-@query("overlap_marks")
+_MARKS = {
+    "gvo": "SELECT plan_id, variant, out, unnest(range(len(coords) // 2))::INTEGER AS i, unnest(list_transform(range(len(coords) // 2), lambda k: coords[2 * k + 1])) AS x, unnest(list_transform(range(len(coords) // 2), lambda k: coords[2 * k + 2])) AS y, len(coords) // 2 AS n FROM gout",
+    "geo": "SELECT c.plan_id, c.variant, c.out, least(c.x, n.x) AS xa, greatest(c.x, n.x) AS xb, least(c.y, n.y) AS ya, greatest(c.y, n.y) AS yb FROM gvo c JOIN gvo n ON n.plan_id = c.plan_id AND n.variant = c.variant AND n.out = c.out AND n.i = (c.i + 1) % c.n",
+    "crect": """SELECT a.plan_id, a.variant, a.out AS oa, b.out AS ob, greatest(a.xa, b.xa) AS xa, least(a.xb, b.xb) AS xb, greatest(a.ya, b.ya) AS ya, least(a.yb, b.yb) AS yb
+        FROM rpart a JOIN rpart b ON a.plan_id = b.plan_id AND a.variant = b.variant AND a.out < b.out WHERE least(a.xb, b.xb) > greatest(a.xa, b.xa) AND least(a.yb, b.yb) > greatest(a.ya, b.ya)""",
+    "cpair": "SELECT DISTINCT plan_id, variant, oa, ob FROM crect",
+    "cand": """SELECT p.*, v.x, v.y FROM cpair p JOIN gvo v ON v.plan_id = p.plan_id AND v.variant = p.variant AND (v.out = p.oa OR v.out = p.ob)
+        UNION SELECT p.*, CASE WHEN a.xa = a.xb THEN a.xa ELSE b.xa END, CASE WHEN a.xa = a.xb THEN b.ya ELSE a.ya END FROM cpair p
+          JOIN geo a ON a.plan_id = p.plan_id AND a.variant = p.variant AND a.out = p.oa JOIN geo b ON b.plan_id = p.plan_id AND b.variant = p.variant AND b.out = p.ob
+          WHERE (a.xa = a.xb AND b.ya = b.yb AND a.xa BETWEEN b.xa AND b.xb AND b.ya BETWEEN a.ya AND a.yb) OR (a.ya = a.yb AND b.xa = b.xb AND b.xa BETWEEN a.xa AND a.xb AND a.ya BETWEEN b.ya AND b.yb)""",
+    "cpnt": "SELECT DISTINCT c.* FROM cand c JOIN crect r USING (plan_id, variant, oa, ob) WHERE c.x BETWEEN r.xa AND r.xb AND c.y BETWEEN r.ya AND r.yb",
+    "cnear": """SELECT c.plan_id, c.variant, v.out, arg_min(v.i, ((v.x - c.x) ** 2 + (v.y - c.y) ** 2)::BIGINT * 1000 + v.i) AS i FROM cpnt c
+        JOIN gvo v ON v.plan_id = c.plan_id AND v.variant = c.variant AND (v.out = c.oa OR v.out = c.ob) GROUP BY c.plan_id, c.variant, c.oa, c.ob, c.x, c.y, v.out""",
+}
+
+
+@query("overlap_marks", with_recursive(
+    "SELECT plan_id, variant AS gen_idx, out, string_agg(i, ',' ORDER BY i) AS vertices FROM (SELECT DISTINCT * FROM cnear) GROUP BY ALL", _MARKS))
 def overlap_marks(spark, sf):
-    """Marked vertex tokens of overlapping rooms; checked by brute force on small fixtures."""
+    """Marked vertices of overlapping rooms, by the place of the room in the answer and of the vertex in the room."""
     df = score.score(parsed(spark, sf), only("format", "no_overlap"))
-    return df.select("plan_id", "gen_idx", F.size("e_no_overlap").alias("n_marks"), ints("e_no_overlap", "marks"))
+    out = df.select("plan_id", "gen_idx", "e_no_overlap", F.posexplode(F.expr(f"filter(parsed.rooms, r -> r.type <> '{OUTLINE}')")).alias("out", "r"))
+    marked = out.withColumn("m", F.expr("filter(transform(r.idx, (t, i) -> if(array_contains(e_no_overlap, t), i, -1)), i -> i >= 0)"))
+    return keep_rows(marked, "size(m) > 0").select("plan_id", "gen_idx", "out", F.expr("array_join(transform(m, i -> cast(i as string)), ',')").alias("vertices"))
 
 
 @query("room_matching", with_recursive("SELECT plan_id, variant AS gen_idx, rid, out FROM mtch"))

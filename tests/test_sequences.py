@@ -176,3 +176,25 @@ def test_group_normalisation_and_credit(spark):
         F.expr(advantage.credit("-1.5D", score.error_mask("5", "array(1)"), 2.0)).alias("n"),
     ).first()
     assert list(one["p"]) == [2.0, 2.0, -3.0, 2.0, 2.0] and one["n"][1] == -3.0
+
+
+def test_every_part_of_an_overlap_is_marked(spark):
+    """A comb over a bar: two parts, each marked; a line shared elsewhere is not."""
+    ring = lambda pts: "<ROOM> <TYPE:bedroom> " + " ".join(f"<X:{x}> <Y:{y}>" for x, y in pts) + " <END_ROOM>"
+    comb = ring([(0, 0), (0, 20), (4, 20), (4, 10), (16, 10), (16, 20), (20, 20), (20, 0)])
+    bar = ring([(0, 18), (0, 30), (20, 30), (20, 18)])
+    # The bar's upper side runs along the notch of `step`, and the two meet in one corner area only.
+    step = ring([(30, 0), (30, 12), (50, 12), (50, 10), (40, 10), (40, 0)])
+    flat = ring([(35, 10), (35, 14), (60, 14), (60, 10)])
+    text = f"<OUTPUT> {BOX('outline', 0, 0, 90, 90)} {comb} {bar} <END_OUTPUT>"
+    touch = f"<OUTPUT> {BOX('outline', 0, 0, 90, 90)} {step} {flat} <END_OUTPUT>"
+    got = scores(spark, [text, touch])
+    first, second = got[0]["parsed"]["rooms"][1], got[0]["parsed"]["rooms"][2]
+    marks = {i for i in got[0]["e_no_overlap"]}
+    assert got[0]["r_no_overlap"] == pytest.approx(1 - 16 / (280 + 240))
+    assert {first["idx"][k] for k in (1, 2, 5, 6)} <= marks and not {first["idx"][k] for k in (3, 4, 0, 7)} & marks
+    assert {second["idx"][k] for k in (0, 3)} <= marks and not {second["idx"][k] for k in (1, 2)} & marks
+    step_, flat_ = got[1]["parsed"]["rooms"][1], got[1]["parsed"]["rooms"][2]
+    marks = set(got[1]["e_no_overlap"])
+    # Common area: 35..50 by 10..12; the corner (60, 10) of `flat` lies on no common area.
+    assert {step_["idx"][2], step_["idx"][3], flat_["idx"][0]} <= marks and step_["idx"][0] not in marks
