@@ -1,8 +1,15 @@
+import base64
+import hashlib
+from collections import Counter
+
+import numpy as np
 import public_tokenizers
+import tiktoken
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from planmill.llm import decontaminate
+from planmill.llm.rows import read_small_file
 
 from tests.llm.test_texts import BASE, TEXTS, brute_components, brute_leaks, brute_repeats  # noqa: F401
 
@@ -10,7 +17,7 @@ from tests.llm.test_texts import BASE, TEXTS, brute_components, brute_leaks, bru
 def test_registered():
     queries = entry.queries()
     numbers = {int(k[2:].split("_")[0]) for k in queries if k.startswith("op") and k[2].isdigit()}
-    assert numbers == set(range(1, 11)) and "pipeline" in queries
+    assert numbers == set(range(1, 14)) and "pipeline" in queries
     assert public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -45,9 +52,14 @@ def test_stages(spark, make_docs, tmp_path):
             hit = {k[0] for k in brute_leaks([(r.doc_id, r.text) for r in before], items) if k[2]}
             assert hit and all(r.text == clean[r.doc_id] for r in after if r.doc_id not in hit)
         else:
-            texts = {r.doc_id: r.text for r in before}
-            assert len(after) == len(before) and all(r.n_tokens == len(r.ids) // 4 for r in after)
-            assert {r.doc_id for r in after} == set(texts)
+            raw = read_small_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+            library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+            want = Counter()
+            for r in before:
+                ids = np.array(library.encode_ordinary(r.text or ""), "<u4").tobytes()
+                want[r.doc_id, len(ids) // 4, ids, hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
+            assert Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in after) == want
 
 
 def test_run(spark, make_docs, tmp_path):

@@ -342,3 +342,25 @@ def test_jump_shards(make_docs):
     moved = sum(r.grown_shard == 8 for r in out)
     assert 0.07 < moved / len(out) < 0.16 and max(map(len, slots.values())) < 1.4 * len(out) / 8
     assert sharding.shard_documents(make_docs([]), 8).count() == 0
+
+
+def test_jump_shards_one_by_one(spark, make_docs):
+    """Every shard by a plain loop of jumps over the same draws."""
+    import struct
+
+    import xxhash
+
+    def shard(key, shards):
+        seed = 42 if key is None else xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()
+        at, to, step = -1, 0, 0
+        while to < shards:
+            at, step = to, step + 1
+            draw = (xxhash.xxh64(struct.pack("<i", step), seed=seed).intdigest() >> 33) + 1
+            to = int((at + 1) * 2147483648.0 / draw)
+        return at
+
+    keys = [None, 0, 1, -1, 2**63 - 1, -(2**63), *range(2, 400)]
+    docs = make_docs([(k, "t") for k in keys])
+    for n in (1, 2, 8, 37):
+        got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard_documents(docs, n).collect()}
+        assert got == {k: (shard(k, n), shard(k, n + 1)) for k in keys}
