@@ -389,12 +389,13 @@ def score(df: DataFrame, cfg: RewardConfig = RewardConfig()) -> DataFrame:
     """
     on = {n for n, r in cfg.rewards.items() if r.enabled}
     out = df.withColumn("_gate", F.expr(f"{format_score()} = 1D"))
+    # First, because rows wait for their matches: they are narrowest here.
+    if on & {"connectivity", "spatial"}:
+        out = with_match(out)
     if "orthogonality" in on:
         out = with_angles(out)
     if "no_overlap" in on:
         out = with_overlaps(out)
-    if on & {"connectivity", "spatial"}:
-        out = with_match(out)
     if "connectivity" in on:
         out = with_door_reach(out)
     columns = {f"r_{n}": F.expr(SCORES[n]() if n == "format" else f"if(_gate, {SCORES[n]()}, 0D)") for n in REWARDS if n in on}
