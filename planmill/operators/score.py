@@ -408,5 +408,9 @@ def score(df: DataFrame, cfg: RewardConfig = RewardConfig()) -> DataFrame:
 
 
 def error_mask(length: str, indices: str) -> str:
-    """SQL text: 0/1 per token; indices outside the sequence are ignored."""
-    return f"transform(filter(sequence(0, {length}), i -> i < {length}), i -> if(array_contains({indices}, i), 1D, 0D))"
+    """SQL text: 0/1 per token; indices outside the sequence are ignored.
+
+    Both texts are evaluated once a row, also where they stand for whole steps and not for columns.
+    """
+    mask = "transform(filter(sequence(0, q.n), i -> i < q.n), i -> if(array_contains(q.m, i), 1D, 0D))"
+    return let(f"named_struct('n', {length}, 'm', {indices})", "q", mask)

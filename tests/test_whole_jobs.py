@@ -11,3 +11,10 @@ def test_ingest_returns_every_row_as_it_is(spark):
     df = entry.queries()["ingest_jsonl"](spark, SF)
     assert df.columns == ["plan_id", "variant", "kind", "pos", "val"]
     assert "md5" not in entry.oracle_sql()["ingest_jsonl"]
+
+
+def test_error_mask_parses_once_a_sequence(spark):
+    """The mask looks at a bound list for each token; the parse must not stand inside that loop."""
+    plan = entry.queries()["error_mask"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    looked = re.findall(r"array_contains\((.{0,20})", plan)
+    assert looked and all(x.startswith("lambda q") for x in looked), looked
