@@ -1,5 +1,7 @@
 """Cheapest assignment between two small sets of places, in polynomial time, over Arrow batches."""
 
+from math import sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -104,6 +106,27 @@ def match_places(wanted, answered) -> list[tuple[int, int]]:
     return [(i, int(c) - spare) for i, c in enumerate(chosen) if c >= spare]
 
 
+def match_few(wanted, answered) -> list[tuple[int, int]] | None:
+    """As `match_places` for at most two places on each side, lists of (cx, cy), without arrays; null where
+    the two ways are so nearly equal that potentials have to tell whether they are."""
+    e, a = len(wanted), len(answered)
+    if e == a == 1:
+        return [(0, 0)]
+    d = [[sqrt((x - u) ** 2 + (y - v) ** 2) for u, v in answered] for x, y in wanted]
+    if e == 1:
+        straight, crossed = d[0]
+        ways = [(0, 0)], [(0, 1)]
+    elif a == 1:
+        straight, crossed = d[1][0], d[0][0]
+        ways = [(1, 0)], [(0, 0)]
+    else:
+        straight, crossed = d[0][0] + d[1][1], d[0][1] + d[1][0]
+        ways = [(0, 0), (1, 1)], [(0, 1), (1, 0)]
+    if TIE / 1000 < straight - crossed < TIE * 1000:
+        return None
+    return ways[0] if straight - crossed <= TIE else ways[1]
+
+
 def _match_lists(wanted: pa.Array, answered: pa.Array) -> pa.Array:
     """For each row the (rid, out) pairs of both lists of (number, type, cx, cy), type by type."""
     def columns(lists, number):
@@ -114,6 +137,7 @@ def _match_lists(wanted: pa.Array, answered: pa.Array) -> pa.Array:
 
     rids, in_types, in_places, in_at = columns(wanted, "rid")
     outs, out_types, out_places, out_at = columns(answered, "out")
+    in_list, out_list = in_places.tolist(), out_places.tolist()
     known = (wanted.is_valid().to_numpy(zero_copy_only=False)) & (answered.is_valid().to_numpy(zero_copy_only=False))
     found = []
     for k, ok in enumerate(known.tolist()):
@@ -129,7 +153,12 @@ def _match_lists(wanted: pa.Array, answered: pa.Array) -> pa.Array:
         own = []
         for ins, others in by_type.values():
             if others:
-                own.extend((ins[i], others[j]) for i, j in match_places(in_places[ins], out_places[others]))
+                few = None
+                if len(ins) <= 2 and len(others) <= 2:
+                    few = match_few([in_list[i] for i in ins], [out_list[o] for o in others])
+                if few is None:
+                    few = match_places(in_places[ins], out_places[others])
+                own.extend((ins[i], others[j]) for i, j in few)
         found.append([{"rid": int(rids[i]), "out": int(outs[o])} for i, o in own])
     return pa.array(found, pa.list_(pa.struct([("rid", pa.int32()), ("out", pa.int32())])))
 

@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 import __spark_entry__ as entry
-from planmill.operators import adjacency
+from planmill.operators import adjacency, matching
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +51,11 @@ def test_door_rooms_at_the_border_of_a_raster(spark):
     got = adjacency.door_pairs(runs, doors, kernel=3)
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["plan_id"], r["a"], r["b"], r["door_id"], tuple(r["door"])) for r in got.collect()] == [("p", 1, 2, 0, (1, 0, 2, 1))]
+
+
+def test_few_places_are_matched_without_arrays():
+    draw = np.random.default_rng(2)
+    for _ in range(500):
+        wanted, answered = (draw.integers(0, 5, (draw.integers(1, 3), 2)).astype(float) for _ in range(2))
+        few = matching.match_few(wanted.tolist(), answered.tolist())
+        assert few is None or few == matching.match_places(wanted, answered)
