@@ -198,3 +198,20 @@ def test_every_part_of_an_overlap_is_marked(spark):
     marks = set(got[1]["e_no_overlap"])
     # Common area: 35..50 by 10..12; the corner (60, 10) of `flat` lies on no common area.
     assert {step_["idx"][2], step_["idx"][3], flat_["idx"][0]} <= marks and step_["idx"][0] not in marks
+
+
+def test_tokens_are_classified_as_spark_casts_them(spark):
+    from planmill.operators import strict
+
+    texts = ["1", "-7", "+3", " 12 ", "1.5", "", "-", "2147483647", "2147483648", "1e2", "\t4", "1 2", "٣", "0x1", "00"]
+    cast = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "try_cast(t as int) as v").collect()
+    assert {r["t"]: r["v"] for r in cast} == {t: strict.number(t) for t in texts}
+    assert [strict.classify(t)[0] for t in ("<X:5>", "<Y:5>", "<X:a>", "<X:", "<TYPE:x>", "<RID:1>", "<ROOM>", "x", None)] == list("xy??tiR??")
+
+
+def test_a_missing_sequence_is_no_answer(spark):
+    """A null list had level 3, that of an answer without errors."""
+    rows = [(0, CLEAN.split(" ")), (1, None), (2, []), (3, ["<OUTPUT>", None, "<ROOM>"])]
+    got = {r["id"]: r["parsed"] for r in parse.parse_strict(spark.createDataFrame(rows, "id int, tokens array<string>")).collect()}
+    assert got[0]["level"] == 3 and got[1] is None and got[2]["level"] == 0 and got[2]["errors"] == []
+    assert got[3]["level"] == 1 and got[3]["errors"] == [1, 2]
