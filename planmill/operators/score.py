@@ -10,10 +10,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planmill.constants import DOOR_REACH, OUTLINE, RIGHT_ANGLE_TOL
+from planmill.constants import OUTLINE
 from planmill.functions import geometry as g
-from planmill.functions.arrays import components, let
+from planmill.functions.arrays import let
 from planmill.operators.matching import matched
+from planmill.operators.shapes import shapes
 
 REWARDS = ["format", "count_total", "count_type", "orthogonality", "no_overlap", "connectivity", "spatial"]
 
@@ -91,205 +92,26 @@ def count_type_score():
     )
 
 
-def _angles():
-    """Array of (ok, idx) structs of all vertices that have two sides."""
-    p, n = "q.p[(i + size(q.p) - 1) % size(q.p)]", "q.p[(i + 1) % size(q.p)]"
-    dot = f"(({p}.x - v.x) * ({n}.x - v.x) + ({p}.y - v.y) * ({n}.y - v.y))"
-    l1 = f"((({p}.x - v.x) * ({p}.x - v.x) + ({p}.y - v.y) * ({p}.y - v.y)))"
-    l2 = f"((({n}.x - v.x) * ({n}.x - v.x) + ({n}.y - v.y) * ({n}.y - v.y)))"
-    one = (
-        f"if({l1} = 0 or {l2} = 0, cast(null as struct<ok:boolean,idx:int>), named_struct('ok',"
-        f" abs({dot} / (sqrt({l1}) * sqrt({l2}))) <= {RIGHT_ANGLE_TOL}D, 'idx', q.i[i]))"
-    )
-    rooms = "transform(filter(parsed.rooms, r -> size(r.points) >= 3), r -> named_struct('p', r.points, 'i', r.idx))"
-    return f"filter(flatten(transform({rooms}, q -> transform(q.p, (v, i) -> {one}))), a -> a is not null)"
-
-
-def with_angles(df):
-    return df.withColumn("_angles", F.expr(f"if(_gate, {_angles()}, cast(null as array<struct<ok:boolean,idx:int>>))"))
-
-
 def orthogonality_score():
-    return "if(size(_angles) = 0, 0D, size(filter(_angles, a -> a.ok)) / cast(size(_angles) as double))"
+    return "if(_shape.n_angles = 0, 0D, _shape.n_right / cast(_shape.n_angles as double))"
 
 
 def orthogonality_errors():
-    return "flatten(transform(filter(_angles, a -> not a.ok), a -> array(a.idx, a.idx + 1)))"
-
-
-# --- overlap -------------------------------------------------------------------------------
-
-def _ring(points):
-    """Ring without repeated consecutive vertices."""
-    return f"filter({points}, (v, i) -> v <> {points}[(i + 1) % size({points})])"
-
-
-def _sides(points):
-    return (
-        f"transform({points}, (v, i) -> named_struct('x1', v.x, 'y1', v.y,"
-        f" 'x2', {points}[(i + 1) % size({points})].x, 'y2', {points}[(i + 1) % size({points})].y))"
-    )
-
-
-def _turn(ax, ay, bx, by, cx, cy):
-    return f"sign(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))"
-
-
-def _touching(s, t):
-    """Closed segments share a point."""
-    def on(ax, ay, bx, by, px, py):
-        return (
-            f"({_turn(ax, ay, bx, by, px, py)} = 0 and {px} between least({ax}, {bx}) and greatest({ax}, {bx})"
-            f" and {py} between least({ay}, {by}) and greatest({ay}, {by}))"
-        )
-
-    s1, s2 = (f"{s}.x1", f"{s}.y1"), (f"{s}.x2", f"{s}.y2")
-    t1, t2 = (f"{t}.x1", f"{t}.y1"), (f"{t}.x2", f"{t}.y2")
-    return (
-        f"(({_turn(*s1, *s2, *t1)} * {_turn(*s1, *s2, *t2)} < 0 and {_turn(*t1, *t2, *s1)} * {_turn(*t1, *t2, *s2)} < 0)"
-        f" or {on(*s1, *s2, *t1)} or {on(*s1, *s2, *t2)} or {on(*t1, *t2, *s1)} or {on(*t1, *t2, *s2)})"
-    )
-
-
-def simple_ring(points):
-    """SQL text: the ring does not cross, touch or fold back on itself."""
-    back = (
-        f"{_turn('s.x1', 's.y1', 's.x2', 's.y2', 't.x2', 't.y2')} = 0"
-        f" and (s.x2 - s.x1) * (t.x2 - t.x1) + (s.y2 - s.y1) * (t.y2 - t.y1) < 0"
-    )
-    body = (
-        f"size(e) >= 3 and not exists(flatten(transform(e, (s, i) -> transform(filter(transform(e, (t, j) ->"
-        f" named_struct('t', t, 'j', j)), z -> z.j > i), z -> {let('z.t', 't', f'if(z.j = i + 1, {back}, if(i = 0 and z.j = size(e) - 1, {_swapped(back)}, {_touching(chr(115), chr(116))}))')}))), b -> b)"
-    )
-    return let(_sides(_ring_let(points)), "e", body)
-
-
-def _ring_let(points):
-    return let(points, "u", _ring("u"))
-
-
-def _swapped(text):
-    return text.replace("s.", "\0").replace("t.", "s.").replace("\0", "t.")
-
-
-_PIECE = "struct<lo:double,hi:double,l:struct<x1:double,y1:double,x2:double,y2:double>,r:struct<x1:double,y1:double,x2:double,y2:double>,lab:bigint>"
-
-
-def _rising(points):
-    """Sides that are not horizontal, from low to high y."""
-    return (
-        f"transform(filter({_sides(points)}, s -> s.y1 <> s.y2), s -> if(s.y1 < s.y2,"
-        f" named_struct('x1', cast(s.x1 as double), 'y1', cast(s.y1 as double), 'x2', cast(s.x2 as double), 'y2', cast(s.y2 as double)),"
-        f" named_struct('x1', cast(s.x2 as double), 'y1', cast(s.y2 as double), 'x2', cast(s.x1 as double), 'y2', cast(s.y1 as double))))"
-    )
-
-
-def _x_at(edge, y):
-    return f"({edge}.x1 + ({y} - {edge}.y1) * ({edge}.x2 - {edge}.x1) / ({edge}.y2 - {edge}.y1))"
-
-
-def _crossing_ys():
-    """y of crossings between slanted sides of one ring and any side of the other."""
-    den = "((s.x2 - s.x1) * (t.y2 - t.y1) - (s.y2 - s.y1) * (t.x2 - t.x1))"
-    k = f"(((t.x1 - s.x1) * (t.y2 - t.y1) - (t.y1 - s.y1) * (t.x2 - t.x1)) / nullif({den}, 0D))"
-    y = f"(s.y1 + {k} * (s.y2 - s.y1))"
-    pairs = "flatten(transform(z.a, s -> transform(filter(z.b, t -> s.x1 <> s.x2 or t.x1 <> t.x2), t -> named_struct('s', s, 't', t))))"
-    found = f"transform({pairs}, q -> {let('q.s', 's', let('q.t', 't', f'if({k} between 0D and 1D and {y} between t.y1 and t.y2, {y}, cast(null as double))'))})"
-    return f"filter({found}, v -> v is not null)"
-
-
-def _pieces():
-    """Trapezoids whose union is the common area of the rings with sides z.a and z.b.
-
-    Between two neighbouring cuts (all vertex heights and all crossings) no side starts, ends or
-    crosses, so every common stretch is a trapezoid and the area is exact.
-    """
-    cuts = (
-        "array_sort(array_distinct(concat(flatten(transform(z.a, s -> array(s.y1, s.y2))),"
-        f" flatten(transform(z.b, s -> array(s.y1, s.y2))), {_crossing_ys()})))"
-    )
-    def spans(side):
-        hit = f"filter(z.{side}, s -> s.y1 < m.mid and s.y2 > m.mid)"
-        order = f"array_sort(transform({hit}, s -> named_struct('x', {_x_at('s', 'm.mid')}, 's', s)))"
-        return let(order, "w", "transform(filter(sequence(0, size(w)), k -> k < size(w) div 2), k -> named_struct('l', w[2 * k], 'r', w[2 * k + 1]))")
-
-    slabs = "transform(filter(sequence(0, size(c)), k -> k < size(c) - 1), k -> named_struct('lo', c[k], 'hi', c[k + 1], 'mid', (c[k] + c[k + 1]) / 2D))"
-    common = (
-        f"filter(flatten(transform({spans('a')}, p -> transform({spans('b')}, q -> named_struct('lo', m.lo, 'hi', m.hi,"
-        f" 'l', if(p.l.x >= q.l.x, p.l, q.l), 'r', if(p.r.x <= q.r.x, p.r, q.r))))), v -> v.r.x > v.l.x)"
-    )
-    return let(cuts, "c", f"flatten(transform({slabs}, m -> {common}))")
-
-
-def with_overlaps(df: DataFrame) -> DataFrame:
-    """`_polys`: usable rooms; `_hits`: pairs of them with common area."""
-    poly = (
-        f"transform(filter({_OUT}, r -> size(r.points) >= 3), r -> named_struct('p', r.points, 'i', r.idx,"
-        f" 'area', abs({g.shoelace('r.points')}) / 2D,"
-        f" 'x0', array_min(transform(r.points, v -> v.x)), 'x1', array_max(transform(r.points, v -> v.x)),"
-        f" 'y0', array_min(transform(r.points, v -> v.y)), 'y1', array_max(transform(r.points, v -> v.y))))"
-    )
-    box = (
-        "size(r.p) = 4 and ((r.p[0].x = r.p[1].x and r.p[1].y = r.p[2].y and r.p[2].x = r.p[3].x and r.p[3].y = r.p[0].y)"
-        " or (r.p[0].y = r.p[1].y and r.p[1].x = r.p[2].x and r.p[2].y = r.p[3].y and r.p[3].x = r.p[0].x))"
-    )
-    polys = f"filter({poly}, r -> r.area > 0 and if({box}, true, {simple_ring('r.p')}))"
-    near = "b.x0 < a.x1 and b.x1 > a.x0 and b.y0 < a.y1 and b.y1 > a.y0"
-    pairs = (
-        f"flatten(transform(_polys, (a, i) -> transform(filter(slice(_polys, i + 2, size(_polys)), b -> {near}),"
-        f" b -> named_struct('a', a, 'b', b, 'v', {let(f'named_struct({chr(39)}a{chr(39)}, {_rising(chr(97) + chr(46) + chr(112))}, {chr(39)}b{chr(39)}, {_rising(chr(98) + chr(46) + chr(112))})', 'z', _pieces())}))))"
-    )
-    area = "aggregate(h.v, 0D, (s, v) -> s + (v.r.x - v.l.x) * (v.hi - v.lo))"
-    return (
-        df.withColumn("_polys", F.expr(f"if(_gate, {polys}, null)"))
-        .withColumn("_pairs", F.expr(pairs))
-        .withColumn("_hits", F.expr(f"filter(transform(_pairs, h -> named_struct('a', h.a, 'b', h.b, 'v', h.v, 'area', {area})), h -> h.area > 0)"))
-        .drop("_pairs")
-    )
+    return "_shape.slanted"
 
 
 def no_overlap_score():
-    total = "aggregate(_polys, 0D, (s, p) -> s + p.area)"
-    common = "aggregate(_hits, 0D, (s, h) -> s + h.area)"
-    return f"if(size({_OUT}) < 2 or {total} <= 0, 1D, 1D - least({common} / {total}, 1D))"
+    return f"if(size({_OUT}) < 2 or _shape.total <= 0, 1D, 1D - least(_shape.common / _shape.total, 1D))"
 
 
-def no_overlap_errors(every_part: bool = True):
-    """Tokens of the vertices nearest to the corners of each common area, in both rooms.
+def no_overlap_errors():
+    return "_shape.marks"
 
-    The corners of an area are the vertices of both rooms and the crossings of their sides that lie on it, so
-    lines that the rooms share elsewhere count for nothing. An area of several parts is marked part by part,
-    or, without `every_part`, not at all.
-    """
-    left, right = _x_at("v.l.s", "c.y"), _x_at("v.r.s", "c.y")
-    inside = f"exists(h.v, v -> c.y between v.lo - 1e-9D and v.hi + 1e-9D and c.x between {left} - 1e-9D and {right} + 1e-9D)"
-    den = "((s.x2 - s.x1) * (t.y2 - t.y1) - (s.y2 - s.y1) * (t.x2 - t.x1))"
-    k = f"(((t.x1 - s.x1) * (t.y2 - t.y1) - (t.y1 - s.y1) * (t.x2 - t.x1)) / nullif(cast({den} as double), 0D))"
-    m = f"(((t.x1 - s.x1) * (s.y2 - s.y1) - (t.y1 - s.y1) * (s.x2 - s.x1)) / nullif(cast({den} as double), 0D))"
-    point = f"named_struct('x', s.x1 + {k} * (s.x2 - s.x1), 'y', s.y1 + {k} * (s.y2 - s.y1))"
-    crossing = (
-        f"filter(flatten(transform({_sides('h.a.p')}, s -> transform({_sides('h.b.p')}, t ->"
-        f" if({k} between 0D and 1D and {m} between 0D and 1D, {point}, cast(null as struct<x:double,y:double>))))), c -> c is not null)"
-    )
-    corners = "transform({p}, q -> named_struct('x', cast(q.x as double), 'y', cast(q.y as double)))"
-    points = (
-        f"filter(array_distinct(concat({corners.format(p='h.a.p')}, {corners.format(p='h.b.p')}, {crossing})), c -> {inside})"
-    )
-    # Parts: label trapezoids that share a stretch of a cut line.
-    labelled = "transform(h.v, (v, i) -> named_struct('lo', v.lo, 'hi', v.hi, 'l', v.l.s, 'r', v.r.s, 'lab', cast(i as bigint)))"
-    meet = lambda p, r: (
-        f"({p}.hi = {r}.lo and least({_x_at(p + '.r', p + '.hi')}, {_x_at(r + '.r', p + '.hi')})"
-        f" > greatest({_x_at(p + '.l', p + '.hi')}, {_x_at(r + '.l', p + '.hi')}))"
-    )
-    parts = (
-        f"size(array_distinct(transform({components(labelled, ['lo', 'hi', 'l', 'r'], meet)}, v -> v.lab)))"
-    )
-    nearest = "array_min(transform(w.p, (q, i) -> named_struct('d', pow(q.x - c.x, 2) + pow(q.y - c.y, 2), 'i', i))).i"
-    marks = (
-        f"flatten(transform(array(h.a, h.b), w -> flatten(transform({points}, c -> {let(nearest, 'n', 'array(w.i[n], w.i[n] + 1)')}))))"
-    )
-    own = marks if every_part else f"if({parts} = 1, {marks}, {NO_INTS})"
-    return f"array_sort(array_distinct(flatten(transform(_hits, h -> {own}))))"
+
+def with_shapes(df: DataFrame, parts: list[str], every_part: bool = True) -> DataFrame:
+    """`_shape`: the wanted parts of the geometry of answers that pass the gate; see `shapes`."""
+    rooms, doors = (F.expr(f"if(_gate, parsed.{c}, null)") for c in ("rooms", "doors"))
+    return df.withColumn("_shape", shapes(rooms, doors, parts, every_part))
 
 
 # --- matching, connectivity, relations --------------------------------------------------------
@@ -323,38 +145,18 @@ def _out_of(rid):
     return f"get(filter(match, z -> z.rid = {rid}), 0).out"
 
 
-def with_door_reach(df: DataFrame) -> DataFrame:
-    """`_near`: for every valid answered door, the answered rooms whose boundary is within reach."""
-    side = (
-        "named_struct('ax', cast(v.x as double), 'ay', cast(v.y as double),"
-        " 'dx', cast(r.points[(i + 1) % size(r.points)].x - v.x as double),"
-        " 'dy', cast(r.points[(i + 1) % size(r.points)].y - v.y as double))"
-    )
-    rings = f"transform({_OUT}, r -> transform(r.points, (v, i) -> {side}))"
-    t = (
-        "greatest(0D, least(1D, coalesce(((d.door.x - s.ax) * s.dx + (d.door.y - s.ay) * s.dy)"
-        " / nullif(s.dx * s.dx + s.dy * s.dy, 0D), 0D)))"
-    )
-    square = f"pow(d.door.x - (s.ax + {t} * s.dx), 2) + pow(d.door.y - (s.ay + {t} * s.dy), 2)"
-    near = (
-        f"transform(filter(parsed.doors, d -> d.door is not null), d -> filter(transform(_rings, (q, o) ->"
-        f" if(sqrt(array_min(transform(q, s -> {square}))) <= {DOOR_REACH}D, o, -1)), o -> o >= 0))"
-    )
-    return df.withColumn("_rings", F.expr(f"if(_gate, {rings}, null)")).withColumn(
-        "_near", F.expr(f"if(_gate, {near}, null)")
-    ).drop("_rings")
-
-
 def connectivity_score():
     ok = let(
         f"named_struct('a', {_out_of('e.pair[0]')}, 'b', {_out_of('e.pair[1]')})", "ab",
         "ab.a is not null and ab.b is not null and"
-        " exists(_near, n -> array_contains(n, ab.a) and array_contains(n, ab.b))",
+        " exists(w.near, n -> array_contains(n, ab.a) and array_contains(n, ab.b))",
     )
-    doored = "filter(meta.edges, e -> size(e.door) > 0)"
+    # Taken once a row: a column that a lambda alone uses is put into it, and then made once an edge.
+    held = "named_struct('near', _shape.near, 'doored', filter(meta.edges, e -> size(e.door) > 0))"
+    share = f"size(filter(w.doored, e -> size(e.pair) >= 2 and {ok})) / cast(size(w.doored) as double)"
     return (
-        f"case when size(meta.edges) = 0 then 1D when size(match) = 0 then 0D when size({doored}) = 0 then 1D"
-        f" else size(filter({doored}, e -> size(e.pair) >= 2 and {ok})) / cast(size({doored}) as double) end"
+        "case when size(meta.edges) = 0 then 1D when size(match) = 0 then 0D else "
+        + let(held, "w", f"if(size(w.doored) = 0, 1D, {share})") + " end"
     )
 
 
@@ -392,19 +194,19 @@ def score(df: DataFrame, cfg: RewardConfig = RewardConfig()) -> DataFrame:
     # First, because rows wait for their matches: they are narrowest here.
     if on & {"connectivity", "spatial"}:
         out = with_match(out)
-    if "orthogonality" in on:
-        out = with_angles(out)
-    if "no_overlap" in on:
-        out = with_overlaps(out)
-    if "connectivity" in on:
-        out = with_door_reach(out)
+    wanted = {"orthogonality": "angles", "no_overlap": "overlaps", "connectivity": "reach"}
+    parts = [p for n, p in wanted.items() if n in on]
+    if "no_overlap" in on and cfg.rewards["no_overlap"].credit:
+        parts.append("marks")
+    if parts:
+        out = with_shapes(out, parts)
     columns = {f"r_{n}": F.expr(SCORES[n]() if n == "format" else f"if(_gate, {SCORES[n]()}, 0D)") for n in REWARDS if n in on}
     errors = {"format": format_errors, "orthogonality": orthogonality_errors, "no_overlap": no_overlap_errors}
     for n, e in errors.items():
         if n in on and cfg.rewards[n].credit:
             columns[f"e_{n}"] = F.expr(e() if n == "format" else f"if(_gate, {e()}, {NO_INTS})")
     out = out.withColumns(columns)
-    return out.drop("_gate", "_angles", "_polys", "_hits", "_ins", "_outs", "_near")
+    return out.drop("_gate", "_shape", "_ins", "_outs")
 
 
 def error_mask(length: str, indices: str) -> str:

@@ -22,6 +22,11 @@ def only(*names):
     return replace(ALL, rewards={n: replace(r, enabled=n in names) for n, r in ALL.rewards.items()})
 
 
+def unmarked(cfg):
+    """The same scores without error indices, for queries that return none."""
+    return replace(cfg, rewards={n: replace(r, credit=False) for n, r in cfg.rewards.items()})
+
+
 def parsed(spark, sf):
     return parse.parse_strict(completions(score.metadata(plans(spark, sf)), keep=("meta",)))
 
@@ -94,7 +99,7 @@ def single(name, table, column):
 
     @query(f"score_{name}", sql)
     def run(spark, sf):
-        return score.score(parsed(spark, sf), only("format", name)).select(
+        return score.score(parsed(spark, sf), unmarked(only("format", name))).select(
             "plan_id", "gen_idx", F.round(f"r_{name}", 6).alias(column)
         )
 
@@ -167,7 +172,7 @@ COLS = [f"r_{n}" for n in score.REWARDS]
 @query("score_all", with_recursive(
     f"SELECT plan_id, variant AS gen_idx, {', '.join(f'round({c}, 6) AS {c}' for c in COLS)} FROM rew"))
 def score_all(spark, sf):
-    df = score.score(parsed(spark, sf))
+    df = score.score(parsed(spark, sf), unmarked(ALL))
     return df.select("plan_id", "gen_idx", *[F.round(c, 6).alias(c) for c in COLS])
 
 

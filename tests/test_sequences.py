@@ -215,3 +215,56 @@ def test_a_missing_sequence_is_no_answer(spark):
     got = {r["id"]: r["parsed"] for r in parse.parse_strict(spark.createDataFrame(rows, "id int, tokens array<string>")).collect()}
     assert got[0]["level"] == 3 and got[1] is None and got[2]["level"] == 0 and got[2]["errors"] == []
     assert got[3]["level"] == 1 and got[3]["errors"] == [1, 2]
+
+
+def test_overlap_of_random_boxes_against_cells(spark):
+    """Common areas, counted cell by cell; a room outside any int product had ended the job by an overflow."""
+    rng = random.Random(5)
+    texts, want = [], []
+    for _ in range(60):
+        boxes = [(rng.randint(0, 12), rng.randint(0, 12), rng.randint(1, 9), rng.randint(1, 9)) for _ in range(rng.randint(2, 6))]
+        cells = [{(i, j) for i in range(x, x + w) for j in range(y, y + h)} for x, y, w, h in boxes]
+        common = sum(len(a & b) for k, a in enumerate(cells) for b in cells[:k])
+        want.append(1 - min(common / sum(map(len, cells)), 1))
+        texts.append(f"<OUTPUT> {BOX('outline', 0, 0, 30, 30)} " + " ".join(BOX("bedroom", *b) for b in boxes) + " <END_OUTPUT>")
+    far = 2_000_000_000
+    slanted = f"<ROOM> <TYPE:bedroom> <X:0> <Y:-{far}> <X:{far}> <Y:0> <X:0> <Y:{far}> <X:-{far}> <Y:0> <END_ROOM>"
+    texts.append(f"<OUTPUT> {BOX('outline', 0, 0, 30, 30)} {slanted} {BOX('bedroom', 0, -far, far, 2 * far - 1)} <END_OUTPUT>")
+    got = scores(spark, texts)
+    assert [got[i]["r_no_overlap"] for i in range(60)] == pytest.approx(want, abs=1e-9)
+    assert got[60]["r_no_overlap"] == pytest.approx(1 - far**2 / (2 * far**2 + far * (2 * far)), abs=1e-6)
+
+
+def test_areas_of_several_parts_are_left_unmarked_on_request(spark):
+    ring = lambda pts: "<ROOM> <TYPE:bedroom> " + " ".join(f"<X:{x}> <Y:{y}>" for x, y in pts) + " <END_ROOM>"
+    comb = ring([(0, 0), (0, 20), (4, 20), (4, 10), (16, 10), (16, 20), (20, 20), (20, 0)])
+    bar = ring([(0, 18), (0, 30), (20, 30), (20, 18)])
+    low = ring([(0, 8), (0, 30), (20, 30), (20, 8)])
+    texts = [f"<OUTPUT> {BOX('outline', 0, 0, 90, 90)} {comb} {other} <END_OUTPUT>" for other in (bar, low)]
+    df = parse.parse_strict(frame(spark, texts)).withColumn("_gate", F.lit(True))
+    for every_part, marked in ((True, {0, 1}), (False, {1})):
+        rows = score.with_shapes(df, ["marks"], every_part).select("id", "_shape.marks").collect()
+        assert {r["id"] for r in rows if r["marks"]} == marked
+
+
+def test_doors_in_reach_against_single_steps(spark):
+    rng = random.Random(8)
+    texts, want = [], []
+    for _ in range(40):
+        boxes = [(rng.randint(0, 60), rng.randint(0, 60), rng.randint(5, 60), rng.randint(5, 60)) for _ in range(3)]
+        doors = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(rng.randint(0, 3))]
+        near = []
+        for px, py in doors:
+            gap = []
+            for x, y, w, h in boxes:
+                cx, cy = min(max(px, x), x + w), min(max(py, y), y + h)
+                inside = min(px - x, x + w - px, py - y, y + h - py)
+                gap.append(inside if inside >= 0 else ((px - cx) ** 2 + (py - cy) ** 2) ** 0.5)
+            near.append([o for o, g in enumerate(gap) if g <= 20])
+        want.append(near)
+        parts = [BOX("outline", 0, 0, 120, 120), *[BOX("bedroom", *b) for b in boxes]]
+        parts += [f"<DOOR> <X:{x}> <Y:{y}> <SEP_DOOR> <X:4> <Y:2> <END_DOOR>" for x, y in doors]
+        texts.append(f"<OUTPUT> {' '.join(parts)} <END_OUTPUT>")
+    df = parse.parse_strict(frame(spark, texts)).withColumn("_gate", F.lit(True))
+    got = {r["id"]: r["near"] for r in score.with_shapes(df, ["reach"]).select("id", "_shape.near").collect()}
+    assert [got[i] for i in range(40)] == want
