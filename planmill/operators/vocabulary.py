@@ -1,5 +1,7 @@
 """The token vocabulary: ordered table, id assignment over a base vocabulary, encode and decode."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -7,7 +9,9 @@ from pyspark.sql import Window as W
 from planmill.constants import (
     DIRECTIONS, MAX_COORD, MAX_RID, OUTLINE, PAD_TOKEN, ROOM_TYPES, STRUCTURE_TOKENS,
 )
+from planmill.functions.flat import lists_of, ranges
 from planmill.operators.rows import keep_rows
+from planmill.operators.strict import number
 
 VOCAB_LIMIT = 10_000
 
@@ -49,11 +53,11 @@ def assign_ids(tokens: DataFrame, base: DataFrame) -> DataFrame:
 
 
 class Codec:
-    """Token text <-> id as column expressions.
+    """Token text <-> id.
 
     Holds the vocabulary on the driver. Its size is fixed by the vocabulary, is checked when it
-    is read, and does not grow with the data; each family is an array literal, so a coordinate
-    costs one index lookup and encoding needs no join and no shuffle.
+    is read, and does not grow with the data; it goes with the tasks, so encoding needs no join and
+    no shuffle, and each distinct token of an Arrow batch is looked up once.
     """
 
     def __init__(self, vocab: DataFrame, numbers: DataFrame | None = None):
@@ -73,36 +77,14 @@ class Codec:
             raise KeyError(f"token not in the vocabulary: {token!r}")
         return self.ids[token]
 
-    def _family(self, kind):
-        prefix = f"<{kind}:"
-        values = {int(t[len(prefix):-1]): i for t, i in self.ids.items() if t.startswith(prefix)}
-        size = max(values, default=-1) + 1
-        return "array(" + ", ".join(str(values.get(v, "cast(null as int)")) for v in range(size)) + ")"
-
-    def token_id(self, token: str) -> str:
-        """SQL text of a token's id; null when it has none."""
-        body = f"try_cast(substring({token}, 4, length({token}) - 4) as int)"
-        rid = f"try_cast(substring({token}, 6, length({token}) - 6) as int)"
-        words = [f"'{t}', {i}" for t, i in self.ids.items() if not t.startswith(("<X:", "<Y:", "<RID:"))]
-        return (
-            f"case when startswith({token}, '<X:') then get({self._family('X')}, {body})"
-            f" when startswith({token}, '<Y:') then get({self._family('Y')}, {body})"
-            f" when startswith({token}, '<RID:') then get({self._family('RID')}, {rid})"
-            f" else try_element_at(map({', '.join(words)}), {token}) end"
-        )
-
-    def _token_ids(self) -> str:
-        """SQL text: array of the ids of token `t`; a bare number has the base vocabulary's ids for it."""
-        if not self.numbers:
-            return f"array({self.token_id('t')})"
-        numbers = ", ".join(f"{n}, array({', '.join(map(str, ids))})" for n, ids in self.numbers.items())
-        return f"coalesce(try_element_at(map({numbers}), try_cast(t as int)), array({self.token_id('t')}))"
-
     def encode(self, tokens: str):
         """Column of ids; a bare number becomes the base vocabulary's ids for it."""
-        if not self.numbers:
-            return F.expr(f"transform({tokens}, t -> {self.token_id('t')})")
-        return F.expr(f"flatten(transform({tokens}, t -> {self._token_ids()}))")
+        ids, numbers = self.ids, self.numbers
+
+        def run(t: pa.Array) -> pa.Array:
+            return _encoded(t, ids, numbers)[0]
+
+        return F.arrow_udf(run, "array<int>")(F.expr(tokens))
 
     def with_encoded(self, df: DataFrame, tokens: str) -> DataFrame:
         """Adds `ids` of a token column and the map between both: `token_of`, the place of the token that each id
@@ -110,16 +92,51 @@ class Codec:
 
         A token without an id has one null id. Places count from 0.
         """
-        made = df.withColumn("_made", F.expr(f"transform({tokens}, t -> {self._token_ids()})"))
-        made = made.withColumns(
-            {
-                "ids": F.flatten("_made"),
-                "token_of": F.expr("flatten(transform(_made, (m, i) -> array_repeat(i, size(m))))"),
-            }
-        )
-        opens = "p = 0 or token_of[greatest(p - 1, 0)] <> i"
-        first = f"filter(transform(token_of, (i, p) -> if({opens}, p, -1)), p -> p >= 0)"
-        return made.withColumn("first_of", F.expr(first)).drop("_made")
+        ids, numbers = self.ids, self.numbers
+
+        def run(t: pa.Array) -> pa.Array:
+            return pa.StructArray.from_arrays(_encoded(t, ids, numbers), ["ids", "token_of", "first_of"])
+
+        made = df.withColumn("_made", F.arrow_udf(run, "struct<ids:array<int>,token_of:array<int>,first_of:array<int>>")(F.expr(tokens)))
+        return made.withColumns({k: F.col(f"_made.{k}") for k in ("ids", "token_of", "first_of")}).drop("_made")
+
+
+def _ids_of(token: str | None, ids: dict, numbers: dict) -> list:
+    """Ids of one token: several for a bare number, else one, null where it has none."""
+    if token is None:
+        return [None]
+    if numbers and (found := numbers.get(number(token))) is not None:
+        return found
+    for kind in ("X", "Y", "RID"):
+        if token.startswith(f"<{kind}:"):
+            return [ids.get(f"<{kind}:{number(token[len(kind) + 2 : -1])}>")]
+    return [ids.get(token)]
+
+
+def _encoded(lists: pa.Array, ids: dict, numbers: dict) -> list[pa.Array]:
+    """Lists of ids, of the place of each id's token, and of the place of each token's first id; each token is looked up once a batch."""
+    _, length = lists_of(lists)
+    none = pa.array(~lists.is_valid().to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode(null_encoding="encode")
+    known = [_ids_of(t, ids, numbers) for t in coded.dictionary.to_pylist()]
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    size = np.array([len(k) for k in known], np.int64)
+    all_ids = pa.array([i for k in known for i in k], pa.int32())
+    place, token = ranges((np.cumsum(size) - size)[codes], size[codes])
+    first = np.cumsum(size[codes]) - size[codes]
+    row = np.repeat(np.arange(len(lists)), length)
+    tokens_before = np.cumsum(length) - length
+    n_ids = np.bincount(row[token], minlength=len(lists))
+    ids_before = np.cumsum(n_ids) - n_ids
+
+    def listed(count, values):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), values, mask=none)
+
+    return [
+        listed(n_ids, all_ids.take(pa.array(place, pa.int64()))),
+        listed(n_ids, pa.array(token - tokens_before[row[token]], pa.int32())),
+        listed(length, pa.array(first - ids_before[row], pa.int32())),
+    ]
 
 
 def places_of_tokens(places: str, length: str = "size(ids)") -> str:
@@ -127,7 +144,7 @@ def places_of_tokens(places: str, length: str = "size(ids)") -> str:
     last = f"coalesce(get(first_of, i + 1), {length}) - 1"
     return (
         f"flatten(transform(filter(array_sort(array_distinct({places})), i -> i >= 0 and i < size(first_of)),"
-        f" i -> sequence(first_of[i], {last})))"
+        f" i -> if({last} < first_of[i], cast(array() as array<int>), sequence(first_of[i], {last}))))"
     )
 
 

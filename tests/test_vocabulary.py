@@ -32,3 +32,18 @@ def test_places_there_and_back(spark):
     good, bad = v.split_unknown(df, "ids")
     assert {r["k"] for r in bad.collect()} == {k for k, tokens, _ in rows if "<odd>" in tokens}
     assert good.count() + bad.count() == len(rows)
+
+
+def test_encoding_looks_at_a_token_once_a_batch(spark):
+    """It went through the whole vocabulary for every token of every row; no such list is in the plan any more."""
+    vocab = v.token_table(spark).selectExpr("token", "ord as id")
+    codec = v.Codec(vocab, spark.createDataFrame([(7, [900, 901]), (8, [])], "n int, ids array<int>"))
+    rows = [(0, ["<X:5>", "7", "<X: 5 >", "8", "<X:999>", "nothing", None, "<RID:3>", "<PAD>"]), (1, None), (2, [])]
+    df = spark.createDataFrame(rows, "k int, tokens array<string>")
+    made = codec.with_encoded(df, "tokens")
+    assert "<REL:" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["k"]: r for r in made.withColumn("plain", codec.encode("tokens")).collect()}
+    x, rid, pad = codec.ids["<X:5>"], codec.ids["<RID:3>"], codec.ids.get("<PAD>")
+    assert got[0]["ids"] == got[0]["plain"] == [x, 900, 901, x, None, None, None, rid, pad]
+    assert got[0]["token_of"] == [0, 1, 1, 2, 4, 5, 6, 7, 8] and got[0]["first_of"] == [0, 1, 3, 4, 4, 5, 6, 7, 8]
+    assert got[1]["ids"] is None and got[2]["ids"] == []
