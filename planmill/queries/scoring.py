@@ -12,7 +12,7 @@ from planmill.queries import sql as s
 from planmill.queries.augmentation import plans
 from planmill.queries.parsing import STRICT_SQL
 from planmill.queries.registry import query
-from planmill.session import cut_lineage
+from planmill.session import written
 from planmill.sources.completions import completions
 
 ALL = score.RewardConfig()
@@ -195,7 +195,7 @@ def scored(spark, sf, cfg=ADV):
     """Scores of all completions, written once and read by the statistics and by the rows."""
     df = score.score(parsed(spark, sf), cfg).withColumnRenamed("plan_id", "prompt_id")
     keep = [c for c in df.columns if c[:2] in ("r_", "e_")]
-    return cut_lineage(df.select("prompt_id", "gen_idx", F.size("tokens").alias("n_tokens"), *keep))
+    return written(df.select("prompt_id", "gen_idx", F.size("tokens").alias("n_tokens"), *keep))
 
 
 _Z = ", ".join(

@@ -268,3 +268,45 @@ def test_doors_in_reach_against_single_steps(spark):
     df = parse.parse_strict(frame(spark, texts)).withColumn("_gate", F.lit(True))
     got = {r["id"]: r["near"] for r in score.with_shapes(df, ["reach"]).select("id", "_shape.near").collect()}
     assert [got[i] for i in range(40)] == want
+
+
+def test_completions_against_answers_of_changed_plans(spark):
+    """A moved room may change its place; what the four share was made four times."""
+    from planmill.operators import tokenize as tk
+    from planmill.sources.completions import completions
+
+    ring = lambda x, y: [x, y, x, y + 10, x + 10, y + 10, x + 10, y]
+    rooms = [(0, "outline", ring(0, 0)), (1, "bedroom", ring(0, 5)), (2, "kitchen", ring(10, 5)), (3, "bathroom", ring(5, 0))]
+    door = [(1.0, 2.0, 3.0, 4.0)]
+    kind = (
+        "plan_id string, rooms array<struct<rid:int,type:string,coords:array<int>>>, edges array<struct<pair:array<int>,"
+        "door:array<struct<x:double,y:double,w:double,h:double>>>>, front_door array<struct<x:double,y:double,w:double,h:double>>"
+    )
+    plans = [(str(k), rooms, [([2, 1], door), ([1, 3], [])], door if k else []) for k in range(4)]
+    shift = lambda c: [v + 20 if i % 2 == 0 else v for i, v in enumerate(c)]
+    changed = []
+    for k, own, edges, front in plans:
+        moved = [(r, t, shift(c) if r == 1 + int(k) % 3 else c) for r, t, c in own]
+        changed += [(f"{k}/{g}", rs, edges, front) for g, rs in enumerate((own, moved, own[:3]))]
+    want = {r["plan_id"]: r["answer"] for r in tk.answer_tokens(spark.createDataFrame(changed, kind)).collect()}
+    for k, *_ in plans:
+        whole = want[f"{k}/0"]
+        if int(k) % 2 == 0:
+            at = whole.index("<END_ROOM>")
+            want[f"{k}/3"] = whole[:at] + whole[at + 1 :]
+        else:
+            at = next(i for i, t in enumerate(whole) if t.startswith("<X:"))
+            want[f"{k}/3"] = whole[:at] + [whole[at + 1], whole[at]] + whole[at + 2 :]
+    made = completions(spark.createDataFrame(plans, kind))
+    assert {f"{r['plan_id']}/{r['gen_idx']}": r["tokens"] for r in made.collect()} == want
+    # Rooms are put in order below the step that makes four rows of a plan.
+    below = made._jdf.queryExecution().optimizedPlan().toString().split("Generate ")[1]
+    assert "array_sort(" in below and "Filter" not in below
+
+
+def test_statistics_of_scores_do_not_read_error_places(spark):
+    """Scores are kept in columns: a checkpoint is read whole, with all token places."""
+    from planmill.queries.scoring import group_normalize
+
+    plan = group_normalize(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "r_format" in plan and "LogicalRDD" not in plan
