@@ -362,3 +362,29 @@ def shapes(rooms: Column, doors: Column, parts: list[str], every_part: bool = Tr
 
     kind = ",".join(_TYPES[p] for p in _TYPES if p in parts)
     return F.arrow_udf(run, f"struct<{kind}>")(rooms, doors)
+
+
+def _ring_distances(x: pa.Array, y: pa.Array, coords: pa.Array) -> pa.Array:
+    start, length = lists_of(coords)
+    corners = length // 2
+    values = coords.flatten()
+    there = values.is_valid().to_numpy(zero_copy_only=False)
+    v = values.fill_null(0).to_numpy(zero_copy_only=False).astype(float)
+    i, of = ranges(np.zeros(len(coords), np.int64), corners)
+    a, b = start[of] + 2 * i, start[of] + 2 * ((i + 1) % corners[of])
+    px, py = (c.fill_null(0).to_numpy(zero_copy_only=False).astype(float)[of] for c in (x, y))
+    dx, dy = v[b] - v[a], v[b + 1] - v[a + 1]
+    square = dx * dx + dy * dy
+    point = square < 1e-10
+    t = np.where(point, 0, np.clip(((px - v[a]) * dx + (py - v[a + 1]) * dy) / np.where(point, 1, square), 0, 1))
+    far = np.sqrt((px - (v[a] + t * dx)) ** 2 + (py - (v[a + 1] + t * dy)) ** 2)
+    far[~(there[a] & there[a + 1] & there[b] & there[b + 1])] = np.inf
+    least = np.full(len(coords), np.inf)
+    np.minimum.at(least, of, far)
+    known = x.is_valid().to_numpy(zero_copy_only=False) & y.is_valid().to_numpy(zero_copy_only=False) & np.isfinite(least)
+    return pa.array(least, pa.float64(), mask=~known)
+
+
+def ring_distance(x: Column, y: Column, coords: Column) -> Column:
+    """Distance of a point to the boundary of a ring of flat coordinates (the inside is not zero); null without a side."""
+    return F.arrow_udf(_ring_distances, "double")(x, y, coords)

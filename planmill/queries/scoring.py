@@ -8,6 +8,7 @@ from planmill.constants import ADVANTAGE_EPS, DOOR_REACH, OUTLINE
 from planmill.functions import geometry as g
 from planmill.operators import advantage, parse, score
 from planmill.operators.rows import keep_rows
+from planmill.operators.shapes import ring_distance
 from planmill.queries import sql as s
 from planmill.queries.augmentation import plans
 from planmill.queries.parsing import STRICT_SQL
@@ -160,10 +161,11 @@ def room_matching(spark, sf):
            FROM (SELECT plan_id, rid, coords, unnest(range(len(coords) // 2)) AS k FROM room0)) r ON r.plan_id = e.plan_id AND r.rid IN (e.a, e.b) WHERE hd)
        GROUP BY ALL"""))
 def door_room_distance(spark, sf):
-    df = plans(spark, sf).select("plan_id", "rooms", F.posexplode("edges").alias("pos", "e")).filter("size(e.door) > 0")
-    df = df.select("plan_id", "pos", F.expr("e.door[0]").alias("d"), F.explode(F.expr("filter(rooms, r -> array_contains(e.pair, r.rid))")).alias("r"))
-    df = df.withColumn("ring", F.expr(g.vertices("r.coords")))
-    return df.select("plan_id", "pos", "r.rid", F.round(F.expr(g.point_ring_distance("d.x", "d.y", "ring")), 6).alias("dist"))
+    # Outer, as for another one the optimizer asks for lists that are not empty before it makes them, and so makes them twice.
+    df = plans(spark, sf).select("plan_id", "rooms", F.posexplode_outer("edges").alias("pos", "e")).filter("size(e.door) > 0")
+    df = df.select("plan_id", "pos", F.expr("e.door[0]").alias("d"), F.explode_outer(F.expr("filter(rooms, r -> array_contains(e.pair, r.rid))")).alias("r"))
+    dist = ring_distance(F.col("d.x"), F.col("d.y"), F.col("r.coords"))
+    return df.filter("r is not null").select("plan_id", "pos", "r.rid", F.round(dist, 6).alias("dist"))
 
 
 COLS = [f"r_{n}" for n in score.REWARDS]
