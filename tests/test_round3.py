@@ -1,6 +1,10 @@
 """Steps that were made faster: same results, made once a row."""
 
+from pyspark.sql import functions as F
+
+from planmill.functions import geometry as g
 from planmill.operators import parse
+from planmill.operators.shapes import ring_distance
 
 
 def test_answers_are_read_in_batches(spark):
@@ -22,3 +26,14 @@ def test_answers_are_read_in_batches(spark):
     assert whole["edges"] == [{"pair": [0, 0], "door": [{"x": 1, "y": 2, "w": 3, "h": 4}]}]
     assert whole["front_door"] == {"x": 1, "y": 2, "w": 0, "h": 4} and whole["spatial"] == []
     assert got["none"].front_door is None and got["none"].rooms[0].type == "unknown" and got["none"].rooms[0].coords == []
+
+
+def test_distance_to_a_ring(spark):
+    ring = [0, 0, 0, 10, 10, 10, 10, 0]
+    rows = [(0, 3.0, 4.0, ring), (1, -3.0, -4.0, ring), (2, 13.0, 5.0, [*ring, 7]), (3, 3.0, 4.0, [0, 0]), (4, 1.0, 1.0, []), (5, None, 1.0, ring),
+            (6, 1.0, 1.0, None), (7, 2.0, 0.0, [0, 0, 0, None, 4, 3, 4, 0])]
+    df = spark.createDataFrame(rows, "k int, x double, y double, coords array<int>")
+    got = {r.k: r.d for r in df.select("k", ring_distance(df.x, df.y, df.coords).alias("d")).collect()}
+    old = {r.k: r.d for r in df.select("k", F.expr(g.point_ring_distance("x", "y", f"({g.vertices('coords')})")).alias("d")).collect()}
+    assert got == {0: 3.0, 1: 5.0, 2: 3.0, 3: 5.0, 4: None, 5: None, 6: None, 7: 0.0}
+    assert got == old
