@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from planmill.constants import MIN_ROOM_AREA
 from planmill.functions import geometry as g
 from planmill.functions.arrays import components, let
-from planmill.sources.raster import code_runs, image_parts
+from planmill.sources.raster import image_parts, runs_of
 
 _SPAN = 65536
 
@@ -80,30 +80,29 @@ def connected_components(runs: DataFrame, keys=("plan_id", "g"), connectivity: i
     return grouped.mapInArrow(label, fields + "lab bigint, y int, x0 int, x1 int")
 
 
-def label_images(images: DataFrame, connectivity: int = 4, inside: int | None = None) -> DataFrame:
+def label_images(images: DataFrame, connectivity: int = 4, inside: int | None = None, codes=None, made=None) -> DataFrame:
     """(plan_id, g, lab, y, x0, x1, problem): labelled runs of rasters, found in one pass over their bytes.
 
     As `runs_from_images` and `connected_components` together, without a shuffle: a region never
     leaves its raster. With `inside`, all codes but this one count as one (g = -1) and this one is
-    left out. A raster that cannot be used gives one row of nulls with the `problem` and stops no other.
+    left out. With `codes`, only runs of these are labelled. `made` as in `runs_from_images`.
+    A raster that cannot be used gives one row of nulls with the `problem` and stops no other.
     """
     kind = images.schema["plan_id"].dataType.simpleString()
     names = ["plan_id", "g", "lab", "y", "x0", "x1", "problem"]
 
     def rows(batches):
-        for ids, rasters in image_parts(batches):
-            found, broken = [], []
-            for i, codes in rasters:
-                if isinstance(codes, str):
-                    broken.append((i, codes))
-                    continue
-                runs = code_runs(codes if inside is None else (codes != inside).astype(np.int8))
-                y, x0, x1, g = (v.astype(np.int64) for v in runs)
-                if inside is not None:
-                    y, x0, x1, g = y[g == 1], x0[g == 1], x1[g == 1], g[g == 1] - 2
-                found.append((np.full(len(y), i), g, y, x0, x1))
+        for ids, rasters in (made or image_parts)(batches):
+            broken = [(i, raster) for i, raster in rasters if isinstance(raster, str)]
+            found = [(i, raster) for i, raster in rasters if not isinstance(raster, str)]
             if found:
-                owner, g, y, x0, x1 = (np.concatenate(c) for c in zip(*found, strict=True))
+                read = lambda raster: raster if inside is None else (raster != inside).astype(np.int8)
+                owner, y, x0, x1, g = (v.astype(np.int64) for v in runs_of(found, read))
+                if inside is not None or codes is not None:
+                    held = np.isin(g, [1] if inside is not None else codes)
+                    owner, y, x0, x1, g = (v[held] for v in (owner, y, x0, x1, g))
+                if inside is not None:
+                    g = g - 2
                 group = owner * 512 + g + 1
                 order = np.argsort(group, kind="stable")
                 owner, g, y, x0, x1, group = (v[order] for v in (owner, g, y, x0, x1, group))
@@ -118,7 +117,7 @@ def label_images(images: DataFrame, connectivity: int = 4, inside: int | None =
                 at, why = zip(*broken, strict=True)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *nothing, pa.array(why)], names)
 
-    return images.select("plan_id", "height", "width", "data").mapInArrow(
+    return (images if made else images.select("plan_id", "height", "width", "data")).mapInArrow(
         rows, f"plan_id {kind}, g int, lab bigint, y int, x0 int, x1 int, problem string"
     )
 

@@ -66,6 +66,27 @@ def code_runs(codes: np.ndarray):
     return at // width, at % width, last % width, codes.reshape(-1)[at]
 
 
+#: Rasters of at most so many pixels are read together.
+SMALL = 1 << 16
+
+
+def runs_of(rasters, read=lambda codes: codes):
+    """(i, y, x0, x1, g) of the runs of all rasters of a list of (i, codes), each as `read` gives it.
+
+    Small ones of equal sides are read as one, below each other.
+    """
+    piles: dict = {}
+    for i, codes in rasters:
+        piles.setdefault(codes.shape if codes.size <= SMALL else i, []).append((i, codes))
+    found = []
+    for pile in piles.values():
+        owner = np.array([i for i, _ in pile])
+        y, x0, x1, g = code_runs(read(np.concatenate([c for _, c in pile]) if len(pile) > 1 else pile[0][1]))
+        k, y = np.divmod(y, len(pile[0][1]))
+        found.append((owner[k], y, x0, x1, g))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def image_parts(batches, images: int = 64):
     """Lists of (row, plan_id, codes or the reason why there are none) of at most `images` rasters."""
     for batch in batches:
@@ -80,20 +101,23 @@ def image_parts(batches, images: int = 64):
             yield part.column(0), out
 
 
-def runs_from_images(images: DataFrame) -> DataFrame:
-    """(plan_id, y, x0, x1, g): runs of equal codes of the second channel, in one pass over the bytes."""
+def runs_from_images(images: DataFrame, made=None) -> DataFrame:
+    """(plan_id, y, x0, x1, g): runs of equal codes of the second channel, in one pass over the bytes.
+
+    `made` turns batches of other rows into what `image_parts` gives, so that rasters that a task paints do not leave it.
+    """
     kind = images.schema["plan_id"].dataType.simpleString()
 
     def rows(batches):
-        for ids, rasters in image_parts(batches):
-            found = [(i, code_runs(codes)) for i, codes in rasters if not isinstance(codes, str)]
+        for ids, rasters in (made or image_parts)(batches):
+            found = [(i, codes) for i, codes in rasters if not isinstance(codes, str)]
             if found:
-                owner = np.repeat([i for i, _ in found], [len(r[0]) for _, r in found])
-                columns = [pa.array(np.concatenate(c).astype(np.int32)) for c in zip(*(r for _, r in found), strict=True)]
+                owner, *columns = runs_of(found)
+                columns = [pa.array(c.astype(np.int32)) for c in columns]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), *columns], ["plan_id", "y", "x0", "x1", "g"])
 
     good = images.filter("ok") if "ok" in images.columns else images
-    return good.select("plan_id", "height", "width", "data").mapInArrow(rows, f"plan_id {kind}, y int, x0 int, x1 int, g int")
+    return (good if made else good.select("plan_id", "height", "width", "data")).mapInArrow(rows, f"plan_id {kind}, y int, x0 int, x1 int, g int")
 
 
 def pixels_from_runs(runs: DataFrame) -> DataFrame:
@@ -127,11 +151,10 @@ def runs_from_pixels(pixels: DataFrame, keys=("plan_id", "g")) -> DataFrame:
     return grouped.mapInArrow(rows, fields + "x0 int, x1 int")
 
 
-def drawn_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(plan_id, origin, height, width, channels, data): rasters of all plans at quarter resolution.
+def drawn_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan_id, rects): rectangles of all plans at quarter resolution, in the order in which they are painted.
 
-    Later rooms cover earlier ones, doors cover rooms, and the front door covers all; what nothing
-    covers is external (13). A task paints the rectangles of its own plans.
+    Later rooms cover earlier ones, doors cover rooms, and the front door covers all.
     """
     codes = "map(" + ", ".join(f"'{t}', {c}" for t, c in TYPE_CODES.items()) + ")"
     plans = tables.plans(spark, sf_dir)
@@ -146,26 +169,34 @@ def drawn_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         'ya', cast(floor(e.door[0].y / 4) as int) - 1, 'yb', cast(floor(e.door[0].y / 4) as int) + cast(e.door[0].h as int) % 3)),
       transform(front_door, d -> named_struct('p', 200, 'g', {CODE_FRONT_DOOR}, 'xa', cast(floor(d.x / 4) as int),
         'xb', cast(floor(d.x / 4) as int) + 2, 'ya', cast(floor(d.y / 4) as int), 'yb', cast(floor(d.y / 4) as int))))"""
-    ordered = plans.select("plan_id", F.expr(f"array_sort({rects})").alias("rects"))
+    return plans.select("plan_id", F.expr(f"array_sort({rects})").alias("rects"))
 
-    def paint(batches):
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                lists = part.column(1)
-                flat = lists.flatten()
-                g, xa, xb, ya, yb = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("g", "xa", "xb", "ya", "yb"))
-                ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
-                data = []
-                for a, b in zip(ends[:-1], ends[1:], strict=True):
-                    raster = np.zeros((SIDE, SIDE, 4), np.uint8)
-                    raster[:, :, 1] = CODE_EXTERNAL
-                    for k in range(a, b):
-                        raster[ya[k] : yb[k] + 1, xa[k] : xb[k] + 1, 1] = g[k]
-                    data.append(raster.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["plan_id", "data"])
-
-    painted = ordered.mapInArrow(paint, "plan_id string, data binary")
+
+def paint(batches):
+    """As `image_parts`, the rasters of batches of `drawn_rects`; what nothing covers is external (13)."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 256):
+            part = batch.slice(begin, 256)
+            lists = part.column(1)
+            flat = lists.flatten()
+            columns = [flat.field(f).to_numpy(zero_copy_only=False) for f in ("g", "xa", "xb", "ya", "yb")]
+            owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+            codes = np.full((part.num_rows, SIDE, SIDE), CODE_EXTERNAL, np.uint8)
+            for k, g, xa, xb, ya, yb in zip(owner.tolist(), *(c.tolist() for c in columns), strict=True):
+                codes[k, ya : yb + 1, xa : xb + 1] = g
+            yield part.column(0), list(enumerate(codes))
+
+
+def drawn_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan_id, origin, height, width, channels, data): rasters of all plans; a task paints those of its own plans."""
+    def files(batches):
+        for ids, rasters in paint(batches):
+            data = np.zeros((len(rasters), SIDE, SIDE, 4), np.uint8)
+            for i, codes in rasters:
+                data[i, :, :, 1] = codes
+            yield pa.RecordBatch.from_arrays([ids, pa.array([d.tobytes() for d in data], pa.binary())], ["plan_id", "data"])
+
+    painted = drawn_rects(spark, sf_dir).mapInArrow(files, "plan_id string, data binary")
     return painted.select(
         "plan_id", F.concat(F.lit("plans/"), "plan_id", F.lit(".png")).alias("origin"),
         F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(4).alias("channels"), "data",
@@ -192,10 +223,10 @@ def damaged_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drawn_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(plan_id, y, x, g) of the drawn rasters; external cells are not listed."""
-    return pixels_from_runs(runs_from_images(drawn_images(spark, sf_dir)).filter(F.col("g") != CODE_EXTERNAL))
+    return pixels_from_runs(runs_from_images(drawn_rects(spark, sf_dir), paint).filter(F.col("g") != CODE_EXTERNAL))
 
 
 __all__ = [
-    "CODE_EXTERNAL", "code_runs", "damaged_images", "drawn_images", "drawn_pixels", "image_codes", "image_parts",
-    "pixels_from_runs", "read_images", "runs_from_images", "runs_from_pixels", "with_faults",
+    "CODE_EXTERNAL", "code_runs", "damaged_images", "drawn_images", "drawn_pixels", "drawn_rects", "image_codes", "image_parts",
+    "paint", "pixels_from_runs", "read_images", "runs_from_images", "runs_from_pixels", "runs_of", "with_faults",
 ]
