@@ -4,9 +4,13 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from planmill.constants import DIRECTIONS
+from planmill.functions.flat import lists_of
+
 #: Costs that differ by no more than this are equal.
 TIE = 1e-9
 
@@ -139,18 +143,15 @@ def _match_lists(wanted: pa.Array, answered: pa.Array) -> pa.Array:
     outs, out_types, out_places, out_at = columns(answered, "out")
     in_list, out_list = in_places.tolist(), out_places.tolist()
     known = (wanted.is_valid().to_numpy(zero_copy_only=False)) & (answered.is_valid().to_numpy(zero_copy_only=False))
-    found = []
-    for k, ok in enumerate(known.tolist()):
-        if not ok:
-            found.append(None)
-            continue
+    ins_found, outs_found, count = [], [], np.zeros(len(known), np.int64)
+    for k in np.flatnonzero(known).tolist():
         by_type: dict = {}
         for i in range(in_at[k], in_at[k + 1]):
             by_type.setdefault(in_types[i], ([], []))[0].append(i)
         for o in range(out_at[k], out_at[k + 1]):
             if out_types[o] in by_type:
                 by_type[out_types[o]][1].append(o)
-        own = []
+        so_far = len(ins_found)
         for ins, others in by_type.values():
             if others:
                 few = None
@@ -158,9 +159,13 @@ def _match_lists(wanted: pa.Array, answered: pa.Array) -> pa.Array:
                     few = match_few([in_list[i] for i in ins], [out_list[o] for o in others])
                 if few is None:
                     few = match_places(in_places[ins], out_places[others])
-                own.extend((ins[i], others[j]) for i, j in few)
-        found.append([{"rid": int(rids[i]), "out": int(outs[o])} for i, o in own])
-    return pa.array(found, pa.list_(pa.struct([("rid", pa.int32()), ("out", pa.int32())])))
+                ins_found.extend(ins[i] for i, _ in few)
+                outs_found.extend(others[j] for _, j in few)
+        count[k] = len(ins_found) - so_far
+    pairs = pa.StructArray.from_arrays(
+        [pa.array(v[np.array(at, np.int64)], pa.int32()) for v, at in ((rids, ins_found), (outs, outs_found))], ["rid", "out"])
+    ends = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pairs, mask=pa.array(~known))
 
 
 def matched(wanted: Column, answered: Column) -> Column:
@@ -170,3 +175,55 @@ def matched(wanted: Column, answered: Column) -> Column:
     """
     run = F.arrow_udf(_match_lists, "array<struct<rid:int,out:int>>")
     return run(wanted, answered)
+
+
+def _share_of_relations(match: pa.Array, answered: pa.Array, relations: pa.Array) -> pa.Array:
+    """For each row the share of relations whose matched rooms lie in their direction, as `geometry.direction_scored` has it."""
+    def ints(values):
+        return values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), values.is_valid().to_numpy(zero_copy_only=False)
+
+    n = len(match)
+    _, n_match = lists_of(match)
+    first_out, _ = lists_of(answered)
+    _, n_rel = lists_of(relations)
+    pairs, places, wanted = match.flatten(), answered.flatten(), relations.flatten()
+    row = np.repeat(np.arange(n), n_rel)
+    (a, has_a), (b, has_b) = (ints(wanted.field(f)) for f in ("rid_a", "rid_b"))
+    rid, _ = ints(pairs.field("rid"))
+    out, _ = ints(pairs.field("out"))
+    place = first_out[np.repeat(np.arange(n), n_match)] + out
+
+    least = min(v.min(initial=0) for v in (a, b, rid))
+    span = max(v.max(initial=0) for v in (a, b, rid)) - least + 1
+    keys = np.repeat(np.arange(n), n_match) * span + rid - least
+    order = np.argsort(keys, kind="stable")
+    keys, place = np.append(keys[order], -1), np.append(place[order], 0)
+
+    def of(number):
+        """Place of the room matched to a number in its row, and whether there is one."""
+        key = row * span + number - least
+        at = np.searchsorted(keys[:-1], key)
+        return place[at], keys[at] == key
+
+    (at_a, met_a), (at_b, met_b) = of(a), of(b)
+    known = has_a & has_b
+    met = np.flatnonzero(known & met_a & met_b)
+    cx, cy = (places.field(f).to_numpy(zero_copy_only=False) for f in ("cx", "cy"))
+    dx, dy = cx[at_b[met]] - cx[at_a[met]], cy[at_b[met]] - cy[at_a[met]]
+    sector = np.floor((np.degrees(np.arctan2(dy, dx)) + 22.5) / 45).astype(np.int64) % 8
+    seen = pc.equal(pa.array(DIRECTIONS).take(pa.array(sector)), wanted.field("direction").take(pa.array(met)).cast(pa.string()))
+    right = pc.fill_null(seen, False).to_numpy(zero_copy_only=False) & ~((np.abs(dx) < 1e-9) & (np.abs(dy) < 1e-9))
+    n_known, n_right = np.bincount(row[known], minlength=n), np.bincount(row[met[right]], minlength=n)
+    given = relations.is_valid().to_numpy(zero_copy_only=False)
+    share = np.where(n_known > 0, n_right / np.maximum(n_known, 1), 1.0)
+    share = np.where(given & (n_rel == 0), 1.0, np.where(n_match == 0, 0.0, share))
+    return pa.array(share, mask=~given & (n_match > 0))
+
+
+def share_of_relations(match: Column, answered: Column, relations: Column) -> Column:
+    """Share of `relations` (rid_a, rid_b, direction) in whose direction the matched ones of `answered` lie, made in Arrow batches.
+
+    A relation with an unknown end does not count, one with an unmatched end is missed. Without relations the share
+    is 1, without matches 0.
+    """
+    return F.arrow_udf(_share_of_relations, "double")(match, answered, relations)

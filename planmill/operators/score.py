@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from planmill.constants import OUTLINE
 from planmill.functions import geometry as g
 from planmill.functions.arrays import let
-from planmill.operators.matching import matched
+from planmill.operators.matching import matched, share_of_relations
 from planmill.operators.shapes import shapes
 
 REWARDS = ["format", "count_total", "count_type", "orthogonality", "no_overlap", "connectivity", "spatial"]
@@ -161,16 +161,7 @@ def connectivity_score():
 
 
 def spatial_score():
-    known = "filter(meta.spatial, s -> s.rid_a is not null and s.rid_b is not null)"
-    place = lambda k: let(_out_of(k), "o", "if(o is null, null, _outs[o])")
-    ok = let(
-        f"named_struct('a', {place('s.rid_a')}, 'b', {place('s.rid_b')})", "ab",
-        f"coalesce({g.direction_scored('(ab.b.cx - ab.a.cx)', '(ab.b.cy - ab.a.cy)')} = s.direction, false)",
-    )
-    return (
-        f"case when size(meta.spatial) = 0 then 1D when size(match) = 0 then 0D when size({known}) = 0 then 1D"
-        f" else size(filter({known}, s -> {ok})) / cast(size({known}) as double) end"
-    )
+    return "_related"
 
 
 SCORES = {
@@ -194,6 +185,8 @@ def score(df: DataFrame, cfg: RewardConfig = RewardConfig()) -> DataFrame:
     # First, because rows wait for their matches: they are narrowest here.
     if on & {"connectivity", "spatial"}:
         out = with_match(out)
+        if "spatial" in on:
+            out = out.withColumn("_related", share_of_relations(F.col("match"), F.col("_outs"), F.expr("if(_gate, meta.spatial, null)")))
     wanted = {"orthogonality": "angles", "no_overlap": "overlaps", "connectivity": "reach"}
     parts = [p for n, p in wanted.items() if n in on]
     if "no_overlap" in on and cfg.rewards["no_overlap"].credit:
@@ -206,7 +199,7 @@ def score(df: DataFrame, cfg: RewardConfig = RewardConfig()) -> DataFrame:
         if n in on and cfg.rewards[n].credit:
             columns[f"e_{n}"] = F.expr(e() if n == "format" else f"if(_gate, {e()}, {NO_INTS})")
     out = out.withColumns(columns)
-    return out.drop("_gate", "_shape", "_ins", "_outs")
+    return out.drop("_gate", "_shape", "_ins", "_outs", "_related")
 
 
 def error_mask(length: str, indices: str) -> str:
