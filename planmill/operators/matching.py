@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from planmill.constants import DIRECTIONS
-from planmill.functions.flat import lists_of
+from planmill.functions.flat import lists_of, offsets
 
 #: Costs that differ by no more than this are equal.
 TIE = 1e-9
@@ -131,41 +131,79 @@ def match_few(wanted, answered) -> list[tuple[int, int]] | None:
     return ways[0] if straight - crossed <= TIE else ways[1]
 
 
+def _few_matches(wanted, answered, ins, outs, two_ins, two_outs):
+    """As `match_few` for many groups at once: (groups, wanted place, answered place) of the pairs, and the groups left over.
+
+    `ins` and `outs` are the places of each group's first wanted and answered room; the second, if there are two, comes next.
+    """
+    def far(i, o):
+        return np.sqrt(((wanted[i] - answered[o]) ** 2).sum(axis=1))
+
+    found, left = [], []
+    for e2, a2 in ((False, False), (False, True), (True, False), (True, True)):
+        k = np.flatnonzero((two_ins == e2) & (two_outs == a2))
+        i, o = ins[k], outs[k]
+        if not e2 and not a2:
+            found.append((k, i, o))
+            continue
+        if not e2:
+            straight, crossed = far(i, o), far(i, o + 1)
+            ways = [(0, 0)], [(0, 1)]
+        elif not a2:
+            straight, crossed = far(i + 1, o), far(i, o)
+            ways = [(1, 0)], [(0, 0)]
+        else:
+            straight, crossed = far(i, o) + far(i + 1, o + 1), far(i, o + 1) + far(i + 1, o)
+            ways = [(0, 0), (1, 1)], [(0, 1), (1, 0)]
+        more = straight - crossed
+        near = (TIE / 1000 < more) & (more < TIE * 1000)
+        left.append(k[near])
+        for way, mine in zip(ways, (~near & (more <= TIE), ~near & (more > TIE)), strict=True):
+            found += [(k[mine], i[mine] + p, o[mine] + q) for p, q in way]
+    return [np.concatenate(c) for c in zip(*found, strict=True)], np.concatenate(left)
+
+
 def _match_lists(wanted: pa.Array, answered: pa.Array) -> pa.Array:
     """For each row the (rid, out) pairs of both lists of (number, type, cx, cy), type by type."""
+    known = (wanted.is_valid().to_numpy(zero_copy_only=False)) & (answered.is_valid().to_numpy(zero_copy_only=False))
+    n = len(known)
+
     def columns(lists, number):
         flat = lists.flatten()
         place = np.stack([flat.field("cx").to_numpy(zero_copy_only=False), flat.field("cy").to_numpy(zero_copy_only=False)], axis=1)
-        offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
-        return flat.field(number).to_numpy(zero_copy_only=False), flat.field("type").to_pylist(), place, offsets
+        return flat.field(number), flat.field("type").cast(pa.string()), place, np.repeat(np.arange(n), lists_of(lists)[1])
 
-    rids, in_types, in_places, in_at = columns(wanted, "rid")
-    outs, out_types, out_places, out_at = columns(answered, "out")
-    in_list, out_list = in_places.tolist(), out_places.tolist()
-    known = (wanted.is_valid().to_numpy(zero_copy_only=False)) & (answered.is_valid().to_numpy(zero_copy_only=False))
-    ins_found, outs_found, count = [], [], np.zeros(len(known), np.int64)
-    for k in np.flatnonzero(known).tolist():
-        by_type: dict = {}
-        for i in range(in_at[k], in_at[k + 1]):
-            by_type.setdefault(in_types[i], ([], []))[0].append(i)
-        for o in range(out_at[k], out_at[k + 1]):
-            if out_types[o] in by_type:
-                by_type[out_types[o]][1].append(o)
-        so_far = len(ins_found)
-        for ins, others in by_type.values():
-            if others:
-                few = None
-                if len(ins) <= 2 and len(others) <= 2:
-                    few = match_few([in_list[i] for i in ins], [out_list[o] for o in others])
-                if few is None:
-                    few = match_places(in_places[ins], out_places[others])
-                ins_found.extend(ins[i] for i, _ in few)
-                outs_found.extend(others[j] for _, j in few)
-        count[k] = len(ins_found) - so_far
-    pairs = pa.StructArray.from_arrays(
-        [pa.array(v[np.array(at, np.int64)], pa.int32()) for v, at in ((rids, ins_found), (outs, outs_found))], ["rid", "out"])
-    ends = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
-    return pa.ListArray.from_arrays(ends, pairs, mask=pa.array(~known))
+    rids, in_types, in_places, in_row = columns(wanted, "rid")
+    outs, out_types, out_places, out_row = columns(answered, "out")
+    types = pa.concat_arrays([in_types, out_types]).dictionary_encode(null_encoding="encode")
+    code = types.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    step = len(types.dictionary) + 1
+    in_key, out_key = in_row * step + code[: len(in_row)], out_row * step + code[len(in_row) :]
+    in_order, out_order = (np.argsort(k, kind="stable") for k in (in_key, out_key))
+    key, first_in, n_in = np.unique(in_key[in_order], return_index=True, return_counts=True)
+    first_out = np.searchsorted(out_key[out_order], key)
+    n_out = np.searchsorted(out_key[out_order], key, "right") - first_out
+    both = (n_out > 0) & known[key // step]
+    first_in, n_in, first_out, n_out = first_in[both], n_in[both], first_out[both], n_out[both]
+    in_places, out_places = in_places[in_order], out_places[out_order]
+
+    few = np.flatnonzero((n_in <= 2) & (n_out <= 2))
+    (k, i, o), left = _few_matches(in_places, out_places, first_in[few], first_out[few], n_in[few] == 2, n_out[few] == 2)
+    group, pair_in, pair_out = [few[k]], [i], [o]
+    rest = np.concatenate([np.flatnonzero((n_in > 2) | (n_out > 2)), few[left]])
+    for g in rest.tolist():
+        a, b = first_in[g], first_out[g]
+        pairs = np.array(match_places(in_places[a : a + n_in[g]], out_places[b : b + n_out[g]]), np.int64).reshape(-1, 2)
+        group.append(np.full(len(pairs), g))
+        pair_in.append(pairs[:, 0] + a)
+        pair_out.append(pairs[:, 1] + b)
+    group, pair_in, pair_out = (np.concatenate(v).astype(np.int64) for v in (group, pair_in, pair_out))
+    # Types by their first wanted room, then wanted rooms in order.
+    lead, i, o = in_order[first_in[group]], in_order[pair_in], out_order[pair_out]
+    order = np.lexsort((i, lead))
+    i, o = i[order], o[order]
+    pairs = pa.StructArray.from_arrays([v.take(pa.array(at)).cast(pa.int32()) for v, at in ((rids, i), (outs, o))], ["rid", "out"])
+    return pa.ListArray.from_arrays(offsets(in_row[i], n), pairs, mask=pa.array(~known))
 
 
 def matched(wanted: Column, answered: Column) -> Column:

@@ -1,7 +1,7 @@
 """Rule-based scores of parsed answers against the plan they were asked for.
 
-Every score is a column expression over one row that holds the parsed answer and the plan's
-metadata, so a sequence is parsed once, matched once and scored in the same pass. The gate
+Every score is a column expression over the facts of one row that holds the parsed answer and the plan's metadata. A
+sequence is parsed once, matched once, and all facts come out of one pass over Arrow batches (`facts`). The gate
 (`format`) is checked first and guards the expensive scores.
 """
 
@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planmill.constants import OUTLINE
-from planmill.functions import geometry as g
 from planmill.functions.arrays import let
-from planmill.operators.matching import matched, share_of_relations
+from planmill.operators.facts import facts
 from planmill.operators.shapes import shapes
 
 REWARDS = ["format", "count_total", "count_type", "orthogonality", "no_overlap", "connectivity", "spatial"]
@@ -45,7 +44,6 @@ class RewardConfig:
 
 
 NO_INTS = "cast(array() as array<int>)"
-_OUT = f"filter(parsed.rooms, r -> r.type <> '{OUTLINE}')"
 
 
 def metadata(df: DataFrame) -> DataFrame:
@@ -76,20 +74,11 @@ def format_errors():
 
 
 def count_total_score():
-    return f"if(size({_OUT}) = meta.total_rooms, 1D, 0D)"
+    return "if(_shape.n_out = meta.total_rooms, 1D, 0D)"
 
 
 def count_type_score():
-    got = f"size(filter({_OUT}, r -> r.type = t))"
-    want = "meta.type_counts[t]"
-    listed = (
-        f"transform(map_keys(meta.type_counts), t -> greatest(0D, 1D - abs({got} - {want}) / cast(greatest({want}, 1) as double)))"
-    )
-    extra = f"array_except(transform({_OUT}, r -> r.type), map_keys(meta.type_counts))"
-    return (
-        f"if(size(meta.type_counts) = 0, 1D, aggregate({listed}, 0D, (s, v) -> s + v)"
-        f" / (size(meta.type_counts) + size({extra})))"
-    )
+    return "_shape.type_share"
 
 
 def orthogonality_score():
@@ -101,7 +90,7 @@ def orthogonality_errors():
 
 
 def no_overlap_score():
-    return f"if(size({_OUT}) < 2 or _shape.total <= 0, 1D, 1D - least(_shape.common / _shape.total, 1D))"
+    return "if(_shape.n_out < 2 or _shape.total <= 0, 1D, 1D - least(_shape.common / _shape.total, 1D))"
 
 
 def no_overlap_errors():
@@ -116,8 +105,13 @@ def with_shapes(df: DataFrame, parts: list[str], every_part: bool = True) -> Dat
 
 # --- matching, connectivity, relations --------------------------------------------------------
 
-def _centre(xs, ys):
-    return f"'cx', coalesce({g.mean(xs)}, 0D), 'cy', coalesce({g.mean(ys)}, 0D)"
+def _facts(parts: list[str]):
+    """Facts of the wanted parts of rows that pass the gate."""
+    given = {
+        "rooms": "parsed.rooms", "doors": "parsed.doors", "wanted": "meta.rooms", "edges": "meta.edges", "spatial": "meta.spatial",
+        "counts": "map_entries(meta.type_counts)",
+    }
+    return facts(parts, **{c: F.expr(f"if(_gate, {e}, null)") for c, e in given.items()})
 
 
 def with_match(df: DataFrame) -> DataFrame:
@@ -125,43 +119,15 @@ def with_match(df: DataFrame) -> DataFrame:
 
     Exact for any number of rooms of a type. Ties take the smallest indices.
     """
-    ins = (
-        f"transform(filter(meta.rooms, r -> r.type <> '{OUTLINE}'), r -> named_struct('rid', r.rid, 'type', r.type,"
-        f" {_centre(g.xs('r.coords'), g.ys('r.coords'))}))"
-    )
-    outs = (
-        f"transform({_OUT}, (r, i) -> named_struct('out', i, 'type', r.type,"
-        f" {_centre('transform(r.points, v -> v.x)', 'transform(r.points, v -> v.y)')}))"
-    )
-    return (
-        df.withColumn("_ins", F.expr(f"if(_gate, {ins}, null)"))
-        .withColumn("_outs", F.expr(f"if(_gate, {outs}, null)"))
-        .withColumn("match", matched(F.col("_ins"), F.col("_outs")))
-    )
-
-
-def _out_of(rid):
-    """Index of the answered room matched to a wanted room; null when there is none."""
-    return f"get(filter(match, z -> z.rid = {rid}), 0).out"
+    return df.withColumn("_shape", _facts(["match"])).withColumn("match", F.expr("if(_gate, _shape.match, null)")).drop("_shape")
 
 
 def connectivity_score():
-    ok = let(
-        f"named_struct('a', {_out_of('e.pair[0]')}, 'b', {_out_of('e.pair[1]')})", "ab",
-        "ab.a is not null and ab.b is not null and"
-        " exists(w.near, n -> array_contains(n, ab.a) and array_contains(n, ab.b))",
-    )
-    # Taken once a row: a column that a lambda alone uses is put into it, and then made once an edge.
-    held = "named_struct('near', _shape.near, 'doored', filter(meta.edges, e -> size(e.door) > 0))"
-    share = f"size(filter(w.doored, e -> size(e.pair) >= 2 and {ok})) / cast(size(w.doored) as double)"
-    return (
-        "case when size(meta.edges) = 0 then 1D when size(match) = 0 then 0D else "
-        + let(held, "w", f"if(size(w.doored) = 0, 1D, {share})") + " end"
-    )
+    return "_shape.connected"
 
 
 def spatial_score():
-    return "_related"
+    return "_shape.related"
 
 
 SCORES = {
@@ -182,24 +148,22 @@ def score(df: DataFrame, cfg: RewardConfig = RewardConfig()) -> DataFrame:
     """
     on = {n for n, r in cfg.rewards.items() if r.enabled}
     out = df.withColumn("_gate", F.expr(f"{format_score()} = 1D"))
-    # First, because rows wait for their matches: they are narrowest here.
-    if on & {"connectivity", "spatial"}:
-        out = with_match(out)
-        if "spatial" in on:
-            out = out.withColumn("_related", share_of_relations(F.col("match"), F.col("_outs"), F.expr("if(_gate, meta.spatial, null)")))
-    wanted = {"orthogonality": "angles", "no_overlap": "overlaps", "connectivity": "reach"}
-    parts = [p for n, p in wanted.items() if n in on]
+    wanted = {
+        "count_total": ["outs"], "count_type": ["types"], "orthogonality": ["angles"], "no_overlap": ["outs", "overlaps"],
+        "connectivity": ["connected"], "spatial": ["related"],
+    }
+    parts = list(dict.fromkeys(p for n, ps in wanted.items() if n in on for p in ps))
     if "no_overlap" in on and cfg.rewards["no_overlap"].credit:
         parts.append("marks")
     if parts:
-        out = with_shapes(out, parts)
+        out = out.withColumn("_shape", _facts(parts))
     columns = {f"r_{n}": F.expr(SCORES[n]() if n == "format" else f"if(_gate, {SCORES[n]()}, 0D)") for n in REWARDS if n in on}
     errors = {"format": format_errors, "orthogonality": orthogonality_errors, "no_overlap": no_overlap_errors}
     for n, e in errors.items():
         if n in on and cfg.rewards[n].credit:
             columns[f"e_{n}"] = F.expr(e() if n == "format" else f"if(_gate, {e()}, {NO_INTS})")
     out = out.withColumns(columns)
-    return out.drop("_gate", "_shape", "_ins", "_outs", "_related")
+    return out.drop("_gate", "_shape")
 
 
 def error_mask(length: str, indices: str) -> str:

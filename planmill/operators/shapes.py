@@ -315,53 +315,61 @@ def _reach(r: Rooms, doors: pa.Array):
     return pa.ListArray.from_arrays(offsets(row, len(doors)), rooms)
 
 
-_TYPES = {
-    "angles": "n_angles:int,n_right:int,slanted:array<int>",
-    "overlaps": "total:double,common:double",
+#: Fields of each part.
+TYPES = {
+    "angles": "n_angles:int;n_right:int;slanted:array<int>",
+    "overlaps": "total:double;common:double",
     "marks": "marks:array<int>",
     "reach": "near:array<array<int>>",
 }
 
 
+def shape_fields(rooms: pa.Array, doors: pa.Array, parts: list[str], every_part: bool = True) -> dict[str, pa.Array]:
+    """The fields of the wanted parts by name; see `shapes`."""
+    r, n, made = Rooms(rooms), len(rooms), {}
+    if "angles" in parts:
+        at, right = _angles(r)
+        row = r.row[r.room[at]]
+        made["n_angles"] = pa.array(np.bincount(row, minlength=n), pa.int32())
+        made["n_right"] = pa.array(np.bincount(row[right], minlength=n), pa.int32())
+        tokens = np.stack([r.idx[at[~right]], r.idx[at[~right]] + 1], axis=1).ravel()
+        made["slanted"] = pa.ListArray.from_arrays(offsets(np.repeat(row[~right], 2), n), pa.array(tokens, pa.int32()))
+    if "overlaps" in parts or "marks" in parts:
+        usable, area = _usable(r)
+        a, b = _near(r, usable)
+        s = Sides(r)
+        common, marks = np.zeros(n), [(a[:0], a[:0])]
+        for part in _batches(s.size[a] * s.size[b]):
+            pieces = _pieces(s, a[part], b[part])
+            common += np.bincount(r.row[a[part]][pieces[0]], weights=pieces[5], minlength=n)
+            if "marks" in parts:
+                marks.append(_marks(r, s, a[part], b[part], pieces, every_part))
+        if "overlaps" in parts:
+            made["total"] = pa.array(np.bincount(r.row[usable], weights=area, minlength=n))
+            made["common"] = pa.array(common)
+        if "marks" in parts:
+            row, token = distinct(*(np.concatenate(v) for v in zip(*marks)))
+            made["marks"] = pa.ListArray.from_arrays(offsets(row, n), pa.array(token, pa.int32()))
+    if "reach" in parts:
+        made["near"] = _reach(r, doors)
+    return made
+
+
 def shapes(rooms: Column, doors: Column, parts: list[str], every_part: bool = True) -> Column:
-    """Struct of the wanted parts (names of `_TYPES`) of a row's answered rooms and doors; null lists are empty.
+    """Struct of the wanted parts (names of `TYPES`) of a row's answered rooms and doors; null lists are empty.
 
     `n_angles`, `n_right`, `slanted`: angles, right ones, and the tokens of the vertices of the others. `total`,
     `common`: sum of the usable rooms' areas, and of the common areas of every two. `marks`: tokens of the vertices
     nearest to the corners of common areas. `near`: for every valid door the rooms in reach.
     """
+    names = [f for p in TYPES if p in parts for f in TYPES[p].split(";")]
+
     def run(rooms: pa.Array, doors: pa.Array) -> pa.Array:
-        r, n, made = Rooms(rooms), len(rooms), {}
-        if "angles" in parts:
-            at, right = _angles(r)
-            row = r.row[r.room[at]]
-            made["n_angles"] = pa.array(np.bincount(row, minlength=n), pa.int32())
-            made["n_right"] = pa.array(np.bincount(row[right], minlength=n), pa.int32())
-            tokens = np.stack([r.idx[at[~right]], r.idx[at[~right]] + 1], axis=1).ravel()
-            made["slanted"] = pa.ListArray.from_arrays(offsets(np.repeat(row[~right], 2), n), pa.array(tokens, pa.int32()))
-        if "overlaps" in parts or "marks" in parts:
-            usable, area = _usable(r)
-            a, b = _near(r, usable)
-            s = Sides(r)
-            common, marks = np.zeros(n), [(a[:0], a[:0])]
-            for part in _batches(s.size[a] * s.size[b]):
-                pieces = _pieces(s, a[part], b[part])
-                common += np.bincount(r.row[a[part]][pieces[0]], weights=pieces[5], minlength=n)
-                if "marks" in parts:
-                    marks.append(_marks(r, s, a[part], b[part], pieces, every_part))
-            if "overlaps" in parts:
-                made["total"] = pa.array(np.bincount(r.row[usable], weights=area, minlength=n))
-                made["common"] = pa.array(common)
-            if "marks" in parts:
-                row, token = distinct(*(np.concatenate(v) for v in zip(*marks)))
-                made["marks"] = pa.ListArray.from_arrays(offsets(row, n), pa.array(token, pa.int32()))
-        if "reach" in parts:
-            made["near"] = _reach(r, doors)
-        names = [c.split(":")[0] for p in _TYPES if p in parts for c in _TYPES[p].split(",")]
-        return pa.StructArray.from_arrays([made[c] for c in names], names)
-
-    kind = ",".join(_TYPES[p] for p in _TYPES if p in parts)
-    return F.arrow_udf(run, f"struct<{kind}>")(rooms, doors)
+        made = shape_fields(rooms, doors, parts, every_part)
+        own = [f.split(":")[0] for f in names]
+        return pa.StructArray.from_arrays([made[f] for f in own], own)
+
+    return F.arrow_udf(run, f"struct<{','.join(names)}>")(rooms, doors)
 
 
 def _ring_distances(x: pa.Array, y: pa.Array, coords: pa.Array) -> pa.Array:

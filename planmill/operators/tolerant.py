@@ -37,13 +37,36 @@ def _doors(tokens, at, end):
     return whole, [values[first[whole] + k] for k in range(4)]
 
 
+def _plain(tokens):
+    """Lines in which no block opens inside another: (which, by opening letter the table (line, place, end) of closed blocks)."""
+    c, start = tokens.letters, tokens.start
+    next_of = lambda places, at: np.append(places, len(c))[np.searchsorted(places, at)]
+    o = next_of(np.flatnonzero(c == ord("O")), start)
+    good = o < start + tokens.length
+    begin = np.where(good, o, start) + 1
+    stop = next_of(np.flatnonzero((c == ord("E")) | (c == ord("e")) | (c == ord("\n"))), begin)
+    at = np.flatnonzero((c == ord("F")) | (c == ord("R")) | (c == ord("D")))
+    line = np.searchsorted(start, at, "right") - 1
+    held = (at >= begin[line]) & (at < stop[line])
+    at, line = at[held], line[held]
+    room = c[at] == ord("R")
+    end = np.where(room, *(next_of(np.flatnonzero(c == ord(k)), at) for k in "rd")) + 1
+    closed = end <= stop[line]
+    end = np.where(closed, end, stop[line])
+    inside = (line[1:] == line[:-1]) & (at[1:] < end[:-1])
+    good[line[1:][inside]] = False
+    closed &= good[line]
+    return good, {k: np.stack([line, at, end])[:, closed & (c[at] == ord(k))] for k in "FRD"}
+
+
 def _read(lists: pa.Array) -> pa.Array:
     tokens = Tokens(lists)
     text, n = tokens.text, len(lists)
     found = {"F": [], "R": [], "D": []}
     close = {"F": ord("d"), "R": ord("r"), "D": ord("d")}
-    for k, at in enumerate(tokens.start.tolist()):
-        answer = _ANSWER.match(text, at)
+    known, plain = _plain(tokens) if n else (np.zeros(0, bool), dict.fromkeys(found, np.zeros((3, 0), np.int64)))
+    for k in np.flatnonzero(~known).tolist():
+        answer = _ANSWER.match(text, int(tokens.start[k]))
         if not answer:
             continue
         for m in _BLOCKS.finditer(text, *answer.span(1)):
@@ -51,9 +74,12 @@ def _read(lists: pa.Array) -> pa.Array:
             kind = chr(text[a])
             if text[z - 1] == close[kind]:
                 found[kind].append((k, a, z))
-    table = lambda rows: np.array(rows, np.int64).reshape(-1, 3).T
 
-    row, at, end = table(found["R"])
+    def table(kind):
+        both = np.concatenate([np.array(found[kind], np.int64).reshape(-1, 3).T, plain[kind]], axis=1)
+        return both[:, np.argsort(both[1], kind="stable")]
+
+    row, at, end = table("R")
     read = np.bincount(row, minlength=n) > 0
     p, room = ranges(at, end - at)
     typed = tokens.letters[p] == ord("t")
@@ -69,7 +95,7 @@ def _read(lists: pa.Array) -> pa.Array:
         coords=pa.ListArray.from_arrays(offsets(of, len(at)), _ints(values)),
     ))
 
-    row, at, end = table(found["D"])
+    row, at, end = table("D")
     whole, xywh = _doors(tokens, at, end)
     m = int(whole.sum())
     doors = _struct(**{f: _ints(v) for f, v in zip("xywh", xywh, strict=True)})
@@ -79,7 +105,7 @@ def _read(lists: pa.Array) -> pa.Array:
     ))
 
     # The last closed front-door block of a sequence decides.
-    row, at, end = table(found["F"])
+    row, at, end = table("F")
     last = np.append(row[1:] != row[:-1], True)[: len(row)]
     row, at, end = row[last], at[last], end[last]
     whole, xywh = _doors(tokens, at, end)

@@ -29,7 +29,7 @@ def unmarked(cfg):
 
 
 def parsed(spark, sf):
-    return parse.parse_strict(completions(score.metadata(plans(spark, sf)), keep=("meta",)))
+    return parse.parse_strict(completions(score.metadata(plans(spark, sf)), keep=("meta",)), length="n_tokens")
 
 
 def ints(c, alias):
@@ -197,7 +197,7 @@ def scored(spark, sf, cfg=ADV):
     """Scores of all completions, written once and read by the statistics and by the rows."""
     df = score.score(parsed(spark, sf), cfg).withColumnRenamed("plan_id", "prompt_id")
     keep = [c for c in df.columns if c[:2] in ("r_", "e_")]
-    return written(df.select("prompt_id", "gen_idx", F.size("tokens").alias("n_tokens"), *keep))
+    return written(df.select("prompt_id", "gen_idx", "n_tokens", *keep))
 
 
 _Z = ", ".join(
@@ -225,7 +225,7 @@ def group_normalize(spark, sf):
 def error_mask(spark, sf):
     df = parsed(spark, sf)
     return df.select("plan_id", "gen_idx", F.expr(
-        f"array_join(transform({score.error_mask('size(tokens)', 'parsed.errors')}, m -> if(m = 1D, '1', '0')), '')").alias("mask"))
+        f"array_join(transform({score.error_mask('n_tokens', 'parsed.errors')}, m -> if(m = 1D, '1', '0')), '')").alias("mask"))
 
 
 _W = {n: r.weight for n, r in ALL.rewards.items()}

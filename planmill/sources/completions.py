@@ -3,45 +3,23 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planmill.operators.tokenize import answer_parts
+from planmill.operators.answers import answer_of
+from planmill.operators.tokenize import canonical_edges
 
 
 def completions(plans: DataFrame, keep=()) -> DataFrame:
     """(plan_id, gen_idx, tokens) plus the `keep` columns of the plan.
 
-    What the four share is made once a plan, before there are four rows of it: the tokens of the front door,
-    of the doors and of the rooms in order. Only the moved room can change its place and has tokens of its own.
+    What no change reaches, the order of the edges, is made once a plan, before there are four rows of it. Tokens are made
+    in Arrow batches; where only a parser reads them, it does so in the same task of Python and they never leave it.
     """
-    n = "(size(rooms) - 1)"
-    moved = (
-        f"transform(rooms, r -> if(r.rid = 1 + cast(plan_id as long) % {n},"
-        f" named_struct('rid', r.rid, 'type', r.type, 'coords', transform(r.coords, (v, i) -> if(i % 2 = 0, v + 20, v))), r))"
-    )
-    made = answer_parts(plans.select("plan_id", "rooms", "edges", "front_door", *keep))
-    other = answer_parts(made.withColumns({"_rooms": F.col("rooms"), "rooms": F.expr(moved)}), rooms_only=True, prefix="_moved")
-
-    def answer(outlines, rooms):
-        return f"concat(_answer_head, flatten(transform(concat(slice({outlines}, 1, 1), {rooms}), z -> z.tokens)), _answer_tail)"
-
-    left = "filter({}, z -> z.rid < " + n.replace("rooms", "_rooms") + ")"
-    four = other.withColumn("_whole", F.expr(answer("_answer_outlines", "_answer_rooms"))).withColumn(
-        "_four",
-        F.expr(
-            f"array(_whole, {answer('_moved_outlines', '_moved_rooms')},"
-            f" {answer(left.format('_answer_outlines'), left.format('_answer_rooms'))}, {_broken('_whole')})"
-        ),
-    )
-    # Outer, as for another one the optimizer asks for lists that are not empty before it makes them, and so makes them twice.
-    return four.select("plan_id", F.posexplode_outer("_four").alias("gen_idx", "tokens"), *keep)
-
-
-def _broken(answer: str) -> str:
-    """SQL text: the answer without its first <END_ROOM> for even plans, with its first x and y changed about for odd ones."""
-    first_x = f"array_position(transform({answer}, t -> startswith(t, '<X:')), true)"
-    return (
-        f"if(cast(plan_id as long) % 2 = 0,"
-        f" concat(slice({answer}, 1, cast(array_position({answer}, '<END_ROOM>') - 1 as int)),"
-        f" slice({answer}, cast(array_position({answer}, '<END_ROOM>') + 1 as int), size({answer}))),"
-        f" concat(slice({answer}, 1, cast({first_x} - 1 as int)), reverse(slice({answer}, cast({first_x} as int), 2)),"
-        f" slice({answer}, cast({first_x} + 2 as int), size({answer}))))"
+    ordered = canonical_edges(plans.select("plan_id", "rooms", "edges", "front_door", *keep)).select(
+        "plan_id", "rooms", "canon_edges", "front_door",
+        F.expr("cast(plan_id as long) % 2 = 0").alias("_even"),
+        F.expr("1 + cast(plan_id as long) % (size(rooms) - 1)").alias("_changed"),
+        *keep,
     )
+    # Outer, as another one may filter what it is made from.
+    four = ordered.select("*", F.explode_outer(F.expr("array(0, 1, 2, 3)")).alias("gen_idx"))
+    tokens = answer_of(*(F.col(c) for c in ("gen_idx", "_even", "_changed", "rooms", "canon_edges", "front_door")))
+    return four.select("plan_id", "gen_idx", tokens.alias("tokens"), *keep)
