@@ -22,3 +22,21 @@ def test_runs_of_rasters_of_several_sides_read_together():
     rasters = [(i, rng.integers(0, 3, s).astype(np.uint8)) for i, s in enumerate([(4, 5), (5, 4), (4, 5), (1, 1), (300, 300), (4, 5)])]
     got = sorted(zip(*(c.tolist() for c in raster.runs_of(rasters)), strict=True))
     assert got == sorted((i, *r) for i, codes in rasters for r in zip(*(c.tolist() for c in raster.code_runs(codes)), strict=True))
+
+
+def test_a_batch_goes_through_its_rasters_once(spark):
+    """Rasters may be made, or read from a store, each time they are asked for; ids were counted and outlines found in runs of their own."""
+    from planmill.plans import extract
+
+    images = raster.damaged_images(spark, SF)
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    n = images.count()
+    batch = extract.run_batch(images.mapInArrow(counted, images.schema))
+    assert batch.records.count() + batch.ledger.count() == n
+    assert passed.value == n
