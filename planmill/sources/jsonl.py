@@ -174,10 +174,12 @@ def first_by_priority(lines: DataFrame) -> DataFrame:
     Lines without a known place go by their text. A partial aggregate, so a plan id with very many copies
     is reduced before the shuffle.
     """
-    keyed = lines.withColumn("plan_id", F.get_json_object("value", "$.plan_id"))
-    return keyed.filter("plan_id is not null").groupBy("plan_id").agg(
-        F.min(F.struct(*_place(lines))).alias("m"), F.count(F.lit(1)).alias("n_copies")
-    ).select("plan_id", "m.file", "m.value", "n_copies")
+    keyed = keep_rows(lines.withColumn("plan_id", F.get_json_object("value", "$.plan_id")), "plan_id is not null")
+    place = _place(lines)
+    # The file does not need the text, which goes along only where it is asked for.
+    return keyed.groupBy("plan_id").agg(
+        F.min(F.struct(*[c for c in place if c != "value"])).alias("m"), F.min(F.struct(*place)).alias("v"), F.count(F.lit(1)).alias("n_copies")
+    ).select("plan_id", "m.file", "v.value", "n_copies")
 
 
 def find_plan(lines: DataFrame, plan_id: str) -> DataFrame:
